@@ -18,9 +18,14 @@ def map_value(df: DataFrame, col: str, null_as_zero: bool = True) -> Column:
 
 def quantile_breaks(df: DataFrame, col: str, k: int = 6, null_as_zero: bool = True) -> DataFrame:
     """One row, ``breaks``: distinct upper bounds of k classes of equal count, linearly interpolated and exact."""
-    rows = df.select(map_value(df, col, null_as_zero).alias("_x"), F.lit(1).cast("long").alias("_n"))
+    rows = df.select(map_value(df, col, null_as_zero).alias("x"), F.lit(1).cast("long").alias("count"))
+    return counted_quantile_breaks(rows, k)
+
+
+def counted_quantile_breaks(rows: DataFrame, k: int) -> DataFrame:
+    """As ``quantile_breaks`` over (x, count) rows."""
     points = [i / k for i in range(1, k + 1)]
-    found = order_statistics(rows, [], "_x", "_n", quantile_thresholds(points))
+    found = order_statistics(rows, [], "x", "count", quantile_thresholds(points))
     parts = []
     for i, p in enumerate(points):
         h = (F.col("total") - 1) * F.lit(p)
@@ -59,7 +64,7 @@ def natural_breaks(df: DataFrame, col: str, k: int = 6, null_as_zero: bool = Tru
     k = min(k, values.count() - 1)
     if k < 1:
         return []
-    start = quantile_breaks(df, col, k, null_as_zero).first()["breaks"]
+    start = counted_quantile_breaks(values, k).first()["breaks"]
     bounds = [float(b) for b in start[:-1]]
     for _ in range(rounds):
         cluster = class_of(F.col("x"), F.array(*[F.lit(b) for b in bounds]).cast("array<double>"))
