@@ -63,14 +63,13 @@ def visibility_table(ancestry: DataFrame, birthplace: DataFrame, counts: DataFra
     born = birthplace.select(zero_pad("state_fips", 2).alias("state_fips"), number(birthplace, "born").alias("born"))
     weighted = counts.select(zero_pad("STATE", 2).alias("state_fips"), "weighted_count")
     combo = lookup_join(lookup_join(keyed, born, ["state_fips"]), weighted, ["state_fips"])
-    largest = weighted.join(ancestry.select(zero_pad("state_fips", 2).alias("state_fips")), "state_fips", "left_semi")
     return combo.select(
         "state_fips",
         F.coalesce(lookup("state_fips", STATE_POSTAL), "state_fips").alias("state"),
         number(combo, "ancestry").alias("ancestry"),
         "born",
         "weighted_count",
-        marker_size("weighted_count", largest.select(F.max("weighted_count")).scalar()).alias("size"),
+        marker_size("weighted_count", combo.select(F.max("weighted_count")).scalar()).alias("size"),
         visibility(number(combo, "ancestry"), "born").alias("ratio"),
     )
 
