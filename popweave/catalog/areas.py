@@ -150,8 +150,8 @@ def quantile_classes(spark, d):
     return _classes(rows.withColumn("v", F.coalesce("v", F.lit(0.0))))
 
 
-@query(f"""WITH {VALUES_SQL} SELECT CAST(i AS BIGINT) AS i, round(quantile_cont(v, i / 10), 4) AS bound
-FROM vals, range(1, 11) t(i) GROUP BY i""")
+@query(f"""WITH {VALUES_SQL} SELECT unnest(range(1, 11)) AS i, round(unnest(b), 4) AS bound FROM (
+  SELECT quantile_cont(v, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1]) AS b FROM vals)""")
 def quantile_bounds(spark, d):
     breaks = K.quantile_breaks(_values(spark, d), "v", 10)
     return breaks.select(F.posexplode("breaks").alias("i", "bound")).select(

@@ -14,7 +14,7 @@ from popweave.sinks import files as W
 from popweave.sources import delimited as D, geojson as J, responses as H
 
 
-@query(f"""WITH {PERSONS} SELECT "STATE", "PUMA", "PWGTP", "ANC1P", "ANC2P", "ESR", "PINCP" FROM persons WHERE {IN_GROUP}""")
+@query(f"""WITH {PERSONS} SELECT "STATE", "PUMA", "PWGTP", "ANC1P", "ANC2P", CAST("ESR" AS BIGINT) AS "ESR", "PINCP" FROM persons WHERE {IN_GROUP}""")
 def csv_extract(spark, d):
     """Chunked scan of person files: filter and pruning happen in the scan's stage."""
     people = persons(spark, d, ("customer",)).select("STATE", "PUMA", "PWGTP", "ANC1P", "ANC2P", "ESR", "PINCP")
@@ -97,17 +97,16 @@ def header_json_rows(spark, d):
     return H.header_rows(docs, "doc", ["NAME", "E", "state", "M"])
 
 
-@query("""SELECT n_name AS "NAME", CAST(n_nationkey AS VARCHAR) AS "E", CAST(n_regionkey AS VARCHAR) AS state FROM nation""")
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS "NAME", CAST(o_totalprice AS VARCHAR) AS "E", o_orderstatus AS state FROM orders""")
 def paged_responses(spark, d):
-    """A folder of response pages, one file each, read as one table."""
-    docs = table(spark, d, "nation").select(
-        "n_nationkey",
-        _response(F.col("n_name"), F.col("n_nationkey").cast("string"), F.col("n_regionkey").cast("string"),
-                  F.col("n_nationkey") % 2 == 0).alias("value"),
+    """A folder of landed response pages, one to a line, read as one table."""
+    docs = table(spark, d, "orders").select(
+        _response(F.col("o_orderkey").cast("string"), F.col("o_totalprice").cast("string"), F.col("o_orderstatus"),
+                  F.col("o_orderkey") % 2 == 0).alias("value"),
     )
     path = scratch_path(spark, "responses")
-    docs.write.partitionBy("n_nationkey").text(path)
-    return H.scan_header_json(spark, path).select("NAME", "E", "state")
+    docs.write.text(path)
+    return H.scan_header_json(spark, path, per_line=True).select("NAME", "E", "state")
 
 
 @query("""SELECT CAST(p_partkey AS VARCHAR) AS code, CASE WHEN p_size % 2 = 0 THEN p_name ELSE p_type END AS label, count(*) AS n
@@ -133,11 +132,11 @@ def _squares(spark, d):
     return rows.select(F.col("c_custkey").cast("string").alias("GEOID20"), F.col("c_mktsegment").alias("segment"), geom.alias("geom"))
 
 
-@query("""SELECT lpad(CAST(c_custkey AS VARCHAR), greatest(5, length(CAST(c_custkey AS VARCHAR))), '0') AS zip, c_mktsegment AS segment,
+@query("""SELECT lpad(CAST(c_custkey AS VARCHAR), CAST(greatest(5, length(CAST(c_custkey AS VARCHAR))) AS INTEGER), '0') AS zip, c_mktsegment AS segment,
   CASE c_custkey % 3 WHEN 0 THEN 4.0 WHEN 1 THEN 3.4375 ELSE 5.0 END::DOUBLE AS area FROM customer""")
 def geojson_lines(spark, d):
     path = W.write_geojson(_squares(spark, d), scratch_path(spark, "geojson"))
-    shapes = J.feature_ids(J.scan_geojson(spark, path, lines=True), ["ZCTA5CE20", "GEOID20", "GEOID"], "zip", 5)
+    shapes = J.feature_ids(J.scan_geojson(spark, path, layout="feature_lines"), ["ZCTA5CE20", "GEOID20", "GEOID"], "zip", 5)
     return shapes.select("zip", F.try_element_at("properties", F.lit("segment")).alias("segment"), G.area("geom").alias("area"))
 
 
@@ -152,9 +151,8 @@ def geojson_collections(spark, d):
     doc = F.concat(F.lit('{"type":"FeatureCollection","features":[{"type":"Feature","properties":{"GEOID":"'), x,
                    F.lit('"},"geometry":'), geometry, F.lit("}]}"))
     path = scratch_path(spark, "collections")
-    # whole documents per line: the reader sees each line as one JSON value
     table(spark, d, "customer").select(doc.alias("value")).write.text(path)
-    shapes = J.scan_geojson(spark, path)
+    shapes = J.scan_geojson(spark, path, layout="collection_lines")
     kind = (F.try_element_at("properties", F.lit("GEOID")).cast("bigint") % 2).cast("int")
     return shapes.select(
         F.try_element_at("properties", F.lit("GEOID")).alias("id"), kind.alias("parts"), G.area("geom").alias("area")

@@ -38,8 +38,8 @@ def counts_by_nativity(spark, d):
 
 
 @query(f"""WITH {PERSONS}
-SELECT "STATE", "PUMA", "PWGTP", "AGEP", CAST("RAC1P" AS BIGINT) AS "RAC1P", "NATIVITY", "ANC1P", "ANC2P", "SCHL",
-  "ESR", "PINCP" FROM persons WHERE {IN_GROUP}""")
+SELECT "STATE", "PUMA", "PWGTP", CAST("AGEP" AS BIGINT) AS "AGEP", CAST("RAC1P" AS BIGINT) AS "RAC1P",
+  CAST("NATIVITY" AS BIGINT) AS "NATIVITY", "ANC1P", "ANC2P", CAST("SCHL" AS BIGINT) AS "SCHL", CAST("ESR" AS BIGINT) AS "ESR", "PINCP" FROM persons WHERE {IN_GROUP}""")
 def population_extract(spark, d):
     people = persons(spark, d)
     as_text = people.select(*[F.col(c).cast("string").alias(c) for c in people.columns])

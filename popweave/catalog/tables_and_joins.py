@@ -509,7 +509,7 @@ def dense_cluster(spark, d):
     return P.dense_cluster(_visibility(spark, d), 60).select("state_fips", "ancestry", "born")
 
 
-@query(f"""WITH {STATE_COUNTS_SQL} SELECT state_fips AS "STATE", weighted_count, coalesce(label, state_fips) AS state
+@query(f"""WITH {STATE_COUNTS_SQL} SELECT state_fips AS "STATE", weighted_count, coalesce(label, state_fips) AS postal
 FROM counts LEFT JOIN {sql_values(C.STATE_POSTAL)} ON state_fips = code ORDER BY weighted_count DESC, 1 LIMIT 12""")
 def top_states(spark, d):
     return P.top_states(_state_counts(spark, d))

@@ -10,7 +10,7 @@ from popweave.plans import snapshots as N
 from popweave.sources import pages as P
 
 
-@query("""SELECT c_custkey, lpad(CAST(c_custkey AS VARCHAR), greatest(3, length(CAST(c_custkey AS VARCHAR))), '0') AS padded,
+@query("""SELECT c_custkey, lpad(CAST(c_custkey AS VARCHAR), CAST(greatest(3, length(CAST(c_custkey AS VARCHAR))) AS INTEGER), '0') AS padded,
   right(c_name, 4) AS tail, lpad(CAST(c_nationkey AS VARCHAR), 2, '0') || right(c_name, 6) AS area FROM customer""")
 def zero_pad_ids(spark, d):
     return table(spark, d, "customer").select(
@@ -124,10 +124,10 @@ def _html(spark, d):
 @query("""WITH o AS (SELECT o_orderkey AS k, o_orderpriority AS p, trim(format('{:,}', CAST(floor(o_totalprice) AS BIGINT))) AS n,
     CASE o_orderkey % 3 WHEN 0 THEN 'ARUBA' WHEN 1 THEN 'Aruba' ELSE 'Peru' END AS c FROM orders),
 head AS (SELECT 'Country of Citizenship|StateAbbrv|School Name|Active Students' AS h)
-SELECT k AS o_orderkey, 0 AS table_no, 0 AS row_no, 'menu' AS cells FROM o WHERE k % 4 < 2
-UNION ALL SELECT k, 1, r, CASE r WHEN 0 THEN h WHEN 1 THEN c || '|S' || (k % 5) || '|' || p || '|' || n WHEN 2 THEN h
+SELECT k AS o_orderkey, 0 AS table_no, CAST(0 AS INTEGER) AS row_no, 'menu' AS cells FROM o WHERE k % 4 < 2
+UNION ALL SELECT k, 1, CAST(r AS INTEGER), CASE r WHEN 0 THEN h WHEN 1 THEN c || '|S' || (k % 5) || '|' || p || '|' || n WHEN 2 THEN h
   ELSE 'aruba|S9|A & B|1,001' END FROM o, head, range(4) t(r) WHERE k % 4 = 0
-UNION ALL SELECT k, 1, r, CASE r WHEN 0 THEN 'CoC|Count' ELSE c || '|' || n END FROM o, range(2) t(r) WHERE k % 4 = 1
+UNION ALL SELECT k, 1, CAST(r AS INTEGER), CASE r WHEN 0 THEN 'CoC|Count' ELSE c || '|' || n END FROM o, range(2) t(r) WHERE k % 4 = 1
 UNION ALL SELECT k, 0, 0, 'Country|' || n FROM o WHERE k % 4 = 2""")
 def html_tables(spark, d):
     cells = P.table_cells(P.extract_html_tables(_html(spark, d)), ["o_orderkey"])

@@ -20,6 +20,11 @@ def point(x: Column, y: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
 
 
+def bind(value: Column, f) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` mentions it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def box_polygon(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     """An axis-parallel rectangle as a geometry."""
     ring = F.array(point(x1, y1), point(x2, y1), point(x2, y2), point(x1, y2), point(x1, y1))
@@ -92,10 +97,9 @@ def clip_to_bbox(geom: ColumnOrName, minx, miny, maxx, maxy) -> Column:
         return F.flatten(F.zip_with(ring, _next_points(ring), edge))
 
     def clip_ring(ring: Column) -> Column:
-        ring = half_plane(ring, "x", limits[0], True)
-        ring = half_plane(ring, "x", limits[2], False)
-        ring = half_plane(ring, "y", limits[1], True)
-        return half_plane(ring, "y", limits[3], False)
+        for axis, limit, keep_above in (("x", 0, True), ("x", 2, False), ("y", 1, True), ("y", 3, False)):
+            ring = bind(ring, lambda r: half_plane(r, axis, limits[limit], keep_above))
+        return ring
 
     def open_ring(ring: Column) -> Column:
         """Without the closing vertex, whose zero-length edge carries nothing."""
@@ -103,10 +107,12 @@ def clip_to_bbox(geom: ColumnOrName, minx, miny, maxx, maxy) -> Column:
         return F.when(closed, F.slice(ring, 1, F.size(ring) - 1)).otherwise(ring)
 
     def clip_polygon(poly: Column) -> Column:
-        clipped = F.transform(poly, lambda ring: clip_ring(open_ring(ring)))
-        outline = F.get(clipped, F.lit(0))
-        holes = F.filter(F.slice(clipped, 2, F.greatest(F.size(clipped) - 1, F.lit(0))), lambda r: F.size(r) >= 3)
-        return F.when(F.size(outline) >= 3, F.concat(F.array(outline), holes)).otherwise(
+        return bind(F.transform(poly, lambda ring: clip_ring(open_ring(ring))), without_lost_rings)
+
+    def without_lost_rings(rings: Column) -> Column:
+        """A polygon whose outline vanished is gone with its holes; otherwise only the vanished holes are."""
+        outline = F.get(rings, F.lit(0))
+        return F.when(F.size(outline) >= 3, F.filter(rings, lambda r: F.size(r) >= 3)).otherwise(
             F.array().cast(ArrayType(ArrayType(POINT)))
         )
 

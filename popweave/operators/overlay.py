@@ -96,77 +96,122 @@ def edge_list(geom: str) -> Column:
     return F.flatten(F.transform(rings, ring_edges))
 
 
-def _rising(edges: np.ndarray, lo: float, hi: float) -> np.ndarray:
-    """Edges that cross the x-range, pointing right; vertical ones bound no area between two x."""
-    e = edges.reshape(-1, 4)
-    e = np.where((e[:, 0] > e[:, 2])[:, None], e[:, [2, 3, 0, 1]], e)
-    return e[(e[:, 0] < e[:, 2]) & (e[:, 2] > lo) & (e[:, 0] < hi)]
-
-
-def _height(e: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """y of every edge at every x, shape (x, edge)."""
-    slope = (e[:, 3] - e[:, 1]) / (e[:, 2] - e[:, 0])
-    return e[:, 1] + (x[:, None] - e[:, 0]) * slope
+# Pairs up to this many edge combinations are worked out many at a time, larger ones each for itself.
+SMALL_PAIR = 1024
+
+
+def _oriented(edges: np.ndarray) -> np.ndarray:
+    """Edges pointing right, so that x1 <= x2; the last axis holds x1, y1, x2, y2."""
+    return np.where(edges[..., :1] > edges[..., 2:3], edges[..., [2, 3, 0, 1]], edges)
+
+
+def _slopes(e: np.ndarray) -> np.ndarray:
+    """Slope of each edge; vertical edges bound no area between two x, so theirs is never used."""
+    run = e[..., 2] - e[..., 0]
+    return np.divide(e[..., 3] - e[..., 1], run, out=np.zeros_like(run), where=run > 0)
+
+
+def _crossings(a: np.ndarray, b: np.ndarray, default: np.ndarray) -> np.ndarray:
+    """x of every crossing of an edge of a with an edge of b, shape (pair, a edge, b edge); the default where none."""
+    slope_a, slope_b = _slopes(a)[:, :, None], _slopes(b)[:, None, :]
+    ax1, ay1, ax2 = a[:, :, None, 0], a[:, :, None, 1], a[:, :, None, 2]
+    bx1, by1, bx2 = b[:, None, :, 0], b[:, None, :, 1], b[:, None, :, 2]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        # height difference at the a-edge's start, over the difference in slope
+        x = ax1 + (by1 + (ax1 - bx1) * slope_b - ay1) / (slope_a - slope_b)
+        inside = (x > np.maximum(ax1, bx1)) & (x < np.minimum(ax2, bx2))
+    return np.where(inside, x, default[:, None, None])
+
+
+def _common_length(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Length of the vertical line at each x inside both a and b, by the even-odd rule; shapes (pair, edge, 4), (pair, x)."""
+    edges = np.concatenate([a, b], axis=1)
+    of_a = np.arange(edges.shape[1]) < a.shape[1]
+    x1, y1, x2 = (edges[:, None, :, i] for i in range(3))
+    active = (x1 <= x[:, :, None]) & (x[:, :, None] < x2)
+    y = np.where(active, y1 + (x[:, :, None] - x1) * _slopes(edges)[:, None, :], np.inf)
+    most = int(active.sum(axis=2).max(initial=0))
+    if most < 2:
+        return np.zeros_like(x)
+    order = np.argsort(y, axis=2, kind="stable")[:, :, :most]
+    y = np.take_along_axis(y, order, axis=2)
+    live = np.take_along_axis(active, order, axis=2)
+    from_a = of_a[order]
+    in_a = np.cumsum(live & from_a, axis=2) % 2 == 1
+    in_b = np.cumsum(live & ~from_a, axis=2) % 2 == 1
+    both = (in_a & in_b)[:, :, :-1] & live[:, :, 1:]
+    with np.errstate(invalid="ignore"):
+        return np.where(both, np.diff(y, axis=2), 0.0).sum(axis=2)
+
+
+def _padded(edge_lists: list[np.ndarray], n: int) -> np.ndarray:
+    """Edge lists as one array; the missing edges are points, which no line crosses."""
+    out = np.zeros((len(edge_lists), n, 4))
+    for i, e in enumerate(edge_lists):
+        out[i, : len(e)] = e
+        out[i, len(e) :] = e[0, [0, 1, 0, 1]]
+    return out
+
+
+def _areas_of_block(a: np.ndarray, b: np.ndarray, block: int) -> np.ndarray:
+    """Common areas of pairs with equally many (padded) edges.
+
+    The x-axis is cut at every vertex and at every crossing. Between two cuts no edge of one crosses an edge of the other,
+    so the common length along y is linear in x there, and its middle value times the width is the area.
+    """
+    lo = np.maximum(a[:, :, [0, 2]].min(axis=(1, 2)), b[:, :, [0, 2]].min(axis=(1, 2)))
+    hi = np.minimum(a[:, :, [0, 2]].max(axis=(1, 2)), b[:, :, [0, 2]].max(axis=(1, 2)))
+    base = a[:, 0, 1]
+    shift = np.stack([lo, base, lo, base], axis=1)[:, None, :]
+    a, b, hi = _oriented(a - shift), _oriented(b - shift), np.maximum(hi - lo, 0.0)
+    zero = np.zeros_like(hi)
+    if len(a) == 1:
+        # a single large pair: edges outside the common range matter to neither cuts nor lengths
+        a, b = (e[:, (e[0, :, 2] > 0) & (e[0, :, 0] < hi[0]) & (e[0, :, 0] < e[0, :, 2])] for e in (a, b))
+        if hi[0] <= 0 or not a.size or not b.size:
+            return zero
+        step = max(1, block // b.shape[1])
+        found = [_crossings(a[:, i : i + step], b, zero) for i in range(0, a.shape[1], step)]
+        cuts = [np.unique(f).reshape(1, -1) for f in found]
+    else:
+        cuts = [_crossings(a, b, zero).reshape(len(a), -1)]
+    ends = [e[:, :, i] for e in (a, b) for i in (0, 2)]
+    cuts = np.sort(np.clip(np.concatenate([zero[:, None], hi[:, None], *ends, *cuts], axis=1), 0.0, hi[:, None]), axis=1)
+    # edges that do not cross left a zero, sorted to the front: most columns are empty strips for every pair
+    cuts = cuts[:, np.append(np.diff(cuts, axis=1).any(axis=0), True)]
+    middle, width = (cuts[:, 1:] + cuts[:, :-1]) / 2, np.diff(cuts, axis=1)
+    area = np.zeros_like(hi)
+    step = max(1, block // (len(a) * (a.shape[1] + b.shape[1])))
+    for i in range(0, middle.shape[1], step):
+        area += (_common_length(a, b, middle[:, i : i + step]) * width[:, i : i + step]).sum(axis=1)
+    return area
 
 
-def intersection_area(a_edges: np.ndarray, b_edges: np.ndarray, block: int = 1_000_000) -> float:
-    """Area common to two polygon sets given as flat edge lists, holes included by the even-odd rule.
+def intersection_areas(a_edges: list, b_edges: list, block: int = 1_000_000) -> np.ndarray:
+    """Area common to each pair of polygon sets, given as flat x1, y1, x2, y2 edge lists, holes by the even-odd rule.
 
-    The x-axis is cut at every vertex and at every crossing of an edge of one with an edge of the other. Between two
-    cuts no edges cross, so the common length along y is linear in x and its middle value times the width is the area.
+    Pairs of similar size share one set of array operations; ``block`` bounds the elements of any one array.
     """
-    a, b = np.asarray(a_edges, float).reshape(-1, 4), np.asarray(b_edges, float).reshape(-1, 4)
-    if not len(a) or not len(b):
-        return 0.0
-    lo = max(a[:, [0, 2]].min(), b[:, [0, 2]].min())
-    hi = min(a[:, [0, 2]].max(), b[:, [0, 2]].max())
-    if hi <= lo:
-        return 0.0
-    shift = np.array([lo, a[0, 1], lo, a[0, 1]])
-    a, b, hi, lo = a - shift, b - shift, hi - lo, 0.0
-    a, b = _rising(a, lo, hi), _rising(b, lo, hi)
-    if not len(a) or not len(b):
-        return 0.0
-
-    cuts = [np.array([lo, hi]), a[:, 0], a[:, 2], b[:, 0], b[:, 2]]
-    slope_b = (b[:, 3] - b[:, 1]) / (b[:, 2] - b[:, 0])
-    step = max(1, block // len(b))
-    for i in range(0, len(a), step):
-        part = a[i : i + step]
-        slope_a = ((part[:, 3] - part[:, 1]) / (part[:, 2] - part[:, 0]))[:, None]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            # height difference at the a-edge's start, over the difference in slope
-            at_start = b[:, 1] + (part[:, :1] - b[:, 0]) * slope_b - part[:, 1:2]
-            x = part[:, :1] + at_start / (slope_a - slope_b)
-            left = np.maximum(part[:, :1], b[:, 0])
-            right = np.minimum(part[:, 2:3], b[:, 2])
-            cuts.append(x[(x > left) & (x < right)])
-    x = np.unique(np.concatenate(cuts))
-    x = x[(x >= lo) & (x <= hi)]
-    middle, width = (x[1:] + x[:-1]) / 2, np.diff(x)
-
-    edges = np.concatenate([a, b])
-    of_a = np.arange(len(edges)) < len(a)
-    area = 0.0
-    step = max(1, block // len(edges))
-    for i in range(0, len(middle), step):
-        at = middle[i : i + step]
-        active = (edges[:, 0] <= at[:, None]) & (at[:, None] < edges[:, 2])
-        y = np.where(active, _height(edges, at), np.inf)
-        most = int(active.sum(axis=1).max(initial=0))
-        if most < 2:
+    a = [np.asarray(e, dtype=float).reshape(-1, 4) for e in a_edges]
+    b = [np.asarray(e, dtype=float).reshape(-1, 4) for e in b_edges]
+    out = np.zeros(len(a))
+    groups: dict[tuple[int, int], list[int]] = {}
+    for i, (ea, eb) in enumerate(zip(a, b)):
+        if len(ea) and len(eb):
+            size = (1 << (len(ea) - 1).bit_length(), 1 << (len(eb) - 1).bit_length())
+            groups.setdefault(size if size[0] * size[1] <= SMALL_PAIR else (0, i), []).append(i)
+    for (na, nb), members in groups.items():
+        if na == 0:
+            i = members[0]
+            out[i] = _areas_of_block(a[i][None], b[i][None], block)[0]
             continue
-        order = np.argsort(y, axis=1, kind="stable")[:, :most]
-        y = np.take_along_axis(y, order, axis=1)
-        live = np.take_along_axis(active, order, axis=1)
-        from_a = of_a[order]
-        in_a = np.cumsum(live & from_a, axis=1) % 2 == 1
-        in_b = np.cumsum(live & ~from_a, axis=1) % 2 == 1
-        common = (in_a & in_b)[:, :-1] & live[:, 1:]
-        with np.errstate(invalid="ignore"):
-            gaps = np.where(common, np.diff(y, axis=1), 0.0)
-        area += float((gaps.sum(axis=1) * width[i : i + step]).sum())
-    return area
+        cells = (na * nb + 2 * (na + nb) + 2) * (na + nb)
+        # never one alone: a lone pair takes the other path, with the same result
+        step = max(2, block // cells)
+        for s in range(0, len(members), step):
+            part = members[s : s + step]
+            out[part] = _areas_of_block(_padded([a[i] for i in part], na), _padded([b[i] for i in part], nb), block)
+    return out
 
 
 def overlay(a: DataFrame, b: DataFrame, a_id: str, b_id: str, geom: str = "geom") -> DataFrame:
@@ -179,8 +224,8 @@ def overlay(a: DataFrame, b: DataFrame, a_id: str, b_id: str, geom: str = "geom"
 
     def areas(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            inter = [intersection_area(ea, eb) for ea, eb in zip(batch["_ea"], batch["_eb"])]
-            yield pd.DataFrame({a_id: batch[a_id], b_id: batch[b_id], "inter_area": np.asarray(inter, dtype=float)})
+            inter = intersection_areas(batch["_ea"], batch["_eb"])
+            yield pd.DataFrame({a_id: batch[a_id], b_id: batch[b_id], "inter_area": inter})
 
     fields = {f.name: f.dataType.simpleString() for f in full.schema.fields}
     schema = f"`{a_id}` {fields[a_id]}, `{b_id}` {fields[b_id]}, inter_area double"

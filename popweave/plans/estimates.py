@@ -49,8 +49,8 @@ def counts_by_state(raw: DataFrame, part: str, out: str = "count") -> DataFrame:
 
 
 def top_states(counts: DataFrame, n: int = 12, value: str = "weighted_count") -> DataFrame:
-    """Largest states with their postal abbreviation."""
-    named = counts.withColumn("state", label("STATE", STATE_POSTAL, width=2))
+    """Largest states with their postal abbreviation; column names ignore case, so it is not called ``state``."""
+    named = counts.withColumn("postal", label("STATE", STATE_POSTAL, width=2))
     return top_n(named, [(value, "desc"), "STATE"], n)
 
 

@@ -40,15 +40,18 @@ def features(df: DataFrame, text: str, keep: list[str] | None = None) -> DataFra
     )
 
 
-def scan_geojson(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """(properties, geom) rows of FeatureCollection files, or, with ``lines``, of newline-delimited features.
+def scan_geojson(spark: SparkSession, path: str | list[str], layout: str = "collection_files") -> DataFrame:
+    """(properties, geom) rows of FeatureCollections, one to a file or to a line, or of one feature to a line.
 
-    A FeatureCollection is one JSON value and so is parsed by one task per file; newline-delimited features split.
+    A FeatureCollection is one JSON value, so a file that holds one is parsed by one task; the line layouts split.
     """
-    if lines:
+    if layout not in ("collection_files", "collection_lines", "feature_lines"):
+        raise ValueError(f"unknown layout {layout}")
+    if layout == "feature_lines":
         return features(spark.read.text(path), "value")
     collection = StructType([StructField("features", ArrayType(FEATURE))])
-    rows = spark.read.schema(collection).option("multiLine", True).json(path).select(F.inline("features"))
+    whole_files = layout == "collection_files"
+    rows = spark.read.schema(collection).option("multiLine", whole_files).json(path).select(F.inline("features"))
     return rows.select(
         "properties", polygons_from_coordinates(F.col("geometry.type"), F.col("geometry.coordinates")).alias("geom")
     )

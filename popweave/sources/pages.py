@@ -159,6 +159,8 @@ def extract_html_tables(pages: DataFrame, html: str = "html", out: str = "tables
         for batch in batches:
             yield batch.map(_read_tables)
 
+    # declared nondeterministic only so that filters on what follows cannot parse every page a second time
+    tables_of = tables_of.asNondeterministic()
     markup = F.when(F.regexp_like(F.col(html), F.lit("(?i)<table[\\s>]")), F.col(html))
     return pages.withColumn(out, tables_of(markup))
 
@@ -274,7 +276,7 @@ def extract_links(pages: DataFrame, keep: list[str], html: str = "html") -> Data
         F.regexp_extract_all(F.col(html), F.lit(ANCHOR), F.lit(2)).alias("text"),
     )
     rows = pages.select(*keep, F.posexplode(zipped).alias("link_no", "_l"))
-    return rows.select(*keep, "link_no", F.col("_l.0").alias("href"), F.trim(strip_tags("_l.1")).alias("text"))
+    return rows.select(*keep, "link_no", F.col("_l.href").alias("href"), F.trim(strip_tags("_l.text")).alias("text"))
 
 
 def link_catalogue(

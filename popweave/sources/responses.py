@@ -30,10 +30,17 @@ def _position(rows: str, name: str) -> Column:
 
 
 def scan_header_json(
-    spark: SparkSession, path: str | list[str], columns: list[str] | None = None, glob: str | None = None
+    spark: SparkSession,
+    path: str | list[str],
+    columns: list[str] | None = None,
+    glob: str | None = None,
+    per_line: bool = False,
 ) -> DataFrame:
-    """A directory of landed response pages as one table. Without ``columns``, those of one page's header are used."""
-    reader = spark.read.option("wholetext", True)
+    """A directory of landed response pages, one to a file or one to a line, as one table.
+
+    Without ``columns``, those of one page's header are used.
+    """
+    reader = spark.read.option("wholetext", not per_line)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     docs = reader.text(path)
