@@ -87,7 +87,7 @@ def ring_overlay(spark, d):
 
 
 @query(f"""WITH {RING_SQL}, fractions AS (SELECT a_id, b_id, inter_area / (0.75 * (ax2 - ax1) * (ay2 - ay1)) AS f FROM common
-  WHERE inter_area > 1e-7),
+  WHERE inter_area > 1e-12),
 pop AS (SELECT a_id, b_id, f, f * CASE WHEN a_id % 4 = 0 THEN 0 ELSE a_id END AS part FROM fractions)
 SELECT lpad(CAST(b_id AS VARCHAR), 5, '0') AS zip, CAST(a_id AS VARCHAR) AS tract, round(weight, 6) AS weight FROM (
   SELECT a_id, b_id, CASE WHEN sum(part) OVER (PARTITION BY a_id) > 0 THEN part / sum(part) OVER (PARTITION BY a_id) ELSE f END

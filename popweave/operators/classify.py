@@ -67,21 +67,22 @@ def natural_breaks(df: DataFrame, col: str, k: int = 6, null_as_zero: bool = Tru
     start = counted_quantile_breaks(values, k).first()["breaks"]
     bounds = [float(b) for b in start[:-1]]
     for _ in range(rounds):
-        cluster = class_of(F.col("x"), F.array(*[F.lit(b) for b in bounds]).cast("array<double>"))
-        sums = (
-            values.groupBy(cluster.alias("c"))
-            .agg(F.sum(F.col("x") * F.col("count")).alias("s"), F.sum("count").alias("n"), F.max("x").alias("top"))
-            .orderBy("c")
-            .collect()
-        )
-        means = [r["s"] / r["n"] for r in sums]
+        clusters = _clusters(values, bounds)
+        means = [c["s"] / c["n"] for c in clusters]
         middle = [(a + b) / 2 for a, b in zip(means, means[1:])]
         if middle == bounds:
             break
         bounds = middle
+    return [c["top"] for c in _clusters(values, bounds)]
+
+
+def _clusters(values: DataFrame, bounds: list[float]) -> list:
+    """Sum, count and maximum of the non-empty clusters between the bounds: at most one row per class, in order."""
     cluster = class_of(F.col("x"), F.array(*[F.lit(b) for b in bounds]).cast("array<double>"))
-    tops = values.groupBy(cluster.alias("c")).agg(F.max("x").alias("top")).orderBy("c").collect()
-    return [r["top"] for r in tops]
+    sums = values.groupBy(cluster.alias("c")).agg(
+        F.sum(F.col("x") * F.col("count")).alias("s"), F.sum("count").alias("n"), F.max("x").alias("top")
+    )
+    return sorted(sums.collect(), key=lambda r: r["c"])
 
 
 def distinct_values(df: DataFrame, col: str, null_as_zero: bool = True) -> DataFrame:
