@@ -115,7 +115,9 @@ def _html(spark, d):
     decoy = F.when(kind < 2, "<table><tr><td>menu</td></tr></table><table></table>").otherwise("")
     html = F.concat(F.lit("<html><body><h1>"), F.col("caption"), F.lit("</h1>"), decoy, body, F.lit("</body></html>"))
     year, month = T.caption_month("caption")
-    return _captions(spark, d).select(
+    # orders may sit in one small file; its narrow rows are spread before they grow into pages that take long to parse
+    captions = _captions(spark, d).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "o_orderkey")
+    return captions.select(
         F.concat(F.lit("https://data.example.org/tool/p"), key.cast("string")).alias("url"), key.alias("o_orderkey"),
         html.alias("html"), year.alias("year"), month.alias("month"), T.caption_flag("caption", "STEM").alias("flag"),
     )

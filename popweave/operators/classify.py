@@ -48,9 +48,12 @@ def equal_interval_breaks(df: DataFrame, col: str, k: int = 6, null_as_zero: boo
     return ends.select(F.array(*inner, F.col("hi")).alias("breaks"))
 
 
-def class_of(value: Column, breaks: Column) -> Column:
-    """Number of breaks below the value, so a value equal to a break belongs to the class it closes."""
-    return F.size(F.filter(breaks, lambda b: b < value))
+def class_of(value: Column, breaks: list[Column]) -> Column:
+    """Number of breaks below the value, so a value equal to a break belongs to the class it closes.
+
+    A handful of comparisons rather than an array function, so that generated code does it.
+    """
+    return sum((F.when(b < value, 1).otherwise(0) for b in breaks), F.lit(0))
 
 
 def natural_breaks(df: DataFrame, col: str, k: int = 6, null_as_zero: bool = True, rounds: int = 50) -> list[float]:
@@ -78,7 +81,7 @@ def natural_breaks(df: DataFrame, col: str, k: int = 6, null_as_zero: bool = Tru
 
 def _clusters(values: DataFrame, bounds: list[float]) -> list:
     """Sum, count and maximum of the non-empty clusters between the bounds: at most one row per class, in order."""
-    cluster = class_of(F.col("x"), F.array(*[F.lit(b) for b in bounds]).cast("array<double>"))
+    cluster = class_of(F.col("x"), [F.lit(b) for b in bounds])
     sums = values.groupBy(cluster.alias("c")).agg(
         F.sum(F.col("x") * F.col("count")).alias("s"), F.sum("count").alias("n"), F.max("x").alias("top")
     )
@@ -108,5 +111,5 @@ def classify(
     placed = df.withColumns({"_breaks": breaks, "_varied": varied})
     value = map_value(placed, col, null_as_zero)
     return placed.withColumn(
-        out, F.when(F.col("_varied") & value.isNotNull(), class_of(value, F.col("_breaks")))
+        out, F.when(F.col("_varied") & value.isNotNull(), class_of(value, [F.get("_breaks", F.lit(i)) for i in range(k)]))
     ).drop("_breaks", "_varied")

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 MAX_BUCKETS = 1024
-ROWS_PER_BUCKET = 1 << 20
+ROWS_PER_BUCKET = 1 << 17
 
 
 def with_bucket(df: DataFrame, value: str, cuts: Column, max_buckets: int, out: str = "_bucket") -> DataFrame:

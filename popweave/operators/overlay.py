@@ -217,6 +217,9 @@ def intersection_areas(a_edges: list, b_edges: list, block: int = 1_000_000) ->
 def overlay(a: DataFrame, b: DataFrame, a_id: str, b_id: str, geom: str = "geom") -> DataFrame:
     """(a_id, b_id, inter_area) of every pair of shapes with a common area. Ids are unique on each side."""
     pairs = candidate_pairs(with_bbox(a, geom), with_bbox(b, geom), a_id, b_id).select(a_id, b_id)
+    # Spread evenly while rows are just two ids: the work per pair is what costs, not its bytes, and a shape that a third
+    # of all pairs share must not end up in one task.
+    pairs = pairs.repartition(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), a_id, b_id)
     # each shape's edges are attached once candidates are known, so they do not travel with every grid cell
     full = pairs.join(a.select(a_id, edge_list(geom).alias("_ea")), a_id).join(
         b.select(b_id, edge_list(geom).alias("_eb")), b_id

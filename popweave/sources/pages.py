@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from html.parser import HTMLParser
+from html import unescape as unescape_html
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -20,97 +20,115 @@ from popweave.functions.text import caption_flag, caption_month, resolve_url, si
 TABLES_TYPE = "array<array<array<string>>>"
 
 _SPACES = re.compile(r"\s+")
-_HIDDEN = re.compile(r"display\s*:\s*none", re.I)
+_HIDDEN = re.compile(r"""style\s*=\s*["']?[^"'>]*display\s*:\s*none""", re.I)
+_SPAN = re.compile(r"""(col|row)span\s*=\s*["']?\s*(\d+)""", re.I)
+# comments and code are skipped whole; a tag ends at the first > outside quotes
+_MARKUP = re.compile(
+    r"""<!--.*?(?:-->|$)|<(script|style)\b.*?</\1\s*>|<(/?)([a-z][a-z0-9]*)((?:[^>"']+|"[^"]*"|'[^']*')*+>|[^>]*>)""",
+    re.I | re.S,
+)
+_PARTS = {"thead": 0, "tbody": 1, "tfoot": 2}
+
+
+class _Table:
+    """One open table: its rows by part, and the row and cell being read."""
+
+    def __init__(self, number: int) -> None:
+        self.number = number
+        self.rows: list[list] = [[], [], []]
+        self.part = 1
+        self.row: list | None = None
+        self.row_hidden = False
+        self.cell: list[str] | None = None
+        self.spans: dict[str, int] = {}
+        self.cell_hidden = False
+
+    def end_cell(self) -> None:
+        if self.cell is None:
+            return
+        if not self.cell_hidden:
+            text = _SPACES.sub(" ", unescape_html("".join(self.cell))).strip()
+            self.row.append((text or None, self.spans.get("col", 1), self.spans.get("row", 1)))
+        self.cell = None
+
+    def end_row(self) -> None:
+        self.end_cell()
+        if self.row and not self.row_hidden:
+            self.rows[self.part].append(self.row)
+        self.row = None
+
+    def begin(self, tag: str, attributes: str) -> None:
+        if tag in _PARTS:
+            self.end_row()
+            self.part = _PARTS[tag]
+        elif tag == "tr":
+            self.end_row()
+            self.row, self.row_hidden = [], bool(_HIDDEN.search(attributes))
+        elif tag in ("td", "th"):
+            if self.row is None:
+                self.row, self.row_hidden = [], False
+            self.end_cell()
+            self.cell, self.spans, self.cell_hidden = [], {}, False
+            if attributes != ">":
+                self.spans = {k.lower(): max(int(n), 1) for k, n in _SPAN.findall(attributes)}
+                self.cell_hidden = bool(_HIDDEN.search(attributes))
+
+    def end(self, tag: str) -> None:
+        if tag in ("td", "th"):
+            self.end_cell()
+        elif tag == "tr":
+            self.end_row()
+        elif tag in _PARTS:
+            self.end_row()
+            self.part = 1
 
+    def finish(self) -> list:
+        self.end_row()
+        return _expand(self.rows[0] + self.rows[1] + self.rows[2])
 
-class _Tables(HTMLParser):
-    """Collects the rows of every table of one page, spans expanded, head before body before foot."""
 
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.done: list[tuple[int, list]] = []
-        self.open: list[dict] = []
-        self.count = 0
+def _read_tables(html: str | None) -> list:
+    """Rows of cell texts of every table of a page, spans repeated, head before body before foot."""
+    if not html:
+        return []
+    done: list[tuple[int, list]] = []
+    stack: list[_Table] = []
+    seen = at = 0
 
-    def handle_starttag(self, tag, attrs):
-        if tag == "table":
-            self.open.append({"no": self.count, "thead": [], "tbody": [], "tfoot": [], "part": "tbody", "cell": None, "row": None})
-            self.count += 1
-            return
-        if not self.open:
-            return
-        table = self.open[-1]
-        if tag in ("thead", "tbody", "tfoot"):
-            self._end_row(table)
-            table["part"] = tag
-        elif tag == "tr":
-            self._end_row(table)
-            table["row"] = []
-            table["hide"] = self._is_hidden(attrs)
-        elif tag in ("td", "th"):
-            if table["row"] is None:
-                table["row"], table["hide"] = [], False
-            self._end_cell(table)
-            given = dict(attrs)
-            table["cell"] = {
-                "text": [],
-                "cols": self._span(given.get("colspan")),
-                "rows": self._span(given.get("rowspan")),
-                "hide": self._is_hidden(attrs),
-            }
-        elif tag == "br" and table["cell"] is not None:
-            self.handle_data(" ")
-
-    def handle_endtag(self, tag):
-        if not self.open:
-            return
-        table = self.open[-1]
-        if tag == "table":
-            self._end_table()
-        elif tag in ("td", "th"):
-            self._end_cell(table)
-        elif tag in ("tr", "thead", "tbody", "tfoot"):
-            self._end_row(table)
-            if tag != "tr":
-                table["part"] = "tbody"
-
-    def handle_data(self, data):
-        # text of a nested table is also text of the cells around it
-        for table in self.open:
-            if table["cell"] is not None:
-                table["cell"]["text"].append(data)
-
-    @staticmethod
-    def _span(value) -> int:
-        return max(int(value), 1) if value and value.strip().isdigit() else 1
-
-    @staticmethod
-    def _is_hidden(attrs) -> bool:
-        return any(k == "style" and v and _HIDDEN.search(v) for k, v in attrs)
-
-    def _end_cell(self, table):
-        cell, table["cell"] = table["cell"], None
-        if cell is not None and not cell["hide"]:
-            text = _SPACES.sub(" ", "".join(cell["text"])).strip()
-            table["row"].append((text or None, cell["cols"], cell["rows"]))
-
-    def _end_row(self, table):
-        self._end_cell(table)
-        row, table["row"] = table["row"], None
-        if row and not table["hide"]:
-            table[table["part"]].append(row)
-
-    def _end_table(self):
-        table = self.open.pop()
-        self._end_row(table)
-        rows = _expand(table["thead"] + table["tbody"] + table["tfoot"])
+    def close() -> None:
+        table = stack.pop()
+        rows = table.finish()
         if any(cell for row in rows for cell in row):
-            self.done.append((table["no"], rows))
-
-    def result(self) -> list:
-        while self.open:
-            self._end_table()
-        return [rows for _, rows in sorted(self.done, key=lambda t: t[0])]
+            done.append((table.number, rows))
+
+    for mark in _MARKUP.finditer(html):
+        if stack:
+            # text of a nested table is also text of the cells around it
+            for table in stack:
+                if table.cell is not None:
+                    table.cell.append(html[at : mark.start()])
+        at = mark.end()
+        tag = (mark[3] or "").lower()
+        if tag == "table":
+            if mark[2]:
+                if stack:
+                    close()
+            else:
+                stack.append(_Table(seen))
+                seen += 1
+        elif stack and tag:
+            if mark[2]:
+                stack[-1].end(tag)
+            elif tag == "br" and stack[-1].cell is not None:
+                stack[-1].cell.append(" ")
+            else:
+                stack[-1].begin(tag, mark[4])
+    for table in stack:
+        if table.cell is not None:
+            table.cell.append(html[at:])
+    while stack:
+        close()
+    return [rows for _, rows in sorted(done, key=lambda t: t[0])]
 
 
 def _expand(rows: list) -> list[list[str | None]]:
@@ -142,15 +160,6 @@ def _expand(rows: list) -> list[list[str | None]]:
     return [r + [None] * (width - len(r)) for r in out]
 
 
-def _read_tables(html: str | None) -> list:
-    if not html:
-        return []
-    parser = _Tables()
-    parser.feed(html)
-    parser.close()
-    return parser.result()
-
-
 def extract_html_tables(pages: DataFrame, html: str = "html", out: str = "tables") -> DataFrame:
     """Add the page's tables, each a list of rows of cell texts. Pages without a table tag never reach Python's parser."""
 
