@@ -28,7 +28,11 @@ def top_n_resorted(df: DataFrame, order: Order, n: int, then: Order) -> DataFram
 
 
 def top_n_per_group(df: DataFrame, by: list[str], order: Order, n: int, null_keys: str = "drop") -> DataFrame:
-    """Top rows of each group. The limit is applied before the shuffle too, so a hot group arrives already small."""
+    """Top rows of each group.
+
+    Spark applies the limit before the shuffle too, for n up to ``spark.sql.optimizer.windowGroupLimitThreshold`` (1000),
+    so a hot group arrives already small.
+    """
     if null_keys == "drop":
         df = df.dropna(subset=by)
     w = Window.partitionBy(*by).orderBy(*[sort_key(o) for o in order])

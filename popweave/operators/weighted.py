@@ -73,21 +73,28 @@ def indicator_mix(
     yes: str = "1",
     slots: list[str] | None = None,
     code=None,
+    universe: Column | None = None,
 ) -> DataFrame:
-    """(variable, weighted_count) of "yes" answers to every indicator, in one scan; optionally per matching slot."""
+    """(variable, weighted_count) of "yes" answers to every indicator, in one scan; optionally per matching slot.
+
+    With a universe, the weight of its rows comes along as ``universe``, from the same scan.
+    """
     w = measure(df, weight)
     if slots:
         w = w * slots_matching(slots, code)
     sums = [
         total(F.when(F.trim(F.col(v).cast("string")) == yes, w)).alias(v) for v in variables
     ]
-    return df.agg(*sums).unpivot([], variables, "variable", "weighted_count")
+    whole = [total(F.when(universe, w)).alias("universe")] if universe is not None else []
+    return df.agg(*sums, *whole).unpivot(["universe"] if whole else [], variables, "variable", "weighted_count")
 
 
-def share_of_total(df: DataFrame, value: str, out: str = "share", denominator: DataFrame | None = None) -> DataFrame:
-    """Each row's share of the column total, taken before any limit. The total is one scalar, not a join."""
-    whole = (denominator if denominator is not None else df.select(F.sum(value))).scalar()
-    return df.withColumn(out, safe_div(F.col(value), whole))
+def share_of_total(df: DataFrame, value: str, out: str = "share") -> DataFrame:
+    """Each row's share of the column total, taken before any limit. The total is one scalar, not a join.
+
+    On an aggregate the total reads the aggregate's own shuffle again rather than the input.
+    """
+    return df.withColumn(out, safe_div(F.col(value), df.select(F.sum(value)).scalar()))
 
 
 def scaled_to_max(df: DataFrame, value: str, out: str) -> DataFrame:

@@ -14,8 +14,8 @@ from popweave.functions.codes import (
     lookup,
     override_label,
 )
-from popweave.functions.numbers import num
-from popweave.functions.predicates import any_slot
+from popweave.functions.numbers import num, safe_div
+from popweave.functions.predicates import any_slot, parse_filters
 from popweave.functions.text import zero_pad
 from popweave.operators.joins import keep_members, lookup_join
 from popweave.operators.ranking import sort_rows, top_n
@@ -80,12 +80,13 @@ def top_occupations(
     ``labels`` holds (code, label). Shares are of all occupations, not of those listed.
     """
     counts = tabulate_slots(persons, "SOCP", {"AGEP": "16:99", "ESR": "1,2"}, "PWGTP", slots, code)
+    counts = share_of_total(counts, "weighted_count")
     if labels is not None:
         counts = lookup_join(counts, labels.select("code", "label"), ["code"])
     else:
         counts = counts.withColumn("label", F.lit(None).cast("string"))
     named = counts.withColumn("label", fallback_label("code", "label", titles))
-    return top_n(share_of_total(named, "weighted_count"), [("weighted_count", "desc"), "code"], n)
+    return top_n(named, [("weighted_count", "desc"), "code"], n)
 
 
 def insurance_coverage(
@@ -99,12 +100,13 @@ def insurance_coverage(
     """Coverage yes or no with rates; the fixed labels come before the published ones."""
     trimmed = persons.withColumn("HICOV", F.trim(F.col("HICOV").cast("string")))
     counts = tabulate_slots(trimmed, "HICOV", {"AGEP": ages}, "PWGTP", slots, code)
+    counts = share_of_total(counts, "weighted_count", "rate")
     if labels is not None:
         counts = lookup_join(counts, labels.select("code", "label"), ["code"])
     else:
         counts = counts.withColumn("label", F.lit(None).cast("string"))
     named = counts.withColumn("label", override_label("code", "label", fallback))
-    return sort_rows(share_of_total(named, "weighted_count", "rate"), [("weighted_count", "desc"), "code"])
+    return sort_rows(named, [("weighted_count", "desc"), "code"])
 
 
 def insurance_mix(
@@ -116,15 +118,17 @@ def insurance_mix(
     names: dict[str, str] = INSURANCE_LABELS,
 ) -> DataFrame:
     """Share of persons with each kind of insurance, of all persons with a known coverage; kinds overlap. One scan."""
-    from popweave.functions.predicates import parse_filters
-
     variables = variables or [v for v in names if v in persons.columns]
     rows = persons.where(parse_filters({"AGEP": ages}))
-    mix = indicator_mix(rows, variables, "PWGTP", slots=slots, code=code)
-    covered = tabulate_slots(persons, "HICOV", {"AGEP": ages}, "PWGTP", slots, code)
-    shares = share_of_total(mix, "weighted_count", "percent", covered.select(F.sum("weighted_count")))
-    named = shares.withColumn("label", F.coalesce(lookup("variable", names), "variable"))
-    return sort_rows(named, [("percent", "desc"), "variable"])
+    known = F.col("HICOV").isNotNull()
+    mix = indicator_mix(rows, variables, "PWGTP", slots=slots, code=code, universe=known)
+    shares = mix.select(
+        "variable",
+        "weighted_count",
+        safe_div("weighted_count", "universe").alias("percent"),
+        F.coalesce(lookup("variable", names), "variable").alias("label"),
+    )
+    return sort_rows(shares, [("percent", "desc"), "variable"])
 
 
 def largest_states(table: DataFrame, value: str, k: int, state: str = "state") -> DataFrame:
