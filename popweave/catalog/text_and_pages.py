@@ -70,7 +70,7 @@ def _captions(spark, d):
     dated = F.when(F.col("o_orderkey") % 11 == 0, "undated").otherwise(F.date_format("o_orderdate", "MMMM yyyy"))
     word = F.when(F.col("o_orderstatus") == "F", " STEM ").otherwise(" SYSTEM ")
     return table(spark, d, "orders").select(
-        "o_orderkey", "o_orderpriority", "o_totalprice", "o_orderstatus",
+        "o_orderkey", "o_orderpriority", "o_totalprice", "o_orderstatus", "o_orderdate",
         F.concat(dated, word, F.lit("Mapping Data")).alias("caption"),
     )
 
@@ -114,12 +114,12 @@ def _html(spark, d):
     body = F.when(kind == 0, full).when(kind == 1, plain).when(kind == 2, one_row).otherwise(link)
     decoy = F.when(kind < 2, "<table><tr><td>menu</td></tr></table><table></table>").otherwise("")
     html = F.concat(F.lit("<html><body><h1>"), F.col("caption"), F.lit("</h1>"), decoy, body, F.lit("</body></html>"))
-    year, month = T.caption_month("caption")
+    dated = F.when(key % 11 != 0, F.col("o_orderdate"))
     # orders may sit in one small file; its narrow rows are spread before they grow into pages that take long to parse
     captions = _captions(spark, d).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "o_orderkey")
     return captions.select(
         F.concat(F.lit("https://data.example.org/tool/p"), key.cast("string")).alias("url"), key.alias("o_orderkey"),
-        html.alias("html"), year.alias("year"), month.alias("month"), T.caption_flag("caption", "STEM").alias("flag"),
+        html.alias("html"), F.year(dated).alias("year"), F.month(dated).alias("month"), (F.col("o_orderstatus") == "F").alias("flag"),
     )
 
 

@@ -55,10 +55,9 @@ def unescape(c: ColumnOrName) -> Column:
 def caption_month(c: ColumnOrName) -> tuple[Column, Column]:
     """(year, month) of the first "Month YYYY" in a caption, NULL when absent."""
     pattern = r"(?i)\b(" + "|".join(MONTHS) + r")\s+(\d{4})"
-    name = F.lower(F.regexp_extract(as_col(c), pattern, 1))
-    month = F.nullif(F.array_position(F.array(*[F.lit(m.lower()) for m in MONTHS]), name), F.lit(0))
-    year = F.nullif(F.regexp_extract(as_col(c), pattern, 2), F.lit(""))
-    return year.cast("int"), month.cast("int")
+    numbers = F.create_map(*[F.lit(x) for i, m in enumerate(MONTHS, 1) for x in (m.lower(), i)])
+    month = F.try_element_at(numbers, F.lower(F.regexp_extract(as_col(c), pattern, 1)))
+    return F.regexp_extract(as_col(c), pattern, 2).try_cast("int"), month
 
 
 def caption_flag(c: ColumnOrName, word: str) -> Column:

@@ -24,6 +24,8 @@ def local_session(cpus: int | str = "*", app: str = "popweave", **conf: str) ->
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", "8")
+        # recording the Python line of every column expression costs more than building the plan
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", conf.pop("driver_memory", "8g"))
     )
     for key, value in {**RUNTIME_DEFAULTS, **conf}.items():

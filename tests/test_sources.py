@@ -158,16 +158,16 @@ def test_main_table_and_cleaning(spark):
 def test_snapshots(spark):
     base = "https://d.example.org"
     index = spark.createDataFrame([(1, """
-      <a class="x" href="/sevis/march-2024-stem-data">March 2024 <b>STEM</b> Data</a>
-      <a href="/sevis/march-2024-data">March 2024 Data</a> <a href="/about">About</a>
-      <a href="/sevis/march-2024-data">again</a><a href="sevis/undated-data">systems Data</a>
-      <a href="https://d.example.org/sevis/may-2020-data">MAY 2020 x</a>""")], "page_id long, html string")
-    links = H.link_catalogue(index, base, "STEM", contains="sevis", ends="-data")
+      <a class="x" href="/tool/march-2024-stem-data">March 2024 <b>STEM</b> Data</a>
+      <a href="/tool/march-2024-data">March 2024 Data</a> <a href="/about">About</a>
+      <a href="/tool/march-2024-data">again</a><a href="tool/undated-data">systems Data</a>
+      <a href="https://d.example.org/tool/may-2020-data">MAY 2020 x</a>""")], "page_id long, html string")
+    links = H.link_catalogue(index, base, "STEM", contains="tool", ends="-data")
     assert [tuple(r) for r in N.select_links(links).collect()] == [
-        (f"{base}/sevis/undated-data", "systems Data", None, None, False),
-        (f"{base}/sevis/may-2020-data", "MAY 2020 x", 2020, 5, False),
-        (f"{base}/sevis/march-2024-data", "March 2024 Data", 2024, 3, False),
-        (f"{base}/sevis/march-2024-stem-data", "March 2024 STEM Data", 2024, 3, True),
+        (f"{base}/tool/undated-data", "systems Data", None, None, False),
+        (f"{base}/tool/may-2020-data", "MAY 2020 x", 2020, 5, False),
+        (f"{base}/tool/march-2024-data", "March 2024 Data", 2024, 3, False),
+        (f"{base}/tool/march-2024-stem-data", "March 2024 STEM Data", 2024, 3, True),
     ]
     assert [r.url[-12:] for r in N.select_links(links, flag=False, start="2021-01").collect()] == ["undated-data", "ch-2024-data"]
     with_state = "<table><tr><th>CoC</th><th>State</th><th>School</th><th>Active Students</th></tr>{}</table>"
@@ -176,8 +176,8 @@ def test_snapshots(spark):
     plain = "<table><tr><td>Country of Citizenship</td><td>Count</td></tr><tr><td>peru</td><td>3</td></tr><tr><td>Peru</td><td>4</td></tr></table>"
     none = "<table><tr><th>Planet</th><th>Count</th></tr><tr><td>Peru</td><td>3</td></tr></table>"
     pages = spark.createDataFrame([
-        (f"{base}/sevis/march-2024-stem-data", with_state.format(body)), (f"{base}/sevis/march-2024-data", plain),
-        (f"{base}/sevis/undated-data", none), ("https://elsewhere", plain)], "url string, html string")
+        (f"{base}/tool/march-2024-stem-data", with_state.format(body)), (f"{base}/tool/march-2024-data", plain),
+        (f"{base}/tool/undated-data", none), ("https://elsewhere", plain)], "url string, html string")
     tables = N.snapshot_tables(N.select_links(links), pages, tag="stem", page_suffix="-data").cache()
     assert {r.slug for r in tables.collect()} == {"2024-03-stem", "2024-03", "undated"}
     assert [tuple(r) for r in N.state_by_month(tables, "Peru").collect()] == [
@@ -270,3 +270,39 @@ def test_zip_estimates_by_published_and_short_keys(spark):
         A.load_crosswalk(spark.createDataFrame([(1,)], ["zip"]))
     with pytest.raises(ValueError):
         Z.estimates_by_zip(stats)
+
+
+def test_dashboard_with_state_choice_and_names(spark):
+    data = [("6", "101", "0370", None, 10, 1, 1, 22, 30, 1000.0), ("6", "101", None, "370", 5, 2, 3, 16, 15, None),
+            ("6", "102", "370", "370", 3, 1, 6, 24, 70, 5.0), ("36", "7", "370", None, 2, 2, 2, 1, 40, 8.0), ("6", "101", "1", "2", 99, 1, 1, 22, 30, 1.0)]
+    persons = spark.createDataFrame(data, "STATE string, PUMA string, ANC1P string, ANC2P string, PWGTP long, NATIVITY int, ESR int, SCHL int, AGEP int, PINCP double")
+    table = spark.createDataFrame([("6", "50"), ("36", "n/a"), ("12", "7")], "state string, total string")
+    names = spark.createDataFrame([("00101", "Old Town")], "PUMA_CODE string, puma_name string")
+    wide = M.area_dashboard(persons, 370, M.largest_states(table, "total", 1), names)
+    got = {r["PUMA"]: r.asDict() for r in wide.collect()}
+    assert set(got) == {"101", "102"}
+    first = got["101"]
+    assert (first["pop"], first["native"], first["foreign"], first["edu_ba"], first["edu_hs"]) == (15, 10, 5, 10, 5)
+    assert first["income_mean"] == pytest.approx(10000 / 15) and first["income_median"] == 1000.0
+    # the unemployed person is under sixteen
+    assert first["employment_rate"] == 1.0 and first["puma_name"] == "Old Town"
+    assert got["102"]["employment_rate"] is None and got["102"]["puma_name"] is None and got["102"]["pct_edu_grad_plus"] == 1.0
+
+
+def test_emptiness_gate(spark):
+    from popweave.operators.weighted import has_rows
+
+    assert has_rows(spark.range(1)) and not has_rows(spark.range(0))
+
+
+def test_figure_tables(spark):
+    counts = spark.createDataFrame([("36", 90), ("6", 40), ("72", 1)], "STATE string, weighted_count long")
+    assert [tuple(r) for r in P.top_states(counts, 2).collect()] == [("36", 90, "NY"), ("6", 40, "CA")]
+    ancestry = spark.createDataFrame([("36", "200"), ("6", "30"), ("72", None)], "state_fips string, ancestry string")
+    born = spark.createDataFrame([("36", "100"), ("06", "0"), ("72", "5")], "state_fips string, born string")
+    table = P.visibility_table(ancestry, born, counts)
+    assert rows(table.select("state", "ratio", F.round("size", 3))) == [
+        ("72", None, 28.433), ("CA", None, 73.333), ("NY", 2.0, 100.0),
+    ]
+    assert [r["state"] for r in P.visibility_ratios(table).collect()] == ["NY"]
+    assert [r["state"] for r in P.dense_cluster(table, 50).collect()] == ["CA"]
