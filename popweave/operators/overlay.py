@@ -86,16 +86,25 @@ def overlay_boxes(a: DataFrame, b: DataFrame, a_id: str, b_id: str) -> DataFrame
 
 
 def edge_list(geom: str) -> Column:
-    """All edges of all rings as one flat x1, y1, x2, y2 array."""
+    """All edges of all rings, as structs of their two ends."""
 
     def ring_edges(ring: Column) -> Column:
         nxt = F.concat(F.slice(ring, 2, F.size(ring) - 1), F.slice(ring, 1, 1))
-        return F.flatten(F.zip_with(ring, nxt, lambda p, q: F.array(p["x"], p["y"], q["x"], q["y"])))
+        return F.zip_with(ring, nxt, lambda p, q: F.struct(p.alias("p"), q.alias("q")))
 
     rings = F.filter(F.flatten(F.col(geom)), lambda r: F.size(r) >= 3)
     return F.flatten(F.transform(rings, ring_edges))
 
 
+def edges_between(edges: str, lo: str, hi: str) -> Column:
+    """Edges that reach into an x-range, as one flat x1, y1, x2, y2 array: all that matters to areas in that range."""
+    reaching = F.filter(
+        edges,
+        lambda e: (F.greatest(e["p"]["x"], e["q"]["x"]) > F.col(lo)) & (F.least(e["p"]["x"], e["q"]["x"]) < F.col(hi)),
+    )
+    return F.flatten(F.transform(reaching, lambda e: F.array(e["p"]["x"], e["p"]["y"], e["q"]["x"], e["q"]["y"])))
+
+
 # Pairs up to this many edge combinations are worked out many at a time, larger ones each for itself.
 SMALL_PAIR = 1024
 
@@ -153,14 +162,12 @@ def _padded(edge_lists: list[np.ndarray], n: int) -> np.ndarray:
     return out
 
 
-def _areas_of_block(a: np.ndarray, b: np.ndarray, block: int) -> np.ndarray:
-    """Common areas of pairs with equally many (padded) edges.
+def _areas_of_block(a: np.ndarray, b: np.ndarray, lo: np.ndarray, hi: np.ndarray, block: int) -> np.ndarray:
+    """Common areas, within an x-range each, of pairs with equally many (padded) edges.
 
     The x-axis is cut at every vertex and at every crossing. Between two cuts no edge of one crosses an edge of the other,
     so the common length along y is linear in x there, and its middle value times the width is the area.
     """
-    lo = np.maximum(a[:, :, [0, 2]].min(axis=(1, 2)), b[:, :, [0, 2]].min(axis=(1, 2)))
-    hi = np.minimum(a[:, :, [0, 2]].max(axis=(1, 2)), b[:, :, [0, 2]].max(axis=(1, 2)))
     base = a[:, 0, 1]
     shift = np.stack([lo, base, lo, base], axis=1)[:, None, :]
     a, b, hi = _oriented(a - shift), _oriented(b - shift), np.maximum(hi - lo, 0.0)
@@ -187,14 +194,19 @@ def _areas_of_block(a: np.ndarray, b: np.ndarray, block: int) -> np.ndarray:
     return area
 
 
-def intersection_areas(a_edges: list, b_edges: list, block: int = 1_000_000) -> np.ndarray:
+def intersection_areas(a_edges, b_edges, lo=None, hi=None, block: int = 1_000_000) -> np.ndarray:
     """Area common to each pair of polygon sets, given as flat x1, y1, x2, y2 edge lists, holes by the even-odd rule.
 
+    ``lo`` and ``hi`` are each pair's common x-range; without them it is taken from the edges, which must then be all there.
     Pairs of similar size share one set of array operations; ``block`` bounds the elements of any one array.
     """
     a = [np.asarray(e, dtype=float).reshape(-1, 4) for e in a_edges]
     b = [np.asarray(e, dtype=float).reshape(-1, 4) for e in b_edges]
     out = np.zeros(len(a))
+    if lo is None or hi is None:
+        lo = [max(ea[:, [0, 2]].min(), eb[:, [0, 2]].min()) if len(ea) and len(eb) else 0.0 for ea, eb in zip(a, b)]
+        hi = [min(ea[:, [0, 2]].max(), eb[:, [0, 2]].max()) if len(ea) and len(eb) else 0.0 for ea, eb in zip(a, b)]
+    lo, hi = np.asarray(lo, dtype=float), np.asarray(hi, dtype=float)
     groups: dict[tuple[int, int], list[int]] = {}
     for i, (ea, eb) in enumerate(zip(a, b)):
         if len(ea) and len(eb):
@@ -203,36 +215,44 @@ def intersection_areas(a_edges: list, b_edges: list, block: int = 1_000_000) ->
     for (na, nb), members in groups.items():
         if na == 0:
             i = members[0]
-            out[i] = _areas_of_block(a[i][None], b[i][None], block)[0]
+            out[i] = _areas_of_block(a[i][None], b[i][None], lo[[i]], hi[[i]], block)[0]
             continue
         cells = (na * nb + 2 * (na + nb) + 2) * (na + nb)
         # never one alone: a lone pair takes the other path, with the same result
         step = max(2, block // cells)
         for s in range(0, len(members), step):
             part = members[s : s + step]
-            out[part] = _areas_of_block(_padded([a[i] for i in part], na), _padded([b[i] for i in part], nb), block)
+            pa, pb = _padded([a[i] for i in part], na), _padded([b[i] for i in part], nb)
+            out[part] = _areas_of_block(pa, pb, lo[part], hi[part], block)
     return out
 
 
 def overlay(a: DataFrame, b: DataFrame, a_id: str, b_id: str, geom: str = "geom") -> DataFrame:
     """(a_id, b_id, inter_area) of every pair of shapes with a common area. Ids are unique on each side."""
-    pairs = candidate_pairs(with_bbox(a, geom), with_bbox(b, geom), a_id, b_id).select(a_id, b_id)
-    # Spread evenly while rows are just two ids: the work per pair is what costs, not its bytes, and a shape that a third
+    boxes = candidate_pairs(with_bbox(a, geom), with_bbox(b, geom), a_id, b_id)
+    pairs = boxes.select(
+        a_id, b_id, F.greatest("a_minx", "b_minx").alias("_lo"), F.least("a_maxx", "b_maxx").alias("_hi")
+    )
+    # Spread evenly while rows are just ids and a range: the work per pair is what costs, not its bytes, and a shape that a third
     # of all pairs share must not end up in one task.
     pairs = pairs.repartition(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), a_id, b_id)
-    # each shape's edges are attached once candidates are known, so they do not travel with every grid cell
+    # Each shape's edges are attached once candidates are known, so they do not travel with every grid cell, and of
+    # them only those that reach into the pair's common range go on to Python.
     full = pairs.join(a.select(a_id, edge_list(geom).alias("_ea")), a_id).join(
         b.select(b_id, edge_list(geom).alias("_eb")), b_id
     )
 
     def areas(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            inter = intersection_areas(batch["_ea"], batch["_eb"])
+            inter = intersection_areas(batch["_ea"], batch["_eb"], batch["_lo"], batch["_hi"])
             yield pd.DataFrame({a_id: batch[a_id], b_id: batch[b_id], "inter_area": inter})
 
     fields = {f.name: f.dataType.simpleString() for f in full.schema.fields}
     schema = f"`{a_id}` {fields[a_id]}, `{b_id}` {fields[b_id]}, inter_area double"
-    return full.select(a_id, b_id, "_ea", "_eb").mapInPandas(areas, schema).where("inter_area > 0")
+    reaching = full.select(
+        a_id, b_id, "_lo", "_hi", edges_between("_ea", "_lo", "_hi").alias("_ea"), edges_between("_eb", "_lo", "_hi").alias("_eb")
+    )
+    return reaching.mapInPandas(areas, schema).where("inter_area > 0")
 
 
 def crosswalk_weights(

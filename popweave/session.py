@@ -42,9 +42,11 @@ def shared_root(spark: SparkSession) -> str:
     setting is an error, since a machine-local folder would not survive a lost executor.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    current = spark.sparkContext.getCheckpointDir()
     if configured:
+        if not current:
+            spark.sparkContext.setCheckpointDir(configured)
         return configured.rstrip("/")
-    current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
