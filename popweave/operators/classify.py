@@ -17,7 +17,8 @@ def map_value(df: DataFrame, col: str, null_as_zero: bool = True) -> Column:
 
 
 def quantile_breaks(df: DataFrame, col: str, k: int = 6, null_as_zero: bool = True) -> DataFrame:
-    """One row, ``breaks``: distinct upper bounds of k classes of equal count, linearly interpolated and exact."""
+    """One row: ``breaks``, the distinct upper bounds of k classes of equal count, linearly interpolated and exact, and
+    ``varied``, whether there are two different values at all."""
     rows = df.select(map_value(df, col, null_as_zero).alias("x"), F.lit(1).cast("long").alias("count"))
     return counted_quantile_breaks(rows, k)
 
@@ -25,12 +26,14 @@ def quantile_breaks(df: DataFrame, col: str, k: int = 6, null_as_zero: bool = Tr
 def counted_quantile_breaks(rows: DataFrame, k: int) -> DataFrame:
     """As ``quantile_breaks`` over (x, count) rows."""
     points = [i / k for i in range(1, k + 1)]
-    found = order_statistics(rows, [], "x", "count", quantile_thresholds(points))
+    ranks = {**quantile_thresholds(points), "lowest": lambda total: F.least(total, F.lit(1))}
+    found = order_statistics(rows, [], "x", "count", ranks)
     parts = []
     for i, p in enumerate(points):
         h = (F.col("total") - 1) * F.lit(p)
         parts.append(F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * (h - F.floor(h)))
-    return found.select(F.array_distinct(F.array(*parts)).alias("breaks"))
+    varied = F.col("lowest") < F.col(f"hi{k - 1}")
+    return found.select(F.array_distinct(F.array(*parts)).alias("breaks"), varied.alias("varied"))
 
 
 def approximate_quantile_breaks(df: DataFrame, col: str, k: int = 6, accuracy: int = 10000, null_as_zero: bool = True) -> DataFrame:
@@ -41,11 +44,11 @@ def approximate_quantile_breaks(df: DataFrame, col: str, k: int = 6, accuracy: i
 
 
 def equal_interval_breaks(df: DataFrame, col: str, k: int = 6, null_as_zero: bool = True) -> DataFrame:
-    """One row, ``breaks``: upper bounds of k classes of equal width."""
+    """One row: ``breaks``, the upper bounds of k classes of equal width, and ``varied``."""
     x = map_value(df, col, null_as_zero)
     ends = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"))
     inner = [F.col("lo") + (F.col("hi") - F.col("lo")) / F.lit(float(k)) * F.lit(float(i)) for i in range(1, k)]
-    return ends.select(F.array(*inner, F.col("hi")).alias("breaks"))
+    return ends.select(F.array(*inner, F.col("hi")).alias("breaks"), (F.col("lo") < F.col("hi")).alias("varied"))
 
 
 def class_of(value: Column, breaks: list[Column]) -> Column:
@@ -101,15 +104,13 @@ def classify(
         bounds = natural_breaks(df, col, k, null_as_zero)
         if not bounds:
             return df.withColumn(out, F.lit(None).cast("int"))
-        breaks = F.array(*[F.lit(float(b)) for b in bounds])
-    elif scheme in ("equal", "equalinterval"):
-        breaks = equal_interval_breaks(df, col, k, null_as_zero).scalar()
-    else:
-        breaks = quantile_breaks(df, col, k, null_as_zero).scalar()
-    x = map_value(df, col, null_as_zero)
-    varied = df.select((F.min(x) < F.max(x)).alias("v")).scalar()
-    placed = df.withColumns({"_breaks": breaks, "_varied": varied})
-    value = map_value(placed, col, null_as_zero)
+        x = map_value(df, col, null_as_zero)
+        return df.withColumn(out, F.when(x.isNotNull(), class_of(x, [F.lit(b) for b in bounds])))
+    find = equal_interval_breaks if scheme in ("equal", "equalinterval") else quantile_breaks
+    found = find(df, col, k, null_as_zero).select(F.struct("breaks", "varied").alias("found")).scalar()
+    placed = df.withColumn("_found", found)
+    value, breaks = map_value(placed, col, null_as_zero), F.col("_found.breaks")
     return placed.withColumn(
-        out, F.when(F.col("_varied") & value.isNotNull(), class_of(value, [F.get("_breaks", F.lit(i)) for i in range(k)]))
-    ).drop("_breaks", "_varied")
+        out,
+        F.when(F.col("_found.varied") & value.isNotNull(), class_of(value, [F.get(breaks, F.lit(i)) for i in range(k)])),
+    ).drop("_found")
