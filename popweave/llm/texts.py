@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+ROWS = 512  # rows whose results are held before they go back
+
 
 def map_texts(
     docs: DataFrame, keep: dict[str, str], text_col: str, fields: str, work: Callable[[Iterator[str]], Iterable[tuple]]
@@ -24,7 +26,7 @@ def map_texts(
     schema = StructType(rows.schema.fields[:-1] + added.fields)
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in (whole.slice(i, ROWS) for whole in parts for i in range(0, whole.num_rows, ROWS)):
             texts = (t.as_py() or "" for t in part.column(part.num_columns - 1))
             made = list(work(texts))
             columns = [pa.array([m[i] for m in made], type=f.type) for i, f in enumerate(arrow)]
