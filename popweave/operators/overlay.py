@@ -13,6 +13,7 @@ from popweave.functions.numbers import number, safe_div
 from popweave.functions.predicates import above_weight
 from popweave.functions.text import zero_pad
 from popweave.operators.ranking import with_group_total
+from popweave.session import ship_package
 
 BOX = ["minx", "miny", "maxx", "maxy"]
 MIN_LEVEL = -30
@@ -229,6 +230,7 @@ def intersection_areas(a_edges, b_edges, lo=None, hi=None, block: int = 1_000_00
 
 def overlay(a: DataFrame, b: DataFrame, a_id: str, b_id: str, geom: str = "geom") -> DataFrame:
     """(a_id, b_id, inter_area) of every pair of shapes with a common area. Ids are unique on each side."""
+    ship_package(a.sparkSession)
     boxes = candidate_pairs(with_bbox(a, geom), with_bbox(b, geom), a_id, b_id)
     pairs = boxes.select(
         a_id, b_id, F.greatest("a_minx", "b_minx").alias("_lo"), F.least("a_maxx", "b_maxx").alias("_hi")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -64,3 +66,14 @@ def cut_lineage(df):
     """Reliable checkpoint in the shared folder."""
     shared_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once a context, so that they find it from any working directory."""
+    context = spark.sparkContext
+    if not getattr(context, "_popweave_shipped", False):
+        package = os.path.dirname(os.path.abspath(__file__))
+        # Spark's own folder on the driver, from where it serves files; it goes with the context
+        name = os.path.join(tempfile.mkdtemp(dir=context._temp_dir), "popweave")
+        context.addPyFile(shutil.make_archive(name, "zip", os.path.dirname(package), os.path.basename(package)))
+        context._popweave_shipped = True

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from popweave.functions.numbers import ColumnOrName, as_col
 from popweave.functions.predicates import link_matches
 from popweave.functions.text import caption_flag, caption_month, resolve_url, site_url, strip_tags, unescape
+from popweave.session import ship_package
 
 TABLES_TYPE = "array<array<array<string>>>"
 
@@ -162,6 +163,7 @@ def _expand(rows: list) -> list[list[str | None]]:
 
 def extract_html_tables(pages: DataFrame, html: str = "html", out: str = "tables") -> DataFrame:
     """Add the page's tables, each a list of rows of cell texts. Pages without a table tag never reach Python's parser."""
+    ship_package(pages.sparkSession)
 
     @F.pandas_udf(TABLES_TYPE)
     def tables_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
