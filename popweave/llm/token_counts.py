@@ -47,7 +47,7 @@ class Counter:
         if not self.cuts or _CONTROL.search(text):
             return next(iter(self._lengths([text])))
         pieces, memo = _PIECE.findall(text), self._memo
-        if new := [*{*pieces} - memo.keys()]:
+        if new := [p for p in {*pieces} if p not in memo]:
             if len(memo) + len(new) > MEMO:
                 memo.clear()
                 new = [*{*pieces}]
