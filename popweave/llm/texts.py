@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from popweave.session import ship_package
+
 ROWS = 512  # rows whose results are held before they go back
 
 
@@ -20,6 +22,7 @@ def map_texts(
     ``work`` gets the texts of one batch, one at a time and "" for NULL, and yields one tuple for each. It is called once a
     batch, so what it should keep for longer belongs to its module.
     """
+    ship_package(docs.sparkSession)
     added = StructType.fromDDL(fields)
     arrow = to_arrow_schema(added)
     rows = docs.select(*[F.col(old).alias(new) for new, old in keep.items()], F.col(text_col).alias("text"))
