@@ -206,13 +206,20 @@ class _Sent:
         return self._sent.value
 
 
-def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+def encode(
+    docs: DataFrame,
+    vocabulary: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    decoded: bool = False,
+    keep: dict[str, str] | None = None,
+) -> DataFrame:
     """``id_col``, ``ids`` (array<int>) and, on demand, ``decoded`` of every row, as the vocabulary's own library gives them.
 
     ``vocabulary`` is the path of the JSON file on the driver; its content is broadcast (a file of fixed size). No special
     tokens are added; their strings in a text are special tokens. NULL, empty and blank texts have no ids and decode to "".
-    A word of any length is encoded in linear time. Rows stay as they are, also under repeated or NULL ids; other columns
-    are not read.
+    A word of any length is encoded in linear time. Rows stay as they are, also under repeated or NULL ids; of
+    other columns only those of ``keep`` (new name: old name) come back, in place of ``id_col``.
     """
     sent = _Sent(docs.sparkSession, vocabulary)
 
@@ -223,7 +230,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
             ids = np.frombuffer(b"".join([p[0] for p in pieces]), np.int32)
             yield (ids, " ".join([p[1] for p in pieces])) if decoded else (ids,)
 
-    return map_texts(docs, {id_col: id_col}, text_col, "ids array<int>" + ", decoded string" * decoded, work)
+    return map_texts(docs, keep or {id_col: id_col}, text_col, "ids array<int>" + ", decoded string" * decoded, work)
 
 
 def decode(rows: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFrame:

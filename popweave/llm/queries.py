@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from popweave.llm import bpe, decontaminate, neighbours, simhash, token_counts, toxicity
+from popweave.llm import bpe, decontaminate, neighbours, quality, secrets, simhash, token_counts, toxicity
 from popweave.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,22 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, net).select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
     )
+
+
+def graded() -> Column:
+    """Rating of a label: 0 poor, 1 good but toxic, 2 good."""
+    return F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("quality") == 1, 2)
+
+
+@query()
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade of every document and the probability that it is better than poor, which decides what is kept."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.train(docs, labels, graded(), n_grades=3)
+    return quality.rate(docs, model, at_least=1).select("*", (F.col("tail") >= 0.5).alias("kept"))
+
+
+@query()
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of every document and which of them are secrets."""
+    return secrets.scan(table(spark, sf_dir, "documents"))

@@ -25,14 +25,17 @@ def map_texts(
     ship_package(docs.sparkSession)
     added = StructType.fromDDL(fields)
     arrow = to_arrow_schema(added)
-    rows = docs.select(*[F.col(old).alias(new) for new, old in keep.items()], F.col(text_col).alias("text"))
-    schema = StructType(rows.schema.fields[:-1] + added.fields)
+    kept, own = [F.col(old).alias(new) for new, old in keep.items()], text_col not in keep.values()
+    rows = docs.select(*kept, *[F.col(text_col).alias("_text")] * own)
+    place = len(kept) if own else [*keep.values()].index(text_col)
+    held = len(kept)
+    schema = StructType(rows.schema.fields[:held] + added.fields)
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (whole.slice(i, ROWS) for whole in parts for i in range(0, whole.num_rows, ROWS)):
-            texts = (t.as_py() or "" for t in part.column(part.num_columns - 1))
+            texts = (t.as_py() or "" for t in part.column(place))
             made = list(work(texts))
             columns = [pa.array([m[i] for m in made], type=f.type) for i, f in enumerate(arrow)]
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], *columns], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*part.columns[:held], *columns], names=schema.names)
 
     return rows.mapInArrow(batches, schema)
