@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from popweave.llm import bpe, decontaminate, neighbours, quality, secrets, simhash, token_counts, toxicity
+from popweave.llm import bpe, decontaminate, neighbours, pii, quality, secrets, simhash, token_counts, toxicity
 from popweave.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +128,18 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates of every document and which of them are secrets."""
     return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document; the counts and the digest are those of the pattern spans."""
+    docs = table(spark, sf_dir, "documents")
+    found = pii.find(docs, pii.train(*pii.training_windows(docs)))
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.filter("spans", lambda s: s["base"])
+    kinds = F.transform(base, lambda s: s["kind"])
+    counts = [F.size(F.array_remove(kinds, k)) for k in pii.KINDS]
+    counts = [(F.size(kinds) - n).cast("bigint").alias(f"n_{k}") for k, n in zip(pii.KINDS, counts, strict=True)]
+    return found.select(
+        "doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans")
+    )
