@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from popweave.llm import bpe, decontaminate, neighbours, pii, quality, secrets, simhash, token_counts, toxicity
+from popweave.llm import bpe, decontaminate, neighbours, pii, quality, secrets, simhash, token_counts, toxicity, url_filters
 from popweave.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -143,3 +143,18 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans")
     )
+
+
+URL_RULES = {
+    "com/": "allow",
+    "example.com/en/": "block",
+    "www.example.com/en/": "allow",
+    "net/es/": "block",
+    "net/fr/": "block",
+}
+
+
+@query()
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's URL: by the list, else by association rules mined from what the list has judged."""
+    return url_filters.judge(table(spark, sf_dir, "pages"), URL_RULES)
