@@ -21,7 +21,7 @@ from popweave.llm.texts import map_texts
 
 BITS = 18  # 2**BITS weights
 SAMPLE_ROWS = 6_000  # rated rows that the fit reads, at most
-SAMPLE_CELLS = 4_000_000  # features of those rows together, at most: further rows are left out, whole
+SAMPLE_CELLS = 2_500_000  # features of those rows together, at most: further rows are left out, whole
 MEMO = 300_000  # words whose features a worker remembers
 
 _RUNS = [(re.compile("[A-ZÀ-ÖØ-Þ]+"), "X"), (re.compile(r"[^\W\dX_]+"), "x"), (re.compile("[0-9]+"), "9")]
@@ -101,9 +101,12 @@ def fit(
     theta = np.concatenate([[-(n_grades - 2) / 2.0], np.zeros(max(n_grades - 2, 0))])
     if not n:
         return Ordinal(weights, np.cumsum(np.r_[theta[:1], np.exp(theta[1:])]))
-    slot, value = np.concatenate(slots), np.concatenate(values).astype(np.float64)
-    row = np.repeat(np.arange(n), [len(s) for s in slots])
-    used, place = np.unique(slot, return_inverse=True)
+    slot, value = np.concatenate(slots), np.concatenate(values).astype(np.float32)
+    row = np.repeat(np.arange(n, dtype=np.int32), [len(s) for s in slots])
+    used = np.flatnonzero(np.bincount(slot, minlength=1 << BITS))
+    number = np.zeros(1 << BITS, np.int32)
+    number[used] = np.arange(len(used))
+    place = number[slot]
     w = np.zeros(len(used))
     first, second = np.zeros(len(w) + len(theta)), np.zeros(len(w) + len(theta))
     for t in range(1, rounds + 1):
