@@ -7,6 +7,7 @@ label of the whole text teaches the window that holds the reason.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ WORD_SLOTS, GRAM_SLOTS = 1 << 14, 1 << 13
 WORD_DIM, GRAM_DIM, HIDDEN, ATTENTION = 8, 8, 8, 8
 WINDOW, STRIDE = 48, 36
 SAMPLE_TEXTS = {1: 1_000, 0: 3_000}  # labelled texts of each class that training reads, at most
-SAMPLE_WINDOWS = 40_000  # windows of them, at most: further texts of the sample are left out, whole
+SAMPLE_WINDOWS = 30_000  # windows of them, at most: further texts of the sample are left out, whole
 MEMO = 150_000  # words whose input a worker remembers
 EMPTY = 0.0  # score of a text without words
 
@@ -45,6 +46,27 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+class Slots:
+    """Slots of a list of words: one of each word, and those of all trigrams in a row."""
+
+    def __init__(self, words: np.ndarray, grams: np.ndarray, counts: np.ndarray):
+        self.words, self.grams, self.counts = words, grams, counts
+        self.starts = np.cumsum(counts) - counts
+
+    @classmethod
+    def of(cls, words: list[str]) -> Slots:
+        own, grams, counts = array("i"), array("i"), array("i")
+        for word in words:
+            slot, parts = slots_of(word)
+            own.append(slot), grams.extend(parts), counts.append(len(parts))
+        return cls(*(np.frombuffer(a, np.int32) if a else np.array([], np.int32) for a in (own, grams, counts)))
+
+    def take(self, at: np.ndarray) -> Slots:
+        counts = self.counts[at]
+        ends = np.cumsum(counts)
+        return Slots(self.words[at], self.grams[np.repeat(self.starts[at] - ends + counts, counts) + np.arange(counts.sum())], counts)
+
+
 class Network:
     """Parameters by name; ``forward`` keeps what ``backward`` needs."""
 
@@ -90,11 +112,12 @@ class Network:
         logit = pooled @ self.p["w"] + self.p["c"]
         return logit, (halves, h, u, a, pooled, live) if keep else None
 
-    def inputs(self, words: np.ndarray, grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Input vectors of words given by word slot and (padded) trigram slots."""
-        mask = np.arange(grams.shape[-1]) < counts[..., None]
-        mean = (self.p["gram"][grams] * mask[..., None]).sum(axis=-2) / counts[..., None]
-        return np.concatenate([self.p["word"][words], mean], axis=-1).astype(np.float32)
+    def inputs(self, slots: Slots) -> np.ndarray:
+        """Input vector of each word: its own vector beside the mean of its trigrams' vectors."""
+        if not len(slots.words):
+            return np.zeros((0, WORD_DIM + GRAM_DIM), np.float32)
+        sums = np.add.reduceat(self.p["gram"][slots.grams], slots.starts, axis=0)
+        return np.concatenate([self.p["word"][slots.words], sums / slots.counts[:, None]], axis=1).astype(np.float32)
 
     def backward(self, held, grad: np.ndarray) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
         """Gradients of the parameters past the inputs, and of both drives, from that of the logits."""
@@ -127,25 +150,11 @@ class Network:
         return g, drives
 
 
-class _Vocabulary:
-    """Slots of the words of a training sample, each distinct word once."""
-
-    def __init__(self, texts: list[list[str]]):
-        names = sorted({w for t in texts for w in t})
-        self.index = {w: i for i, w in enumerate(names)}
-        slots = [slots_of(w) for w in names] or [(0, [0])]
-        self.counts = np.array([len(s) for _, s in slots])
-        self.words = np.array([w for w, _ in slots])
-        self.grams = np.zeros((len(slots), self.counts.max()), np.int64)
-        for i, (_, s) in enumerate(slots):
-            self.grams[i, : len(s)] = s
-
-
 def _cut(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Windows over one text: word numbers (window, step) and which steps have a word."""
     at = windows_of(len(ids))[:, None] + np.arange(WINDOW)
     live = at < len(ids)
-    return ids[np.minimum(at, max(len(ids) - 1, 0))] if len(ids) else np.zeros(at.shape, np.int64), live
+    return ids[np.minimum(at, max(len(ids) - 1, 0))] if len(ids) else np.zeros(at.shape, np.int32), live
 
 
 def train(
@@ -156,11 +165,11 @@ def train(
     A text's logit is the largest of its windows; positives weigh as much as negatives in all.
     """
     net, rnd = Network(), np.random.default_rng(seed)
-    cut = [words_of(t) for t in texts]
-    vocabulary = _Vocabulary(cut)
-    parts = [_cut(np.array([vocabulary.index[w] for w in t], np.int64)) for t in cut]
+    index: dict[str, int] = {}
+    parts = [_cut(np.array([index.setdefault(w, len(index)) for w in words_of(t)], np.int32)) for t in texts]
+    vocabulary = Slots.of(list(index))
     toxic = np.asarray(toxic, np.float32)
-    usable = np.array([i for i, t in enumerate(cut) if t], np.int64)
+    usable = np.array([i for i, (_, live) in enumerate(parts) if live.any()], np.int64)
     if not len(usable) or len(np.unique(toxic[usable])) < 2:
         net.p["w"][:] = 0  # nothing to learn from: one score for all
         return net
@@ -172,7 +181,7 @@ def train(
     epochs = max(epochs, -(-steps // batches))
     step, last = 0, epochs * batches
     for _ in range(epochs):
-        drive = _drives(net, net.inputs(vocabulary.words, vocabulary.grams, vocabulary.counts))
+        drive = _drives(net, net.inputs(vocabulary))
         order = rnd.permutation(usable)
         for s in range(0, len(order), batch):
             rows = order[s : s + batch]
@@ -185,7 +194,8 @@ def train(
             ids, live = ids[worst], live[worst]
             distinct, place = np.unique(ids, return_inverse=True)
             place = place.reshape(ids.shape)
-            x = net.inputs(vocabulary.words[distinct], vocabulary.grams[distinct], vocabulary.counts[distinct])
+            slots = vocabulary.take(distinct)
+            x = net.inputs(slots)
             now = _drives(net, x)
             logit, held = net.forward({d: now[d][place] for d in "fb"}, live, keep=True)
             grad = (_sigmoid(logit) - toxic[rows]) * weight[rows] / len(rows)
@@ -197,12 +207,9 @@ def train(
                 g[f"W{d}"] = x.T @ by_word
                 dx += by_word @ net.p[f"W{d}"].T
             g["word"] = np.zeros_like(net.p["word"])
-            np.add.at(g["word"], vocabulary.words[distinct], dx[:, :WORD_DIM])
+            np.add.at(g["word"], slots.words, dx[:, :WORD_DIM])
             g["gram"] = np.zeros_like(net.p["gram"])
-            grams, counts = vocabulary.grams[distinct], vocabulary.counts[distinct]
-            real = np.arange(grams.shape[1]) < counts[:, None]
-            spread = np.repeat(dx[:, WORD_DIM:] / counts[:, None], counts, axis=0)
-            np.add.at(g["gram"], grams[real], spread)
+            np.add.at(g["gram"], slots.grams, np.repeat(dx[:, WORD_DIM:] / slots.counts[:, None], slots.counts, axis=0))
             step += 1
             slow = rate * (1 - 0.9 * step / last)
             for k, v in net.p.items():
@@ -230,14 +237,13 @@ class Scorer:
     def _numbers(self, words: list[str]) -> np.ndarray:
         index = self._index
         if new := [w for w in {*words} if w not in index]:
-            known = _Vocabulary([new])
-            drive = _drives(self.net, self.net.inputs(known.words, known.grams, known.counts))
+            drive = _drives(self.net, self.net.inputs(Slots.of(new)))
             at = len(self._index)
             for d in "fb":
                 while at + len(new) > len(self._drive[d]):
                     self._drive[d] = np.concatenate([self._drive[d], np.zeros_like(self._drive[d])])
                 self._drive[d][at : at + len(new)] = drive[d]
-            self._index |= {w: at + i for w, i in known.index.items()}
+            index.update(zip(new, range(at, at + len(new)), strict=True))
         return np.fromiter(map(self._index.__getitem__, words), np.int64, len(words))
 
     def scores(self, texts: list[str], block: int = 4096) -> np.ndarray:
