@@ -20,6 +20,18 @@ def _boxes(spark, d):
     )
 
 
+# for overlays: boxes that shrink as the table grows, so that each meets about as many others at any size
+TILES_SQL = """boxes AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y,
+  abs(CAST(embedding[3] AS DOUBLE)) * 8 / sqrt((SELECT count(*) FROM embeddings)) AS hx,
+  abs(CAST(embedding[4] AS DOUBLE)) * 8 / sqrt((SELECT count(*) FROM embeddings)) AS hy FROM embeddings)"""
+
+
+def _tiles(spark, d):
+    boxes = _boxes(spark, d)
+    rows = table(spark, d, "embeddings").select(F.count("*")).scalar()
+    return boxes.withColumns({c: F.col(c) * F.lit(8.0) / F.sqrt(rows) for c in ("hx", "hy")})
+
+
 def _extents(boxes):
     return boxes.select(
         "vec_id", "label",
@@ -45,12 +57,12 @@ def _holed():
     return F.array(F.array(F.get(F.get(_box_polygon(), F.lit(0)), F.lit(0)), F.get(F.get(_box_polygon(0.5), F.lit(0)), F.lit(0))))
 
 
-@query(f"""WITH {BOXES_SQL}, ends AS (SELECT vec_id, label, x - hx AS x1, y - hy AS y1, x + hx AS x2, y + hy AS y2 FROM boxes)
+@query(f"""WITH {TILES_SQL}, ends AS (SELECT vec_id, label, x - hx AS x1, y - hy AS y1, x + hx AS x2, y + hy AS y2 FROM boxes)
 SELECT a.vec_id AS a_id, b.vec_id AS b_id,
   round((least(a.x2, b.x2) - greatest(a.x1, b.x1)) * (least(a.y2, b.y2) - greatest(a.y1, b.y1)), 9) AS inter_area
 FROM ends a JOIN ends b ON a.label % 2 = 0 AND b.label % 2 = 1 AND a.x1 < b.x2 AND b.x1 < a.x2 AND a.y1 < b.y2 AND b.y1 < a.y2""")
 def box_overlay(spark, d):
-    boxes = _extents(_boxes(spark, d))
+    boxes = _extents(_tiles(spark, d))
     a = boxes.where("label % 2 = 0").withColumnRenamed("vec_id", "a_id")
     b = boxes.where("label % 2 = 1").withColumnRenamed("vec_id", "b_id")
     return V.overlay_boxes(a, b, "a_id", "b_id").withColumn("inter_area", F.round("inter_area", 9))
@@ -64,7 +76,7 @@ def _common(a: str, b: str) -> str:
 
 
 # an L is its box minus the upper right quarter; a holed box is its box minus the hole
-RING_SQL = f"""{BOXES_SQL}, ells AS (SELECT vec_id AS a_id, x - hx AS ax1, y - hy AS ay1, x + hx AS ax2, y + hy AS ay2,
+RING_SQL = f"""{TILES_SQL}, ells AS (SELECT vec_id AS a_id, x - hx AS ax1, y - hy AS ay1, x + hx AS ax2, y + hy AS ay2,
     x AS qx1, y AS qy1, x + hx AS qx2, y + hy AS qy2 FROM boxes WHERE label % 2 = 0),
   rings AS (SELECT vec_id AS b_id, x - hx AS bx1, y - hy AS by1, x + hx AS bx2, y + hy AS by2,
     x - hx / 2 AS hx1, y - hy / 2 AS hy1, x + hx / 2 AS hx2, y + hy / 2 AS hy2 FROM boxes WHERE label % 2 = 1),
@@ -73,7 +85,7 @@ RING_SQL = f"""{BOXES_SQL}, ells AS (SELECT vec_id AS a_id, x - hx AS ax1, y - h
 
 
 def _ring_sides(spark, d):
-    boxes = _boxes(spark, d)
+    boxes = _tiles(spark, d)
     a = boxes.where("label % 2 = 0").select(F.col("vec_id").alias("a_id"), _l_shape().alias("geom"))
     b = boxes.where("label % 2 = 1").select(F.col("vec_id").alias("b_id"), _holed().alias("geom"))
     return a, b

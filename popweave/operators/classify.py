@@ -59,11 +59,12 @@ def class_of(value: Column, breaks: list[Column]) -> Column:
     return sum((F.when(b < value, 1).otherwise(0) for b in breaks), F.lit(0))
 
 
-def natural_breaks(df: DataFrame, col: str, k: int = 6, null_as_zero: bool = True, rounds: int = 50) -> list[float]:
+def natural_breaks(df: DataFrame, col: str, k: int = 6, null_as_zero: bool = True) -> list[float]:
     """Upper bounds of k clusters that are tight around their means.
 
-    Starts from the means of the quantile classes and alternates assignment and means until nothing moves, so the result is
-    deterministic. Rows are first merged to value and count; a round brings only k sums to the driver.
+    Starts from the quantile classes and alternates assignment and means until no value changes its cluster. The sum of
+    squares within the clusters falls in every round, so this ends; should the rounding of sums ever bring an assignment back,
+    that ends it too. Rows are first merged to value and count; a round brings only k sums to the driver.
     """
     merged = df.select(map_value(df, col, null_as_zero).alias("x")).where("x is not null").groupBy("x").count()
     values = cut_lineage(merged)
@@ -72,14 +73,15 @@ def natural_breaks(df: DataFrame, col: str, k: int = 6, null_as_zero: bool = Tru
         return []
     start = counted_quantile_breaks(values, k).first()["breaks"]
     bounds = [float(b) for b in start[:-1]]
-    for _ in range(rounds):
+    seen = set()
+    while True:
         clusters = _clusters(values, bounds)
+        tops = tuple(c["top"] for c in clusters)
+        if tops in seen:
+            return list(tops)
+        seen.add(tops)
         means = [c["s"] / c["n"] for c in clusters]
-        middle = [(a + b) / 2 for a, b in zip(means, means[1:])]
-        if middle == bounds:
-            break
-        bounds = middle
-    return [c["top"] for c in _clusters(values, bounds)]
+        bounds = [(a + b) / 2 for a, b in zip(means, means[1:])]
 
 
 def _clusters(values: DataFrame, bounds: list[float]) -> list:

@@ -13,7 +13,7 @@ from popweave.functions.numbers import number, safe_div
 from popweave.functions.predicates import above_weight
 from popweave.functions.text import zero_pad
 from popweave.operators.ranking import with_group_total
-from popweave.session import ship_package
+from popweave.session import cut_lineage, ship_package
 
 BOX = ["minx", "miny", "maxx", "maxy"]
 MIN_LEVEL = -30
@@ -235,14 +235,15 @@ def overlay(a: DataFrame, b: DataFrame, a_id: str, b_id: str, geom: str = "geom"
     pairs = boxes.select(
         a_id, b_id, F.greatest("a_minx", "b_minx").alias("_lo"), F.least("a_maxx", "b_maxx").alias("_hi")
     )
-    # Spread evenly while rows are just ids and a range: the work per pair is what costs, not its bytes, and a shape that a third
-    # of all pairs share must not end up in one task.
-    pairs = pairs.repartition(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), a_id, b_id)
-    # Each shape's edges are attached once candidates are known, so they do not travel with every grid cell, and of
-    # them only those that reach into the pair's common range go on to Python.
-    full = pairs.join(a.select(a_id, edge_list(geom).alias("_ea")), a_id).join(
-        b.select(b_id, edge_list(geom).alias("_eb")), b_id
-    )
+    # Each shape's edges are attached once candidates are known, so they do not travel with every grid cell, and are cut to
+    # the pair's common range at once, so only those travel on. A shape of many pairs is split by the joins' skew handling.
+    with_a = pairs.join(a.select(a_id, edge_list(geom).alias("_ea")), a_id)
+    with_a = with_a.withColumn("_ea", edges_between("_ea", "_lo", "_hi"))
+    full = with_a.join(b.select(b_id, edge_list(geom).alias("_eb")), b_id)
+    reaching = full.select(a_id, b_id, "_lo", "_hi", "_ea", edges_between("_eb", "_lo", "_hi").alias("_eb"))
+    # Spread evenly just before the kernel: the work per pair is what costs, not its bytes. The number is that of other
+    # shuffles, so that small rows are not put together again.
+    reaching = reaching.repartition(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), a_id, b_id)
 
     def areas(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -251,9 +252,6 @@ def overlay(a: DataFrame, b: DataFrame, a_id: str, b_id: str, geom: str = "geom"
 
     fields = {f.name: f.dataType.simpleString() for f in full.schema.fields}
     schema = f"`{a_id}` {fields[a_id]}, `{b_id}` {fields[b_id]}, inter_area double"
-    reaching = full.select(
-        a_id, b_id, "_lo", "_hi", edges_between("_ea", "_lo", "_hi").alias("_ea"), edges_between("_eb", "_lo", "_hi").alias("_eb")
-    )
     return reaching.mapInPandas(areas, schema).where("inter_area > 0")
 
 
@@ -263,7 +261,8 @@ def crosswalk_weights(
     """Weight of every piece of a source area: its area fraction, or with a population its share of the source's pieces.
 
     The population is the same for all pieces of a source, so it cancels: the weights are the area fractions rescaled to sum
-    to 1. A source whose parts sum to nothing keeps its plain fractions.
+    to 1. A source whose parts sum to nothing keeps its plain fractions. With a population the parts are read twice, so they
+    are checkpointed: what made them, perhaps the overlay's kernel, runs once.
     """
     fraction = F.coalesce(safe_div(F.col("inter_area"), F.col(source_area)), F.lit(0.0))
     rows = pieces.withColumn("_fraction", fraction)
@@ -271,7 +270,7 @@ def crosswalk_weights(
         rows = rows.withColumn("weight", F.col("_fraction"))
     else:
         rows = rows.withColumn("_part", F.col("_fraction") * F.coalesce(number(pieces, population), F.lit(0.0)))
-        rows = with_group_total(rows, [source], "_part", "_sum")
+        rows = with_group_total(cut_lineage(rows), [source], "_part", "_sum")
         rows = rows.withColumn(
             "weight",
             F.when(F.col("_sum") > 0, safe_div("_part", "_sum")).otherwise(F.col("_fraction")),

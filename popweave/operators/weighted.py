@@ -143,9 +143,12 @@ def weighted_median(
 
 
 def pivot_sum(
-    df: DataFrame, index: list[str], column: str, value: str, values: list, row_total: str | None = None, prefix: str = ""
+    df: DataFrame, index: list[str], column: str, value: str, values: list | None = None, row_total: str | None = None, prefix: str = ""
 ) -> DataFrame:
-    """One column per listed value, missing combinations as 0; optionally a row total."""
+    """One column per value, or per listed value only, missing combinations as 0; optionally a total over these columns."""
+    if values is None:  # as many as the result has columns
+        there = df.where(keys_present([*index, column])).select(F.col(column).alias("v")).distinct()
+        values = [r["v"] for r in there.orderBy("v").collect()]
     names = [f"{prefix}{v}" for v in values]
     wide = df.where(keys_present([*index, column])).groupBy(*index).pivot(column, values).agg(F.sum(measure(df, value)))
     wide = wide.toDF(*index, *names).fillna(0, subset=names)

@@ -5,18 +5,19 @@ import re
 import pytest
 
 import __spark_entry__ as driver
+from popweave.catalog import QUERIES
 from popweave.session import shared_root
 
 SF_DIR = "/root/testdata/sf0.001"
 PYTHON = {"html_tables", "source_priority", "repeat_header_drop", "snapshot_by_month", "snapshot_schools_by_month",
-          "rows_by_name", "ring_overlay", "build_crosswalk"}
+          "rows_by_name", "ring_overlay"}
 
 
 def plan(spark, name):
     return driver.queries()[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(driver.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_pairs_of_everything_and_no_stray_python(spark, name):
     text = plan(spark, name)
     assert not re.search(r"BroadcastNestedLoopJoin|CartesianProduct", text)
@@ -27,6 +28,21 @@ def test_pages_are_parsed_once(spark):
     assert len(re.findall("ArrowEvalPython", plan(spark, "snapshot_by_month"))) == 1
 
 
+def test_overlay_runs_its_kernel_once_and_cuts_edges_before_they_travel(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = driver.queries()["ring_overlay"](spark, SF_DIR)
+        df.collect()
+        final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(re.findall("MapInPandas", final)) == 1
+    kernel = final[final.index("MapInPandas") :]
+    assert kernel.index("Exchange hashpartitioning(a_id") < kernel.index("SortMergeJoin")
+    # below the second join the first side's edges are already cut
+    assert re.search(r"flatten\(transform\(filter\(", kernel[kernel.index("SortMergeJoin") + 1 :])
+
+
 def test_top_n_is_limited_before_the_shuffle(spark):
     assert "WindowGroupLimit" in plan(spark, "topn_per_group")
     assert "TakeOrderedAndProject" in plan(spark, "topn_global")

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as driver
+from popweave.catalog import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 TABLES = (
@@ -37,7 +38,7 @@ def ordered(rows):
 SPARK_TO_SQL = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
 
 
-@pytest.mark.parametrize("name", sorted(driver.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, duck, name):
     df = driver.queries()[name](spark, SF_DIR)
     columns = sorted(df.columns)
