@@ -54,15 +54,15 @@ def apportion_moe(spark, d):
 
 @query(f"""WITH {STATS_SQL} SELECT zip, round(sum(estimate * weight), 4) AS estimate, round(sqrt(sum((moe * weight) ** 2)), 6) AS moe
 FROM (SELECT l_partkey % 1000 AS k, estimate, moe FROM stats) s
-JOIN (SELECT zip, l_partkey AS k, weight FROM xwalk WHERE l_partkey < 1000) x ON s.k = x.k GROUP BY zip""")
+JOIN (SELECT zip, l_partkey % 1000 AS k, weight FROM xwalk) x ON s.k = x.k GROUP BY zip""")
 def key_width_join(spark, d):
     """Six-digit keys: areas whose ids end alike all match, and the width is found from the crosswalk."""
     parts = _stats(spark, d)
     stats = parts.withColumn(
         "geoid", F.concat(F.lit("36"), F.substring("geoid", 6, 3), F.lit("000"), F.substring("geoid", 9, 3))
     )
-    short = _published_crosswalk(spark, d).where(F.col("tract").cast("bigint") < 1000)
-    short = short.withColumn("tract", F.right("tract", F.lit(6)))
+    short = _published_crosswalk(spark, d)
+    short = short.withColumn("tract", F.concat(F.lit("000"), F.right("tract", F.lit(3))))
     out = A.apportion(stats, short, rounded=False)
     return out.withColumns({"estimate": F.round("estimate", 4), "moe": F.round("moe", 6)})
 

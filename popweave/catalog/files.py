@@ -36,6 +36,16 @@ def partitioned_snapshots(spark, d):
     )
 
 
+def _put_csv(spark, rows, folder: str, name: str, encoding: str = "UTF-8") -> None:
+    """CSV files whose own names tell the year, as those of published files do."""
+    rows.write.option("header", True).option("encoding", encoding).option("escape", '"').csv(folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = [f.getPath() for f in files.listStatus(path(folder)) if f.getPath().getName().startswith("part-")]
+    for i, part in enumerate(parts):
+        files.rename(part, path(f"{folder}/{name}_{i}.csv"))
+
+
 def _completions_folder(spark, d) -> str:
     """Yearly files: other column order, other spelling, Latin-1 text, one without a total, one without a year."""
     root = scratch_path(spark, "completions")
@@ -49,27 +59,59 @@ def _completions_folder(spark, d) -> str:
     )
 
     def put(rows, name: str, encoding: str = "UTF-8"):
-        # the year sits in the file's own name, as in published files; Spark names files, so the folder is read by pattern
-        rows.write.option("header", True).option("encoding", encoding).option("escape", '"').csv(f"{root}/{name}")
+        _put_csv(spark, rows, f"{root}/{name}", f"c{name}", encoding)
 
-    put(orders.where("y = 1995").drop("y"), "a")
+    put(orders.where("y = 1995").drop("y"), "1995")
     put(orders.where("y = 1996").select("CIPTITLE", F.col("CTOTALT").alias(" ctotal_t"), "AWLEVEL", "CIPCODE", "UNITID",
-                                        F.lit("1").alias("MAJOR_NUM")), "b")
+                                        F.lit("1").alias("MAJOR_NUM")), "1996")
     accented = orders.where("y = 1997").withColumn("CIPTITLE", F.concat(F.lit("ét"), "CIPTITLE"))
-    put(accented.drop("y"), "c", "ISO-8859-1")
-    put(orders.where("y = 1998").drop("y", "CTOTALT"), "skipped")
+    put(accented.drop("y"), "1997", "ISO-8859-1")
+    put(orders.where("y = 1998").drop("y", "CTOTALT"), "1998")
+    # both spellings in one file: the first one counts there, empty or not
+    first = F.when(F.col("CIPTITLE").cast("bigint") % 2 == 0, F.col("CTOTALT"))
+    put(orders.where("y >= 1999").drop("y").withColumn("CTOTALT", first).withColumn("CTOTAL_T", F.lit("9")), "1999")
     return root
 
 
-@query("""SELECT CAST(NULL AS INTEGER) AS year, CAST(o_custkey AS VARCHAR) AS unitid, '0' || (o_orderkey % 90) || '.01' AS cipcode,
+@query("""SELECT CAST(least(year(o_orderdate), 1999) AS INTEGER) AS year, CAST(o_custkey AS VARCHAR) AS unitid, '0' || (o_orderkey % 90) || '.01' AS cipcode,
   CASE WHEN year(o_orderdate) = 1996 THEN '1' END AS majornum, substr(o_orderpriority, 1, 1) AS awlevel,
-  CASE WHEN year(o_orderdate) = 1997 THEN 'ét' ELSE '' END || o_orderkey AS ciptitle, CAST(round_even(o_totalprice, 0) AS BIGINT) AS ctotal
-FROM orders WHERE year(o_orderdate) BETWEEN 1995 AND 1997""")
+  CASE WHEN year(o_orderdate) = 1997 THEN 'ét' ELSE '' END || o_orderkey AS ciptitle,
+  CASE WHEN year(o_orderdate) >= 1999 AND o_orderkey % 2 = 1 THEN 0 ELSE CAST(round_even(o_totalprice, 0) AS BIGINT) END AS ctotal
+FROM orders WHERE year(o_orderdate) <> 1998""")
 def drifting_csv_union(spark, d):
+    """All years but the one whose file has no total and is skipped."""
+    root = _completions_folder(spark, d)
+    return E.load_completions(spark, [f"{root}/{year}" for year in range(1995, 2000)])
+
+
+@query("""WITH done AS (SELECT CAST(least(year(o_orderdate), 1999) AS INTEGER) AS year, o_custkey, '0' || (o_orderkey % 90) || '.01' AS cipcode,
+    CASE WHEN year(o_orderdate) = 1997 THEN 'ét' ELSE '' END || o_orderkey AS ciptitle, substr(o_orderpriority, 1, 1) AS awlevel,
+    CASE WHEN year(o_orderdate) = 1996 THEN '1' END AS majornum,
+    CASE WHEN year(o_orderdate) >= 1999 AND o_orderkey % 2 = 1 THEN 0 ELSE CAST(round_even(o_totalprice, 0) AS BIGINT) END AS ctotal
+  FROM orders WHERE year(o_orderdate) <> 1998),
+placed AS (SELECT done.*, c_name, c_nationkey, CASE
+    WHEN year = 1995 AND o_custkey % 3 <> 0 THEN 1995 WHEN o_custkey % 3 <> 1 THEN 1997 ELSE 1995 END AS of_year
+  FROM done JOIN customer ON o_custkey = c_custkey)
+SELECT year, CAST(o_custkey AS VARCHAR) AS unitid, c_name || of_year AS instnm, 'S' || c_nationkey AS stabbr, cipcode, ciptitle, awlevel,
+  majornum, ctotal FROM placed""")
+def completions_job(spark, d):
+    """Yearly completions with the institution of the same year's directory, else of the latest that has it."""
     root = _completions_folder(spark, d)
-    loaded = E.load_completions(spark, [f"{root}/{n}" for n in ("a", "b", "c", "skipped")])
-    # Spark's own file names hold random digits, which may look like a year
-    return loaded.withColumn("year", F.lit(None).cast("int"))
+    customer = table(spark, d, "customer")
+    key = F.col("c_custkey")
+
+    def put(rows, year: int, state: str):
+        named = rows.select(
+            key.cast("string").alias("UNITID"), F.concat("c_name", F.lit(str(year))).alias("INSTNM"),
+            F.concat(F.lit("S"), F.col("c_nationkey").cast("string")).alias(state),
+        )
+        _put_csv(spark, named, f"{root}/directory{year}", f"hd{year}")
+
+    put(customer.where(key % 3 != 0), 1995, "STABBR")
+    put(customer.where(key % 3 != 1), 1997, "STATE_ABBR")
+    completions = E.load_completions(spark, [f"{root}/{year}" for year in range(1995, 2000)])
+    directory = E.load_directory(spark, [f"{root}/directory{year}" for year in (1995, 1997)])
+    return E.completions_by_field(completions, directory)
 
 
 @query("""SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 2023 WHEN 1 THEN 1999 END AS year FROM orders""")

@@ -303,14 +303,11 @@ def unpivot_slots_range(spark, d):
 
 
 @query(f"""WITH {PERSONS}
-SELECT "PUMA", CAST(coalesce(sum("PWGTP") FILTER ("ESR" = 1), 0) AS BIGINT) AS esr_1,
-  CAST(coalesce(sum("PWGTP") FILTER ("ESR" = 2), 0) AS BIGINT) AS esr_2,
-  CAST(coalesce(sum("PWGTP") FILTER ("ESR" = 3), 0) AS BIGINT) AS esr_3,
-  CAST(sum("PWGTP") FILTER ("ESR" <= 3) AS BIGINT) AS all_three
-FROM persons GROUP BY 1 HAVING count(*) FILTER ("ESR" <= 3) > 0""")
+SELECT "PUMA", {", ".join(f'CAST(coalesce(sum("PWGTP") FILTER ("ESR" = {i}), 0) AS BIGINT) AS esr_{i}' for i in range(1, 8))},
+  CAST(sum("PWGTP") AS BIGINT) AS all_of_them
+FROM persons GROUP BY 1""")
 def pivot_sum(spark, d):
-    people = persons(spark, d, ("customer",)).where("ESR <= 3")
-    return W.pivot_sum(people, ["PUMA"], "ESR", "PWGTP", [1, 2, 3], row_total="all_three", prefix="esr_")
+    return W.pivot_sum(persons(spark, d, ("customer",)), ["PUMA"], "ESR", "PWGTP", row_total="all_of_them", prefix="esr_")
 
 
 COVERED = f"""covered AS (SELECT trim("HICOV") AS code, CAST(sum("PWGTP" * {SLOT_HITS}) AS BIGINT) AS weighted_count

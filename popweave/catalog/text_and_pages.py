@@ -198,9 +198,10 @@ def snapshot_schools_by_month(spark, d):
 
 
 @query("""SELECT o_orderkey, r, CASE WHEN r = 0 THEN c WHEN r = 2 THEN 'aruba' ELSE 'Country of Citizenship' END AS country, 'absent' AS note FROM (
-  SELECT *, CASE o_orderkey % 3 WHEN 0 THEN 'ARUBA' WHEN 1 THEN 'Aruba' ELSE 'Peru' END AS c FROM orders), range(3) t(r) WHERE o_orderkey % 4 = 0""")
+  SELECT *, CASE o_orderkey % 3 WHEN 0 THEN 'ARUBA' WHEN 1 THEN 'Aruba' ELSE 'Peru' END AS c FROM orders WHERE o_orderkey % 4 = 0), range(3) t(r)
+UNION ALL SELECT o_orderkey, 0, NULL, 'absent' FROM orders WHERE o_orderkey % 4 IN (1, 2)""")
 def rows_by_name(spark, d):
-    pages = _html(spark, d).where("o_orderkey % 4 = 0")
+    pages = _html(spark, d)
     tables = P.main_table(P.extract_html_tables(pages))
     rows = N.named_rows(tables, ["Country of Citizenship", "Nowhere"], ["o_orderkey"])
     numbered = rows.select(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -123,10 +124,8 @@ def bin_codes(code: Column, bins: Bins) -> Column:
 
 
 def literal_map(table: dict[str, str]) -> Column:
-    """A small constant code list as a map literal; no join, nothing to broadcast."""
-    if len(table) > 2000:
-        raise ValueError("code list too large for a literal, join it as a DataFrame")
-    return F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
+    """A constant code list of any length as a map; no join, nothing to broadcast. It is one literal, folded before the run."""
+    return F.from_json(F.lit(json.dumps(table)), "map<string,string>")
 
 
 def lookup(code: ColumnOrName, table: dict[str, str]) -> Column:

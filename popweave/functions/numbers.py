@@ -86,9 +86,3 @@ def visibility(numerator: ColumnOrName, denominator: ColumnOrName) -> Column:
 def marker_size(value: ColumnOrName, maximum: Column) -> Column:
     """20 + 80 * sqrt(value / maximum), missing value as 0."""
     return F.lit(20.0) + F.lit(80.0) * F.sqrt(safe_div(F.coalesce(as_col(value), F.lit(0)), maximum))
-
-
-def root_sum_square(c: ColumnOrName) -> Column:
-    """Margin of error of a sum of independent estimates."""
-    c = as_col(c).cast("double")
-    return F.sqrt(F.coalesce(F.sum(c * c), F.lit(0.0)))

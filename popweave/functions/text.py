@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import html
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 from popweave.functions.numbers import ColumnOrName, as_col
@@ -14,9 +15,6 @@ MONTHS = [
     "July", "August", "September", "October", "November", "December",
 ]
 
-# The character references that occur in link targets.
-ENTITIES = {"&quot;": '"', "&#39;": "'", "&apos;": "'", "&lt;": "<", "&gt;": ">", "&nbsp;": " ", "&amp;": "&"}
-
 
 def zero_pad(c: ColumnOrName, width: int) -> Column:
     """Left-pad with zeros; a longer value is left whole (``lpad`` alone would cut it)."""
@@ -48,8 +46,13 @@ def strip_tags(c: ColumnOrName) -> Column:
 
 
 def unescape(c: ColumnOrName) -> Column:
-    """Resolve the common character references; ``&amp;`` last, so that nothing is unescaped twice."""
-    return reduce(lambda acc, kv: F.replace(acc, F.lit(kv[0]), F.lit(kv[1])), ENTITIES.items(), as_col(c))
+    """Resolve all character references, named and numeric, once each, as the HTML standard does."""
+
+    @F.pandas_udf("string")
+    def resolved(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: html.unescape(v) if v is not None and "&" in v else v)
+
+    return resolved(as_col(c))
 
 
 def caption_month(c: ColumnOrName) -> tuple[Column, Column]:
@@ -100,15 +103,28 @@ def resolve_url(href: ColumnOrName, page_url: ColumnOrName) -> Column:
     site = F.regexp_extract(page, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
     path = F.regexp_extract(page, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
     no_query = F.concat(site, path)
-    folder = F.concat(site, F.when(path == "", F.lit("/")).otherwise(F.regexp_extract(path, r"^(.*/)", 1)))
-    joined = (
+    folder = F.when(path == "", F.lit("/")).otherwise(F.regexp_extract(path, r"^(.*/)", 1))
+    return (
         F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href)
         .when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
-        .when(href.startswith("/"), F.concat(site, href))
+        .when(href.startswith("/"), F.concat(site, _without_steps(href)))
         .when(href.startswith("?"), F.concat(no_query, href))
+        .when(href.startswith("#"), F.concat(F.regexp_extract(page, "^([^#]*)", 1), href))
         .when(href == "", page)
-        .otherwise(F.concat(folder, href))
+        .otherwise(F.concat(site, _without_steps(F.concat(folder, href))))
+    )
+
+
+def _without_steps(target: Column) -> Column:
+    """A rooted path, with what follows it, whose ``.`` and ``..`` steps are taken; steps above the root lead to the root."""
+    parts = F.split(F.regexp_extract(target, r"^/([^?#]*)", 1), "/")
+    tail = F.regexp_extract(target, r"^[^?#]*(.*)$", 1)
+    taken = F.aggregate(
+        parts,
+        F.array().cast("array<string>"),
+        lambda done, p: F.when(p == ".", done)
+        .when(p == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))))
+        .otherwise(F.array_append(done, p)),
     )
-    # "./" and "../" steps of a relative path; the depth of real links is small and each pass removes one step
-    here = F.regexp_replace(joined, r"/(\./)+", "/")
-    return reduce(lambda u, _: F.regexp_replace(u, r"^([^?#]*?//[^?#]*?)/(?!\.\./)[^/?#]+/\.\./", "$1/"), range(4), here)
+    ends = F.when(F.element_at(parts, -1).isin(".", ".."), F.array_append(taken, F.lit(""))).otherwise(taken)
+    return F.concat(F.lit("/"), F.array_join(ends, "/"), tail)

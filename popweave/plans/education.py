@@ -19,7 +19,6 @@ COUNTRY_PATTERNS = [r"\bCoC\b", r"Country of Citizenship", r"\bCountry\b"]
 STATE_PATTERNS = [r"\bStateAbbrv\b", r"\bState\b", r"U\.?S\.?\s*State"]
 SCHOOL_PATTERNS = [r"\bU\.?S\.?\s*School\b", r"\bSchool Name\b", r"\bSchool\b"]
 COUNT_PATTERNS = [r"Count of Active STEM Students", r"Active Students", r"\bCount\b"]
-LEVEL_PATTERNS = [r"Student\s*Education\s*Level"]
 
 
 def with_attainment(persons: DataFrame, bins: Bins | None = None, code: str | None = None) -> DataFrame:
@@ -128,8 +127,8 @@ def country_by_state(table: DataFrame, count: str = "students") -> DataFrame:
     return sort_rows(group_sum(table, ["year", "stabbr"], count), ["year", "stabbr"])
 
 
-def country_state_pivot(by_state: DataFrame, years: list[int], count: str = "students") -> DataFrame:
-    """One row per state, one column per listed year, missing as 0."""
+def country_state_pivot(by_state: DataFrame, years: list[int] | None = None, count: str = "students") -> DataFrame:
+    """One row per state, one column per year, or per listed year, missing as 0."""
     return sort_rows(pivot_sum(by_state, ["stabbr"], "year", count, years), ["stabbr"])
 
 
@@ -139,28 +138,23 @@ def load_completions(spark: SparkSession, path: str) -> DataFrame:
         "year": "int", "unitid": "string", "cipcode": "string", "majornum": "string",
         "awlevel": "string", "ciptitle": "string", "ctotal": "bigint",
     }
-    rows = scan_drifting_csv(
-        spark, path, required=[["unitid"], ["cipcode"], ["awlevel"], ["ctotalt", "ctotal_t"]]
-    )
+    # a file has one of two spellings, or both and then the first counts
+    spellings = {"ctotal": ["ctotalt", "ctotal_t"], "majornum": ["majornum", "major_num"]}
+    required = [["unitid"], ["cipcode"], ["awlevel"], spellings["ctotal"]]
+    rows = scan_drifting_csv(spark, path, required=required, spellings=spellings)
     if rows is None:
         return spark.createDataFrame([], ", ".join(f"{n} {t}" for n, t in schema.items()))
-    # a file has one of the two spellings, or both and then the first counts
-    for target, names in (("ctotal", ["ctotalt", "ctotal_t"]), ("majornum", ["majornum", "major_num"])):
-        have = [F.col(n) for n in names if n in rows.columns]
-        if have:
-            rows = rows.withColumn(target, F.coalesce(*have))
     return conform(rows.withColumn("ctotal", count_int("ctotal")), schema)
 
 
 def load_directory(spark: SparkSession, path: str) -> DataFrame:
     """(year, unitid, instnm, stabbr) of all yearly directory files in a folder."""
     schema = {"year": "int", "unitid": "string", "instnm": "string", "stabbr": "string"}
-    rows = scan_drifting_csv(spark, path, required=[["unitid"], ["instnm"]])
+    rows = scan_drifting_csv(
+        spark, path, required=[["unitid"], ["instnm"]], spellings={"stabbr": ["stabbr", "state_abbr"]}
+    )
     if rows is None:
         return spark.createDataFrame([], ", ".join(f"{n} {t}" for n, t in schema.items()))
-    if "state_abbr" in rows.columns:
-        spelled = [F.col(n) for n in ("stabbr", "state_abbr") if n in rows.columns]
-        rows = rows.withColumn("stabbr", F.coalesce(*spelled))
     return conform(rows, schema)
 
 

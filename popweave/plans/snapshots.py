@@ -27,8 +27,11 @@ def select_links(
 
 
 def snapshot_tables(links: DataFrame, pages: DataFrame, tag: str = "flagged", page_suffix: str = "") -> DataFrame:
-    """Each link's page with its main table: url, year, month, flag, slug, source, header, rows, csv_url."""
-    landed = links.join(pages.select("url", "html"), "url")
+    """Each link's page with its main table: url, year, month, flag, slug, source, header, rows, csv_url.
+
+    A page that landed more than once counts once, with its greatest text, as nothing tells which landing is newer.
+    """
+    landed = links.join(pages.groupBy("url").agg(F.max("html").alias("html")), "url")
     tables = main_table(extract_html_tables(landed), tokens=HEADER_TOKENS).drop("html")
     slug = snapshot_slug(F.col("year"), F.col("month"), F.col("flag"), F.col("url"), tag, page_suffix)
     return tables.withColumn("slug", slug)
@@ -104,12 +107,6 @@ def named_rows(tables: DataFrame, columns: list[str], keep: list[str]) -> DataFr
     return rows.select(*keep, *[F.get("_r", F.col(f"_at{i}")).alias(c) for i, c in enumerate(columns)])
 
 
-def header_names(tables: DataFrame) -> list[str]:
-    """All column names that occur, sorted: a small action whose result is the width of the union."""
-    names = tables.select(F.explode("header").alias("n")).where("n is not null").distinct()
-    return [r["n"] for r in names.orderBy("n").collect()]
-
-
 def page_table(pages: DataFrame, keep: list[str] = ["url"]) -> DataFrame:
     """The widest table of each page, cleaned: empty rows and repeated headers dropped."""
     return drop_repeated_headers(main_table(extract_html_tables(pages))).select(*keep, "source", "header", "rows")

@@ -38,8 +38,8 @@ def year_from_name(name: Column) -> Column:
 def file_headers(spark: SparkSession, path: str | list[str], glob: str | None = "*.csv") -> DataFrame:
     """One row per file: path, header line, and whether all of it is valid UTF-8.
 
-    One splittable scan; lines are reduced to one row per file and task before the shuffle. The first line is
-    the lowest row id in the split that starts the file.
+    One splittable scan; lines are reduced to one row per file and task before the shuffle. The header is the first line
+    that is not blank, by row id, in the split that starts the file.
     """
     reader = spark.read.option("pathGlobFilter", glob) if glob else spark.read
     lines = reader.text(path).select(
@@ -49,7 +49,7 @@ def file_headers(spark: SparkSession, path: str | list[str], glob: str | None =
         F.monotonically_increasing_id().alias("row_id"),
     )
     return lines.groupBy("path").agg(
-        F.min_by("value", F.when(F.col("starts"), F.col("row_id"))).alias("header"),
+        F.min_by("value", F.when(F.col("starts") & (F.trim("value") != ""), F.col("row_id"))).alias("header"),
         F.bool_and(F.is_valid_utf8(F.col("value"))).alias("utf8"),
     )
 
@@ -61,12 +61,14 @@ def scan_drifting_csv(
     required: list[list[str]] | None = None,
     multiline: bool = False,
     with_year: bool = True,
+    spellings: dict[str, list[str]] | None = None,
 ) -> DataFrame | None:
     """Union by column name of files whose headers, column order and encoding differ.
 
     Files that share a header and an encoding are read as one scan, so the plan grows with the number of layouts, not
     of files. Names are lower-cased and trimmed. ``required`` lists alternatives, any one of which a file must
-    have; other files are skipped. Returns None when no file qualifies.
+    have; other files are skipped. ``spellings`` lists other names of a column; of those that a file has, the first counts,
+    for the whole file. Returns None when no file qualifies.
     """
     # only file names and header lines come to the driver, which lists the files anyway
     layouts: dict[tuple[str, bool], list[str]] = {}
@@ -85,6 +87,9 @@ def scan_drifting_csv(
         part = normalize_columns(raw.select(*named, *extra))
         if required and not all(any(c in part.columns for c in options) for options in required):
             continue
+        for target, names in (spellings or {}).items():
+            if given := [n for n in names if n in part.columns]:
+                part = part.withColumn(target, F.col(given[0]))
         parts.append(part)
     if not parts:
         return None

@@ -7,11 +7,12 @@ from pyspark.sql.types import ArrayType, MapType, StringType, StructField, Struc
 
 from popweave.functions.geometry import GEOMETRY, point
 
+# coordinates stay text here; their nesting depends on the geometry type
+PART = StructType([StructField("type", StringType()), StructField("coordinates", StringType())])
 FEATURE = StructType(
     [
         StructField("properties", MapType(StringType(), StringType())),
-        # coordinates stay text here; their nesting depends on the geometry type
-        StructField("geometry", StructType([StructField("type", StringType()), StructField("coordinates", StringType())])),
+        StructField("geometry", StructType([*PART.fields, StructField("geometries", ArrayType(PART))])),
     ]
 )
 
@@ -30,13 +31,21 @@ def polygons_from_coordinates(kind: Column, coordinates: Column) -> Column:
     return F.when(kind == "Polygon", single).when(kind == "MultiPolygon", multi).otherwise(F.lit(None).cast(GEOMETRY))
 
 
+def polygons_of(geometry: Column) -> Column:
+    """Polygons of a geometry; of a collection those of all its polygon members. NULL when it has none."""
+    members = F.filter(geometry["geometries"], lambda g: g["type"].isin("Polygon", "MultiPolygon"))
+    together = F.flatten(F.transform(members, lambda g: polygons_from_coordinates(g["type"], g["coordinates"])))
+    own = polygons_from_coordinates(geometry["type"], geometry["coordinates"])
+    return F.when((geometry["type"] == "GeometryCollection") & (F.size(members) > 0), together).otherwise(own)
+
+
 def features(df: DataFrame, text: str, keep: list[str] | None = None) -> DataFrame:
     """Parse one GeoJSON feature per row of text."""
     parsed = df.select(*(keep or []), F.from_json(F.col(text), FEATURE).alias("_f"))
     return parsed.select(
         *(keep or []),
         F.col("_f.properties").alias("properties"),
-        polygons_from_coordinates(F.col("_f.geometry.type"), F.col("_f.geometry.coordinates")).alias("geom"),
+        polygons_of(F.col("_f.geometry")).alias("geom"),
     )
 
 
@@ -52,9 +61,7 @@ def scan_geojson(spark: SparkSession, path: str | list[str], layout: str = "coll
     collection = StructType([StructField("features", ArrayType(FEATURE))])
     whole_files = layout == "collection_files"
     rows = spark.read.schema(collection).option("multiLine", whole_files).json(path).select(F.inline("features"))
-    return rows.select(
-        "properties", polygons_from_coordinates(F.col("geometry.type"), F.col("geometry.coordinates")).alias("geom")
-    )
+    return rows.select("properties", polygons_of(F.col("geometry")).alias("geom"))
 
 
 def feature_ids(shapes: DataFrame, candidates: list[str], name: str, width: int | None = None) -> DataFrame:

@@ -277,17 +277,20 @@ def table_cells(df: DataFrame, keep: list[str], tables: str = "tables") -> DataF
     return per_table.select(*keep, "table_no", F.posexplode("_rows").alias("row_no", "cells"))
 
 
-ANCHOR = r'(?is)<a\s+[^>]*href="([^"]+)"[^>]*>(.*?)</a>'
+# an attribute is a name and perhaps a value, between double or single quotes or without any
+ATTRIBUTE = r"""[^\s"'>/=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'=<>`]++))?+"""
+TARGET = r"""href\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'=<>`]++))"""
+ANCHOR = rf"(?is)<a(?=\s)(?:[\s/]++(?!href\s*=){ATTRIBUTE})*+[\s/]++{TARGET}(?:[\s/]*+{ATTRIBUTE})*+[\s/]*+>(.*?)</a\s*>"
 
 
 def extract_links(pages: DataFrame, keep: list[str], html: str = "html") -> DataFrame:
-    """(href, text) of every anchor in page order, tags inside the text removed."""
-    zipped = F.arrays_zip(
-        F.regexp_extract_all(F.col(html), F.lit(ANCHOR), F.lit(1)).alias("href"),
-        F.regexp_extract_all(F.col(html), F.lit(ANCHOR), F.lit(2)).alias("text"),
-    )
-    rows = pages.select(*keep, F.posexplode(zipped).alias("link_no", "_l"))
-    return rows.select(*keep, "link_no", F.col("_l.href").alias("href"), F.trim(strip_tags("_l.text")).alias("text"))
+    """(href, text) of every anchor that has a target, in page order, tags inside the text removed."""
+    names = ["double", "single", "bare", "text"]
+    groups = [F.regexp_extract_all(F.col(html), F.lit(ANCHOR), F.lit(i + 1)).alias(n) for i, n in enumerate(names)]
+    found = F.filter(F.arrays_zip(*groups), lambda a: F.concat(a["double"], a["single"], a["bare"]) != "")
+    rows = pages.select(*keep, F.posexplode(found).alias("link_no", "_l"))
+    href = F.concat("_l.double", "_l.single", "_l.bare")
+    return rows.select(*keep, "link_no", href.alias("href"), F.trim(strip_tags("_l.text")).alias("text"))
 
 
 def link_catalogue(
@@ -310,14 +313,12 @@ def link_catalogue(
     return first_per_key(described, ["url"], [page_id, "link_no"]).drop(page_id, "link_no")
 
 
-CSV_LINK = r"""(?i)href\s*=\s*["']([^"']*?\.csv[^"']*)["']|data-csv-url\s*=\s*["']([^"']+)["']"""
+# a target that names a CSV file, or the attribute that holds one, in either kind of quotes
+CSV_LINK = r"""(?i)\bhref\s*+=\s*+(?:"([^"]*?\.csv[^"]*+)"|'([^']*?\.csv[^']*+)')|\bdata-csv-url\s*+=\s*+(?:"([^"]++)"|'([^']++)')"""
 
 
 def first_csv_link(html: ColumnOrName, url: ColumnOrName) -> Column:
     """First CSV link of a page, resolved against the page; NULL when there is none."""
     html = as_col(html)
-    target = F.coalesce(
-        F.nullif(F.regexp_extract(html, CSV_LINK, 1), F.lit("")),
-        F.nullif(F.regexp_extract(html, CSV_LINK, 2), F.lit("")),
-    )
+    target = F.coalesce(*[F.nullif(F.regexp_extract(html, CSV_LINK, i), F.lit("")) for i in (1, 2, 3, 4)])
     return F.when(target.isNotNull(), resolve_url(unescape(target), url))

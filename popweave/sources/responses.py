@@ -38,17 +38,20 @@ def scan_header_json(
 ) -> DataFrame:
     """A directory of landed response pages, one to a file or one to a line, as one table.
 
-    Without ``columns``, those of one page's header are used.
+    Without ``columns``, those of all pages' headers are used, in the order in which the pages, by path and line, name them.
     """
     reader = spark.read.option("wholetext", not per_line)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     docs = reader.text(path)
     if columns is None:
-        first = docs.select(F.get(F.from_json("value", ROWS_TYPE), F.lit(0)).alias("h")).where("size(h) > 0").first()
-        if first is None:
+        header = F.get(F.from_json("value", ROWS_TYPE), F.lit(0))
+        page = F.struct(F.col("_metadata.file_path"), F.monotonically_increasing_id())
+        names = docs.select(page.alias("page"), F.posexplode(header).alias("place", "name")).where("name is not null")
+        first = names.groupBy("name").agg(F.min(F.struct("page", "place")).alias("first"))
+        columns = [r["name"] for r in first.orderBy("first").collect()]  # as many as the table has columns
+        if not columns:
             raise ValueError(f"no page with a header under {path}")
-        columns = list(first["h"])
     return header_rows(docs, "value", columns)
 
 

@@ -147,9 +147,37 @@ def test_column_resolution(spark):
         S.require_columns(df, ["nope"])
 
 
-def test_literal_map_has_a_size_limit():
-    with pytest.raises(ValueError):
-        C.literal_map({str(i): "x" for i in range(2001)})
+def test_code_lists_of_any_length(spark):
+    table = {str(i): f"label {i}" for i in range(3000)}
+    df = spark.createDataFrame([("7",), ("2999",), ("3000",), (None,)], "c string")
+    assert rows(df.select("c", C.lookup("c", table))) == [("2999", "label 2999"), ("3000", None), ("7", "label 7"), (None, None)]
+
+
+def test_links_are_resolved_as_urls_are(spark):
+    from urllib.parse import urljoin
+
+    page = "https://h.org/1/2/3/4/5/6/p.html?q#f"
+    hrefs = ["../../../../../../a.csv", "../../../../../../../../x", "./././y", "a/../b/./c?d=../e", "/r/../s", "..", ".", "?z=1", "#g", "", "//o.org/x", "http://o.org/../y"]
+    df = spark.createDataFrame([(h,) for h in hrefs], "h string")
+    got = {r.h: r.t for r in df.select("h", T.resolve_url("h", F.lit(page)).alias("t")).collect()}
+    assert got == {h: urljoin(page, h) for h in hrefs}
+    root = df.limit(1).select(T.resolve_url(F.lit("../../../../x"), F.lit("https://h.org/a"))).first()[0]
+    assert root == "https://h.org/x"
+
+
+def test_all_character_references(spark):
+    import html
+
+    texts = ["a &amp;lt; b", "&eacute;&Eacute;&nbsp;&#233;&#xE9;&#128;&hellip;", "no & reference &unknown;", "&copy 2020", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(T.unescape("t")).collect()] == [t and html.unescape(t) for t in texts]
+
+
+def test_pivot_over_all_values(spark):
+    df = spark.createDataFrame([("a", 2, 1), ("a", 1, 5), ("b", 3, 7), ("b", None, 9)], "k string, y int, v int")
+    wide = W.pivot_sum(df, ["k"], "y", "v", row_total="all")
+    assert wide.columns == ["k", "1", "2", "3", "all"]
+    assert rows(wide) == [("a", 5, 1, 0, 6), ("b", 0, 0, 7, 7)]
 
 
 def test_top_n_keeps_ties_deterministic_and_drops_null_groups(spark):

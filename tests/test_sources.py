@@ -187,7 +187,7 @@ def test_snapshots(spark):
         (2024, 3, True, "U1", "NY", 1000), (2024, 3, True, "U2", "NY", 5),
     ]
     assert [tuple(r) for r in N.state_by_month(tables, "Nowhere").collect()] == [(2024, 3, False, None, 0)]
-    names = N.header_names(tables)
+    names = sorted({n for r in tables.collect() for n in r["header"] or [] if n})
     assert names == ["Active Students", "CoC", "Count", "Country of Citizenship", "Planet", "School", "State"]
     wide = N.named_rows(tables, names, ["year", "month", "flag"])
     assert wide.count() == 5 + 2 + 1 and wide.where("CoC = 'Chile' and Planet is null").count() == 1
@@ -306,3 +306,46 @@ def test_figure_tables(spark):
     ]
     assert [r["state"] for r in P.visibility_ratios(table).collect()] == ["NY"]
     assert [r["state"] for r in P.dense_cluster(table, 50).collect()] == ["CA"]
+
+
+def test_blank_lines_before_the_header(spark, tmp_path):
+    put(tmp_path / "blank", "a1999.csv", "id,x\n1,2\n")
+    folder = put(tmp_path / "blank", "b2000.csv", "\n  \nid,y\n3,4\n")
+    found = D.scan_drifting_csv(spark, folder)
+    assert rows(found.select("id", "x", "y", "year")) == [("1", "2", None, 1999), ("3", None, "4", 2000)]
+
+
+def test_spelling_counts_for_the_whole_file(spark, tmp_path):
+    put(tmp_path / "both", "c2001.csv", "UNITID,CIPCODE,AWLEVEL,CTOTALT,CTOTAL_T\n1,01.0,5,,9\n2,01.0,5,3,9\n")
+    folder = put(tmp_path / "both", "c2002.csv", "unitid,cipcode,awlevel, ctotal_t\n1,01.0,5,8\n")
+    got = E.load_completions(spark, folder)
+    assert rows(got.select("year", "unitid", "ctotal")) == [(2001, "1", 0), (2001, "2", 3), (2002, "1", 8)]
+
+
+def test_columns_of_all_response_pages(spark, tmp_path):
+    put(tmp_path / "pages", "1.json", json.dumps([["A", "B"], ["1", "2"]]))
+    folder = put(tmp_path / "pages", "2.json", json.dumps([["A", "B", "C"], ["3", "4", "5"]] + [["x" * 500, "", ""]]))
+    got = R.scan_header_json(spark, folder)
+    assert got.columns == ["A", "B", "C"] and rows(got.where("length(A) = 1")) == [("1", "2", None), ("3", "4", "5")]
+
+
+def test_polygons_in_a_geometry_collection(spark, tmp_path):
+    square = [[0, 0], [2, 0], [2, 2], [0, 2], [0, 0]]
+    members = [{"type": "Point", "coordinates": [1, 1]}, {"type": "Polygon", "coordinates": [square]}, {"type": "MultiPolygon", "coordinates": [[[[5, 5], [6, 5], [6, 6], [5, 5]]]]}]
+    shape = {"type": "Feature", "properties": {}, "geometry": {"type": "GeometryCollection", "geometries": members}}
+    folder = put(tmp_path / "gc", "a.geojson", json.dumps({"type": "FeatureCollection", "features": [shape]}))
+    assert rows(J.scan_geojson(spark, folder).select(G.area("geom"))) == [(4.5,)]
+
+
+def test_a_page_that_landed_twice_counts_once(spark):
+    html = "<table><tr><th>Country of Citizenship</th><th>State</th><th>Active Students</th></tr><tr><td>Peru</td><td>NY</td><td>5</td></tr></table>"
+    links = spark.createDataFrame([("u", "t", 2024, 3, False)], "url string, text string, year int, month int, flag boolean")
+    pages = spark.createDataFrame([("u", html), ("u", html)], "url string, html string")
+    tables = N.snapshot_tables(links, pages)
+    assert [r.total for r in N.state_by_month(tables, "Peru").collect()] == [5]
+
+
+def test_anchors_in_any_quotes(spark):
+    html = "<A class='x' HREF='a b'>one</a><a href=two>2</a ><a data-href=\"no\">x</a><a\nid=q href = \"c>d\" title='t'><b>three</b></a><a href=''>e</a>"
+    df = spark.createDataFrame([(1, html)], "i int, html string")
+    assert rows(H.extract_links(df, ["i"])) == [(1, 0, "a b", "one"), (1, 1, "two", "2"), (1, 2, "c>d", "three")]
