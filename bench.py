@@ -21,6 +21,7 @@ HEADLINE = [
     "weighted_median",
     "group_profile",
     "quantile_classes",
+    "natural_classes",
     "apportion_moe",
     "crosswalk_pop_weights",
     "topn_per_group",
