@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from popweave.catalog.registry import CODE, IN_GROUP, PERSONS, SLOT_HITS, persons, query, sql_values, table
 from popweave.functions import codes as C
@@ -381,3 +381,44 @@ WHERE "AGEP" BETWEEN 20 AND 30 AND "SOCP" IN ('Brand#1', 'Brand#2')""")
 def filters_on_text_and_ranges(spark, d):
     rows = persons(spark, d, ("part",)).where(parse_filters({"AGEP": "20:30", "SOCP": "Brand#1,Brand#2"}))
     return rows.agg((F.count("*") > 0).alias("any_rows"), F.count("*").alias("n"))
+
+
+def _placed(rows):
+    """With the place of each row in the order in which it comes out; for a handful of rows."""
+    numbered = rows.withColumn("_at", F.monotonically_increasing_id())
+    return numbered.select(*rows.columns, F.row_number().over(Window.orderBy("_at")).cast("bigint").alias("place"))
+
+
+@query("""SELECT state, n, row_number() OVER (ORDER BY n DESC NULLS LAST, state NULLS LAST) AS place FROM (
+  SELECT CASE WHEN c_nationkey <> 5 THEN c_nationkey END AS state, CASE WHEN c_nationkey % 6 <> 0 THEN count(*) END AS n
+  FROM customer GROUP BY c_nationkey)""")
+def sorted_places(spark, d):
+    """Descending by a measure, missing last, ties by key."""
+    nation = F.col("c_nationkey")
+    counts = table(spark, d, "customer").groupBy("c_nationkey").agg(F.count("*").alias("all"))
+    rows = counts.select(F.when(nation != 5, nation).alias("state"), F.when(nation % 6 != 0, F.col("all")).alias("n"))
+    return _placed(R.sort_rows(rows, [("n", "desc"), "state"]))
+
+
+@query("""SELECT year, segment, n, row_number() OVER (ORDER BY year, segment DESC) AS place FROM (
+  SELECT CAST(year(o_orderdate) AS INTEGER) AS year, c_mktsegment AS segment, count(*) AS n
+  FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)""")
+def mixed_direction_places(spark, d):
+    rows = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    counts = rows.groupBy(F.year("o_orderdate").alias("year"), F.col("c_mktsegment").alias("segment")).agg(F.count("*").alias("n"))
+    return _placed(R.sort_rows(counts, ["year", ("segment", "desc")]))
+
+
+@query("""SELECT p_brand AS brand, n, row_number() OVER (ORDER BY n, p_brand) AS place FROM (
+  SELECT p_brand, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, p_brand LIMIT 9)""")
+def resorted_places(spark, d):
+    counts = table(spark, d, "part").groupBy(F.col("p_brand").alias("brand")).agg(F.count("*").alias("n"))
+    return _placed(R.top_n_resorted(counts, [("n", "desc"), "brand"], 9, ["n", "brand"]))
+
+
+@query("""SELECT status, EXISTS (SELECT 1 FROM orders WHERE o_orderstatus = status) AS present
+FROM (VALUES ('F'), ('O'), ('P'), ('Z')) AS t(status)""")
+def rows_present(spark, d):
+    orders = table(spark, d, "orders")
+    found = [(s, W.has_rows(orders.where(F.col("o_orderstatus") == s))) for s in "FOPZ"]
+    return spark.createDataFrame(found, "status string, present boolean")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from popweave.catalog.registry import query, table
 from popweave.functions import text as T
@@ -209,3 +209,18 @@ def rows_by_name(spark, d):
     )
     place = F.when(F.col("country") == "Country of Citizenship", 1).when(F.col("country") == "aruba", 2).otherwise(0)
     return numbered.select("o_orderkey", place.cast("bigint").alias("r"), "country", "note")
+
+
+@query(f"""WITH {CAPTION_SQL}, links AS (SELECT DISTINCT caption AS url,
+    CASE WHEN o_orderkey % 11 <> 0 THEN CAST(year(o_orderdate) AS INTEGER) END AS year,
+    CASE WHEN o_orderkey % 11 <> 0 THEN CAST(month(o_orderdate) AS INTEGER) END AS month, o_orderstatus = 'F' AS flag FROM captions)
+SELECT *, row_number() OVER (ORDER BY coalesce(year, 0), coalesce(month, 0), flag, url) AS place FROM links
+WHERE year IS NULL OR year * 100 + month >= 199603""")
+def link_places(spark, d):
+    """Dated links in order, those of unknown month first."""
+    year, month = T.caption_month("caption")
+    captions = _captions(spark, d).select(
+        F.col("caption").alias("url"), year.alias("year"), month.alias("month"), T.caption_flag("caption", "STEM").alias("flag")
+    )
+    rows = N.select_links(captions.distinct(), start="1996-03").withColumn("_at", F.monotonically_increasing_id())
+    return rows.withColumn("place", F.row_number().over(Window.orderBy("_at")).cast("bigint")).drop("_at")
