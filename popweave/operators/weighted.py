@@ -9,6 +9,7 @@ from popweave.functions.codes import ATTAINMENT_PROFILE, Bins, bin_codes, person
 from popweave.functions.numbers import half_even, lenient_sum, number, safe_div, total
 from popweave.functions.predicates import keys_present, parse_filters, slots_matching
 from popweave.operators.order_statistics import order_statistics
+from popweave.session import cut_lineage
 
 
 def measure(df: DataFrame, name: str) -> Column:
@@ -174,7 +175,8 @@ def group_profile(
 ) -> DataFrame:
     """Population, nativity, education, income and employment of every group, counts and shares.
 
-    Missing income counts as 0 in mean and median. Shares are of the rounded counts and always present.
+    Missing income counts as 0 in mean and median. Shares are of the rounded counts and always present. The sums per group and
+    income are checkpointed.
     """
     names = names or {"<HS": "edu_lt_hs", "HS": "edu_hs", "Some/AA": "edu_some_aa", "BA": "edu_ba", "Grad+": "edu_grad_plus"}
     w = F.coalesce(measure(df, weight), F.lit(0))
@@ -184,17 +186,25 @@ def group_profile(
     rows = df.where(keys_present(by)).select(
         *by, w.alias("w"), income_or_0.alias("income"), attained.alias("edu"), *[c.alias(n) for n, c in flags.items()]
     )
-    counted = rows.groupBy(*by).agg(
-        total("w").alias("pop"),
-        total(F.when(F.col("native"), F.col("w"))).alias("native"),
-        total(F.when(F.col("foreign"), F.col("w"))).alias("foreign"),
-        *[total(F.when(F.col("edu") == cat, F.col("w"))).alias(names[cat]) for cat, _, _ in bins],
-        mean_of(F.col("income"), F.col("w")).alias("income_mean"),
-        rate_of(
-            F.col("employed"), F.col("adult") & F.col("in_labour_force"), F.col("w")
-        ).alias("employment_rate"),
+    universe = F.col("adult") & F.col("in_labour_force")
+    parts = {
+        "pop": F.col("w"),
+        "native": F.when(F.col("native"), F.col("w")),
+        "foreign": F.when(F.col("foreign"), F.col("w")),
+        **{names[cat]: F.when(F.col("edu") == cat, F.col("w")) for cat, _, _ in bins},
+    }
+    work = {"_working": F.when(universe & F.col("employed"), F.col("w")), "_universe": F.when(universe, F.col("w"))}
+    # one row per group and income carries every sum, and feeds counts and median alike: the input is read once
+    merged = rows.groupBy(*by, "income").agg(
+        *[total(c).alias(n) for n, c in parts.items()], *[F.sum(c).alias(n) for n, c in work.items()]
     )
-    medians = order_statistics(rows, by, "income", "w", {"income_median": lambda whole: whole / 2}).drop("total")
+    merged = cut_lineage(merged)
+    counted = merged.groupBy(*by).agg(
+        *[total(n).alias(n) for n in parts],
+        mean_of(F.col("income"), F.col("pop")).alias("income_mean"),
+        safe_div(F.sum("_working"), F.sum("_universe")).alias("employment_rate"),
+    )
+    medians = order_statistics(merged, by, "income", "pop", {"income_median": lambda whole: whole / 2}).drop("total")
     counts = ["pop", "native", "foreign", *names.values()]
     wide = counted.join(medians, by, "left").withColumns({c: half_even(c) for c in counts})
     # a group without weight has an employment rate of nothing, not of zero
