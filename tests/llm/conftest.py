@@ -1,6 +1,7 @@
 import pytest
+from pyspark.sql import functions as F
 
-EXTRA = "id string, text_ string, n long, node long, component string, key int"
+CLASHING = {"id": "string", "text_": "string", "n": "long", "node": "long", "component": "string", "key": "int"}
 
 
 @pytest.fixture
@@ -9,11 +10,6 @@ def documents(spark):
 
     def make(rows):
         df = spark.createDataFrame(rows, "doc_id long, text string")
-        for column in EXTRA.split(", "):
-            name, kind = column.split()
-            from pyspark.sql import functions as F
-
-            df = df.withColumn(name, F.lit(None).cast(kind))
-        return df
+        return df.withColumns({name: F.lit(None).cast(kind) for name, kind in CLASHING.items()})
 
     return make
