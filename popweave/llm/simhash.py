@@ -156,22 +156,27 @@ def _bucket_components(x: np.ndarray, wide: np.ndarray, start: np.ndarray, size:
 def bucket_edges(rows: DataFrame, radius: int, sketch_bits: int = 0) -> DataFrame:
     """Distinct ``u``, ``v`` that join the members of each component inside a bucket of a table.
 
-    ``rows`` holds ``node`` (long), ``fingerprint`` and ``sketch``, one row per node. Only buckets of two or more move on.
+    ``rows`` holds ``node`` (long), ``fingerprint`` and ``sketch``, one row per node; without ``sketch_bits`` the node is the
+    fingerprint. Only buckets of two or more move on.
     A bucket of more than MEMBERS is cut into blocks by a hash of the node and every pair of blocks is one unit of work, so
     no task ever holds more than two blocks, however many fingerprints share the kept bits, and no pair is missed. A unit
     gives at most one row per member instead of all its pairs.
     """
     masks = F.array(*[F.lit(m) for m in covering_masks(radius)])
-    tables = rows.select("*", F.posexplode(masks).alias("t", "mask")).select(
-        "node", "fingerprint", "sketch", "t", F.col("fingerprint").bitwiseAND(F.col("mask")).alias("key")
-    )
+    key = F.col("fingerprint").bitwiseAND(F.col("mask")).alias("key")
+    # what travels for every mask is as narrow as can be; sketches join those that share a bucket
+    tables = rows.select("node", "fingerprint", F.posexplode(masks).alias("t", "mask")).select("node", "t", key)
     sizes = tables.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
     held = tables.join(sizes, ["t", "key"])
     blocks = F.ceil(F.col("n") / MEMBERS).cast("int")
     own = F.pmod(F.xxhash64("node", "t"), blocks.cast("bigint")).cast("int")
     units = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(own, o).alias("i"), F.greatest(own, o).alias("j")))
-    held = held.select("node", "fingerprint", "sketch", "t", "key", F.explode(units).alias("unit"))
-    held = held.select("node", "fingerprint", "sketch", F.xxhash64("t", "key", "unit.i", "unit.j").alias("unit"), "t", "key")
+    held = held.select("node", "t", "key", F.explode(units).alias("unit"))
+    held = held.select("node", F.xxhash64("t", "key", "unit.i", "unit.j").alias("unit"), "t", "key")
+    if sketch_bits:
+        held = held.join(rows.select("node", "fingerprint", "sketch"), "node")
+    else:  # without sketches a node is its fingerprint
+        held = held.select("*", F.col("node").alias("fingerprint"), F.unhex(F.lit("")).alias("sketch"))
     held = held.repartition("unit", "t", "key").sortWithinPartitions("unit", "t", "key", "fingerprint", "node")
 
     def links(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
