@@ -92,7 +92,7 @@ def _items(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> Dat
             words = words_of(text)
             k = min(SHINGLE, window, len(words))
             hashes = shingle_hashes(words, [k])[k].tolist() if words else []
-            yield [w.decode("utf-8", "replace") for w in words], min(window, len(words)), k, hashes
+            yield [w.decode() for w in words], min(window, len(words)), k, hashes
 
     fields = "words array<string>, len int, k int, hs array<bigint>"
     rows = map_texts(benchmark.withColumn("item", F.monotonically_increasing_id()), {"item": "item", "id": id_col}, text_col, fields, work)
@@ -181,8 +181,8 @@ def mark(
             words, hits = words_of(text), []
             for h in shingle_hashes(words, sizes).values():
                 for p in np.flatnonzero(wanted.passes(h)).tolist():
-                    left = [w.decode("utf-8", "replace") for w in words[max(0, p - reach) : p][::-1]]
-                    right = [w.decode("utf-8", "replace") for w in words[p : p + reach]]
+                    left = [w.decode() for w in words[max(0, p - reach) : p][::-1]]
+                    right = [w.decode() for w in words[p : p + reach]]
                     hits.append({"p": p, "h": int(h[p]), "l": left, "r": right})
             yield len(words), hits
 
