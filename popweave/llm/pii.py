@@ -274,7 +274,10 @@ def train(codes: np.ndarray, tags: np.ndarray, steps: int = 500, batch: int = 32
 def training_windows(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
     """Windows around the labelled spans of at most SAMPLE_TEXTS texts with "@" or a digit, by a hash of the text."""
     rows = docs.select(F.col(text_col).alias("t")).where(F.regexp_like("t", F.lit(_MARK.pattern)))
-    rows = rows.select("t", F.xxhash64("t").alias("h")).orderBy("h").limit(SAMPLE_TEXTS)
+    rows = rows.withColumn("h", F.xxhash64("t"))
+    # hashes alone meet in one task; texts only of those chosen, each once
+    chosen = rows.select("h").distinct().orderBy("h").limit(SAMPLE_TEXTS)
+    rows = rows.join(F.broadcast(chosen), "h").dropDuplicates(["h"])
 
     def work(texts: Iterator[str]) -> Iterator[tuple]:
         for text in texts:
