@@ -8,12 +8,12 @@ nearest one's, and at most a share of all. Vectors get one more component that m
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from popweave.session import cut_lineage, ship_package
 
@@ -149,7 +149,7 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 def nearest(
     vectors: DataFrame,
-    is_query,
+    is_query: Callable[[Column], Column],
     k: int = 20,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
@@ -173,12 +173,13 @@ def nearest(
     ship_package(spark)
     kind = vectors.schema[id_col].dataType.simpleString()
     rows = usable(vectors, id_col, vector_col).withColumn("q", is_query(F.col("id")))
-    members = F.array_sort(F.collect_set("id"))
-    # two steps, so that no task gathers all ids of a vector that a third of the rows share
-    some = rows.groupBy("x", F.pmod(F.xxhash64("id"), F.lit(64)).alias("salt")).agg(F.slice(members, 1, k + 1).alias("ids"))
-    distinct = some.groupBy("x").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids"))
+    rows = rows.distinct()
+    # Spark keeps the least ids of a vector before they meet, so a vector that a third of the rows share stays small
+    place = F.row_number().over(Window.partitionBy("x").orderBy("id"))
+    least = rows.select("id", "x", place.alias("place")).where(F.col("place") <= k + 1)
+    distinct = least.groupBy("x").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     distinct = cut_lineage(distinct.withColumn("n", F.monotonically_increasing_id()))
-    asked = rows.where("q").select("id", "x").distinct().join(distinct.select("x", "n"), "x")
+    asked = rows.where("q").select("id", "x").join(distinct.select("x", "n"), "x")
     asked = cut_lineage(asked.select("id", "x", "n"))
     count, norm, dim = distinct.agg(
         F.count("*"), F.max(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)), F.max(F.size("x"))
@@ -215,7 +216,7 @@ def nearest(
     reads = cut_lineage(wanted.mapInArrow(listed(False), "n bigint, lists array<int>").select("n", F.explode("lists").alias("list")))
     found = _scan(distinct, postings, reads, k + 1, dim)
     results = _ranked(asked, found, distinct, k, id_col)
-    total = F.lit(int(rows.select("id", "x").distinct().count()) - 1)
+    total = F.lit(rows.count() - 1)
     # whoever found too few reads everything
     short = results.groupBy("query_id").count().where(F.col("count") >= F.least(F.lit(k), total))
     again = asked.join(short, asked.id == short.query_id, "left_anti")
@@ -234,6 +235,7 @@ def _blocks(rows: DataFrame, name: str) -> DataFrame:
 def _scan(distinct: DataFrame, postings: DataFrame, reads: DataFrame, k: int, dim: int) -> DataFrame:
     """``query``, ``n`` and ``score`` of the ``k`` best vectors of each block of each list a query reads."""
     vectors = distinct.select("n", "x", F.col("ids")[0].alias("least"))
+    kind = vectors.schema["least"].dataType.simpleString()
     sizes = _blocks(postings, "vb").join(_blocks(reads, "qb"), "list")
 
     def dealt(rows: DataFrame, own: str, other: str) -> DataFrame:
@@ -244,19 +246,19 @@ def _scan(distinct: DataFrame, postings: DataFrame, reads: DataFrame, k: int, di
 
     def best(key, stored: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
         if not len(stored) or not len(asking):
-            return pd.DataFrame({"query": np.array([], np.int64), "n": np.array([], np.int64), "score": np.array([], float)})
+            return pd.DataFrame({"query": [], "n": [], "score": [], "least": []})
         n, least, x = stored["n"].to_numpy(), stored["least"].to_numpy(), np.stack(stored["x"].to_numpy())
         out = []
         for i in range(0, len(asking), 256):
             part = asking.iloc[i : i + 256]
             scores = np.stack(part["x"].to_numpy()) @ x.T
             row, at = _top(scores, least, k)
-            out.append(pd.DataFrame({"query": part["n"].to_numpy()[row], "n": n[at], "score": scores[row, at]}))
+            out.append(pd.DataFrame({"query": part["n"].to_numpy()[row], "n": n[at], "score": scores[row, at], "least": least[at]}))
         return pd.concat(out, ignore_index=True)
 
     left = dealt(postings, "vb", "qb").groupBy("list", "v", "q")
     right = dealt(reads, "qb", "vb").groupBy("list", "v", "q")
-    return left.cogroup(right).applyInPandas(best, "query bigint, n bigint, score double")
+    return left.cogroup(right).applyInPandas(best, f"query bigint, n bigint, score double, least {kind}")
 
 
 def _top(scores: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -273,11 +275,12 @@ def _top(scores: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.
 
 def _ranked(asked: DataFrame, found: DataFrame, distinct: DataFrame, k: int, id_col: str) -> DataFrame:
     """The best ``k`` ids of every query: the best vectors first, then the ids that each stands for."""
-    vectors = distinct.select("n", "ids", F.col("x").alias("y"))
-    pairs = asked.withColumnsRenamed({"id": "query_id", "n": "query"}).join(found.groupBy("query", "n").agg(F.max("score").alias("near")), "query")
+    near = found.groupBy("query", "n").agg(F.max("score").alias("near"), F.first("least").alias("least"))
     # a query's own vector and k others hold all that can be among its k nearest, whatever the ties
-    first = F.row_number().over(Window.partitionBy("query_id", "query").orderBy(F.desc("near"), "least"))
-    pairs = pairs.join(vectors.withColumn("least", F.col("ids")[0]), "n").withColumn("first", first).where(F.col("first") <= k + 1)
+    first = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("near"), "least"))
+    near = near.withColumn("first", first).where(F.col("first") <= k + 1).select("query", "n")
+    pairs = near.join(distinct.select("n", "ids", F.col("x").alias("y")), "n")
+    pairs = pairs.join(asked.withColumnsRenamed({"id": "query_id", "n": "query"}), "query")
     # summed in the order of the components, so that equal pairs have equal scores
     score = F.aggregate(F.zip_with("x", "y", lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
     ids = pairs.select("query_id", "query", score.alias("score"), F.explode("ids").alias(id_col))
