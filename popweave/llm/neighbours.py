@@ -2,8 +2,10 @@
 
 Centroids are the means of parts of a sample that are kept at like sizes, so lists are balanced. Every vector goes to its
 nearest list and, near a border, to others whose centroid is nearly as close. A graph over the centroids, small enough for
-each worker's memory, is walked to find the nearest lists; a query reads those whose distance is within a ratio of the
-nearest one's, and at most a share of all. Vectors get one more component that makes inner-product order Euclidean order.
+each worker's memory, is walked to find a vector's lists. A query is held against all centroids and reads the lists whose
+distance is within a ratio of the nearest one's: never less than one share of all lists, as distances draw together and the
+ratio alone would read ever less of a growing table, and never more than another. Vectors get one more component that makes
+inner-product order Euclidean order.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ SAMPLE = 65_536  # rows that the centroids are fitted on, at most
 CELLS = 1 << 24  # components of those rows together, at most
 LISTS = 16_384  # centroids, at most: what is broadcast does not grow past this
 BLOCK = 4_096  # vectors, or queries, of one list that meet in one task
+BEAM = 128  # centroids that a walk to a vector's lists keeps in view, at least
 
 
 class CentroidGraph:
@@ -53,13 +56,20 @@ class CentroidGraph:
             d[np.arange(len(d)), np.arange(i, i + len(d))] = np.inf
             yield from np.argsort(d, axis=1, kind="stable")[:, :k]
 
+    def scan(self, x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each row of ``x`` the ``width`` nearest of all centroids, nearest first, and distances."""
+        near, dist = [], []
+        for i in range(0, len(x), 128):
+            d = self._distances(x[i : i + 128])
+            near.append(np.argsort(d, axis=1, kind="stable")[:, :width].astype(np.int32))
+            dist.append(np.sqrt(np.take_along_axis(d, near[-1], axis=1)))
+        return np.concatenate(near), np.concatenate(dist)
+
     def search(self, x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """For each row of ``x`` up to ``width`` near centroids, nearest first, and distances; -1 and infinity fill up."""
         n, m = len(self.points), len(x)
         if n <= 2 * width:  # the walk would visit them all
-            d = self._distances(x)
-            order = np.argsort(d, axis=1, kind="stable")[:, :width]
-            return order.astype(np.int32), np.sqrt(np.take_along_axis(d, order, axis=1))
+            return self.scan(x, width)
         rows = np.arange(m)
         starts = np.linspace(0, n - 1, min(n, 16)).astype(np.int32)
         beam = np.full((m, width), -1, np.int32)
@@ -158,6 +168,7 @@ def nearest(
     border: float = 0.1,
     share: float = 0.25,
     reach: float = 0.1,
+    least_share: float = 0.12,
 ) -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``id_col`` and ``score`` of the ``k`` nearest found for every vector with ``is_query``.
 
@@ -166,7 +177,9 @@ def nearest(
     no part. Equal vectors are searched once and keep their ``k + 1`` least ids, the only ones that can be among the nearest.
     A repeated id counts once for each different vector it has. Fewer than ``k`` found send a query through all lists, so
     fewer come back only if there are fewer. Every vector is indexed; only the centroids come from a sample (SAMPLE rows at
-    most). Lists longer than BLOCK are cut into blocks, as are their queries, so no task holds more than one block of each.
+    most). A query reads ``least_share`` of the lists, or 32, at least and ``share`` of them, or 32, at most, and between the
+    two those whose distance is up to ``1 + reach`` times the nearest one's. Lists longer than BLOCK are cut into blocks, as
+    are their queries, so no task holds more than one block of each.
     Empty tables give no rows.
     """
     spark = vectors.sparkSession
@@ -196,15 +209,22 @@ def nearest(
 
     points = lifted(_matrix(sample, dim), True)
     centroids = balanced_centroids(points, min(LISTS, max(1, -(-count // list_size)), max(1, len(points) // 4)))
-    probes = max(32, int(share * len(centroids)))
+    sure = max(32, int(least_share * len(centroids)))
+    probes = max(sure, int(share * len(centroids)))
     sent = spark.sparkContext.broadcast(CentroidGraph(centroids))
 
     def listed(stored: bool):
         def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             graph = sent.value
             for part in (whole.slice(i, 1024) for whole in parts for i in range(0, whole.num_rows, 1024)):
-                near, dist = graph.search(lifted(_matrix(part.column("x"), dim), stored), replicas if stored else probes)
-                keep = (near >= 0) & (dist <= dist[:, :1] * (1 + (border if stored else reach)))
+                x = lifted(_matrix(part.column("x"), dim), stored)
+                if stored:
+                    near, dist = (a[:, :replicas] for a in graph.search(x, max(BEAM, replicas)))
+                    keep = (near >= 0) & (dist <= dist[:, :1] * (1 + border))
+                else:
+                    near, dist = graph.scan(x, probes)
+                    keep = dist <= dist[:, :1] * (1 + reach)
+                    keep[:, :sure] = True
                 lists = [near[i][keep[i]].tolist() for i in range(len(near))]
                 yield pa.RecordBatch.from_arrays([part.column("n"), pa.array(lists, pa.list_(pa.int32()))], names=["n", "lists"])
 

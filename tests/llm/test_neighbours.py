@@ -68,3 +68,18 @@ def test_recall_of_the_query(spark, sf):
         scores[i] = -np.inf
         recall.append(len({*ids[np.argsort(-scores, kind="stable")[:20]]} & found[ids[i]]) / 20)
     assert len(found) == len(recall) and np.mean(recall) >= 0.9
+
+
+def test_recall_does_not_fall_with_the_number_of_lists(spark):
+    rnd = np.random.default_rng(4)
+    x = rnd.standard_normal((30_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = neighbours.nearest(df, lambda i: i % 300 == 0, list_size=32).toPandas()  # 938 lists, as 240,000 vectors have
+    found = got.groupby("query_id")["vec_id"].agg(set)
+    recall = []
+    for i in range(0, len(x), 300):
+        scores = x @ x[i]
+        scores[i] = -np.inf
+        recall.append(len({*np.argsort(-scores, kind="stable")[:20].tolist()} & found[i]) / 20)
+    assert np.mean(recall) >= 0.9, np.mean(recall)
