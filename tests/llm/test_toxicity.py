@@ -64,6 +64,23 @@ def test_late_word_in_a_long_text_counts(network):
     assert clean < 0.7 <= toxic
 
 
+def test_every_part_of_a_run_without_spaces_counts():
+    for n in (63, 64, 65, 71, 72, 73, 1000):
+        run = "".join(chr(0x4E00 + i) for i in range(n))
+        pieces = toxicity.words_of(f"a {run} b")[1:-1]
+        assert {run[i : i + 3] for i in range(n - 2)} <= {p[i : i + 3] for p in pieces for i in range(len(p) - 2)}
+        assert max(map(len, pieces)) <= toxicity.PIECE
+    assert toxicity.words_of("x" * 62) == ["x" * 62]
+
+
+def test_toxic_passage_late_in_a_run_without_spaces():
+    joined = lambda n, seed: [["_".join(t.split()) for t in part] if i == 0 else part for i, part in enumerate(sample(n, seed))]
+    network = toxicity.train(*joined(400, 1))
+    run = "_".join(["word1", "word2"] * 60)
+    clean, toxic = toxicity.Scorer(network).scores([run, run + "_vile_vile_vile_" + run])
+    assert clean < toxic and toxic >= 0.7
+
+
 def test_rows(spark, documents, network):
     rows = [(1, None), (2, ""), (3, " \n"), (4, "word1"), (4, "word1"), (None, "rotten"), (5, "word1 vile"), (6, "é " * 200)]
     got = toxicity.score(documents(rows), network).collect()
