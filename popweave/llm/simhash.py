@@ -8,6 +8,7 @@ some non-zero vector orthogonal to all their complements' constraints, so every
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -28,11 +29,17 @@ PAIRS = 1 << 21  # pairs compared at a time
 
 
 def covering_masks(radius: int) -> list[int]:
-    """The masks, as signed 64-bit integers; positions take the non-zero vectors in turn."""
+    """The masks, as signed 64-bit integers; positions take the non-zero vectors in turn.
+
+    Where there are more vectors than positions, a fixed pseudo-random choice is taken, so that no mask keeps few bits.
+    """
     vectors = (1 << (radius + 1)) - 1
+    own = [i % vectors + 1 for i in range(BITS)]
+    if vectors > BITS:
+        own = random.Random(0).sample(range(1, vectors + 1), BITS)
     masks = []
     for v in range(1, vectors + 1):
-        kept = sum(1 << i for i in range(BITS) if ((i % vectors + 1) & v).bit_count() % 2)
+        kept = sum(1 << i for i in range(BITS) if (own[i] & v).bit_count() % 2)
         masks.append(kept - (1 << BITS) if kept >> (BITS - 1) else kept)
     return masks
 

@@ -42,6 +42,13 @@ def test_masks_cover_every_difference(radius):
         assert any(m & diff == 0 for m in masks)
 
 
+def test_no_mask_keeps_few_bits():
+    masks = [m & (1 << 64) - 1 for m in simhash.covering_masks(6)]
+    assert min(m.bit_count() for m in masks) >= 20
+    rnd = random.Random(6)
+    assert all(any(m & diff == 0 for m in masks) for diff in (sum(1 << b for b in rnd.sample(range(64), 6)) for _ in range(3000)))
+
+
 def texts(n, seed):
     rnd = random.Random(seed)
     words = [f"w{i}" for i in range(60)] + ["Äther", "ÉTÉ", "The"]
