@@ -15,8 +15,3 @@ def spark(tmp_path_factory):
         session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("shared")))
     yield session
     session.stop()
-
-
-def rows(df):
-    """Rows as tuples, in no particular order."""
-    return sorted((tuple(r) for r in df.collect()), key=lambda r: tuple((v is None, str(v)) for v in r))

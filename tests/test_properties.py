@@ -7,7 +7,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from popweave.functions import geometry as G
 from popweave.operators import apportion as A, classify as K, overlay as V
 from popweave.operators.order_statistics import order_statistics, quantile_thresholds, running_weight

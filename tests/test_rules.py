@@ -4,7 +4,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from popweave.functions import codes as C, numbers as N, predicates as P, text as T
 from popweave.operators import joins as J, ranking as R, schema as S, weighted as W
 

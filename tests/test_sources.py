@@ -6,7 +6,7 @@ from urllib.parse import urljoin
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from popweave.functions import geometry as G, text as T
 from popweave.operators import apportion as A
 from popweave.plans import education as E, estimates as P, maps as Z, microdata as M, snapshots as N
