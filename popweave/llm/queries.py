@@ -7,7 +7,21 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from popweave.llm import bpe, decontaminate, neighbours, pii, quality, secrets, simhash, token_counts, toxicity, url_filters
+from popweave.llm import (
+    bpe,
+    decontaminate,
+    max_entropy,
+    neighbours,
+    pii,
+    quality,
+    ranked_search,
+    secrets,
+    simhash,
+    token_counts,
+    toxicity,
+    url_filters,
+    whitening,
+)
 from popweave.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -158,3 +172,46 @@ URL_RULES = {
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's URL: by the list, else by association rules mined from what the list has judged."""
     return url_filters.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+TERMS_SQL = r"""unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'))"""
+
+
+@query(
+    f"""
+WITH tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, {TERMS_SQL} AS term FROM documents) GROUP BY doc_id, term),
+len AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM tf GROUP BY doc_id),
+corpus AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS l FROM len),
+m AS (SELECT doc_id, 100 - 90 + ((90 * n * docs) // l) AS m FROM len, corpus),
+weight AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), corpus),
+asked AS (SELECT DISTINCT item_id, {TERMS_SQL} AS term FROM benchmark),
+scored AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM asked JOIN tf USING (term) JOIN weight USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id),
+ranked AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+  FROM scored WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 10
+"""
+)
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best documents of every benchmark item."""
+    return ranked_search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+@query()
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the 8 leading whitened components."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=8)
+
+
+@query()
+def op13_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document under the add-one unigram model and under the maximum-entropy model."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
+    model = max_entropy.train(docs.where(~held_out))
+    return max_entropy.score(docs.withColumn("held_out", held_out), model, keep={"doc_id": "doc_id", "held_out": "held_out"})
