@@ -166,7 +166,21 @@ def equal_interval_classes(spark, d):
     return _classes(rows.withColumn("v", F.coalesce("v", F.lit(0.0))))
 
 
-@query()
+# means and assignments in turns, until the bounds stay; the values have two decimals, so sums of hundredths are exact
+@query(f"""WITH RECURSIVE {VALUES_SQL},
+merged AS (SELECT v, count(*) AS n, CAST(round(v * 100) AS HUGEINT) AS cents FROM vals GROUP BY v),
+start AS (SELECT list_distinct(quantile_cont(v, [1/5, 2/5, 3/5, 4/5])) AS b FROM vals),
+rounds AS (
+  SELECT 0 AS round, list_sort(b) AS b, CAST([] AS DOUBLE[]) AS before FROM start
+  UNION ALL
+  SELECT round + 1, [(means[i] + means[i + 1]) / 2 FOR i IN range(1, len(means))], b FROM (
+    SELECT round, b, list(m ORDER BY c) AS means FROM (
+      SELECT round, b, c, CAST(sum(cents * n) AS DOUBLE) / CAST(sum(n) AS DOUBLE) / 100 AS m FROM (
+        SELECT round, b, cents, n, CASE WHEN v <= b[1] THEN 0 WHEN v <= b[2] THEN 1 WHEN v <= b[3] THEN 2 WHEN v <= b[4] THEN 3 ELSE 4 END AS c
+        FROM rounds, merged WHERE b <> before)
+      GROUP BY round, b, c)
+    GROUP BY round, b)),
+breaks AS (SELECT b FROM rounds ORDER BY round DESC LIMIT 1) {CLASS_SUMMARY}""")
 def natural_classes(spark, d):
     rows = K.classify(_values(spark, d), "v", "naturalbreaks", 5)
     return _classes(rows.withColumn("v", F.coalesce("v", F.lit(0.0))))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from popweave.catalog.registry import query, table
 from popweave.functions import geometry as G
+from popweave.functions.text import zero_pad
 from popweave.operators import overlay as V
 from popweave.plans import maps as Z
 
@@ -198,3 +199,64 @@ def shapes_with_estimates(spark, d):
     )
     joined = Z.with_shapes(stats, shapes)
     return joined.select("zip", "estimate", F.round(G.area("geom"), 9).alias("area"))
+
+
+# A grid of cells in degrees, one for each part. A tract is three cells of a row, a target two by two; both have a vertex at every
+# corner of a cell, so that in the plane, too, what they share is whole cells, whose areas the statement adds up itself.
+CELLS_SQL = f"""{ALBERS_SQL}, side AS (SELECT CAST(ceil(sqrt(count(*))) AS BIGINT) AS side FROM part),
+cells AS (SELECT p_partkey % side AS i, p_partkey // side AS j, p_retailprice, p_size FROM part, side),
+tracts AS (SELECT i // 3 AS ti, j AS tj, sum(p_retailprice) AS estimate, max(p_size) AS moe, sum(CASE WHEN (i // 3) % 4 = 0 THEN 0 ELSE p_size END) AS pop
+  FROM cells GROUP BY 1, 2),
+zips AS (SELECT DISTINCT i // 2 AS zi, j // 2 AS zj FROM cells),
+parts AS (SELECT ti, tj, ti * 3 + o AS i, tj AS j FROM tracts, (SELECT unnest([0, 1, 2]) AS o)),
+corners AS (SELECT DISTINCT i + a AS gi, j + b AS gj FROM parts, (SELECT unnest([0, 1]) AS a), (SELECT unnest([0, 1]) AS b)),
+polar AS (SELECT gi, gj, sin(radians(25 + gj * 24.0::DOUBLE / side)) AS s, n * radians(-124 + gi * 56.0::DOUBLE / side + 96) AS theta, a, e, n, c, rho0
+  FROM corners, side, consts),
+plane AS (SELECT gi, gj, theta, rho0, a / n * sqrt(c - n * ((1 - e * e) * (s / (1 - (e * s) ** 2) - ln((1 - e * s) / (1 + e * s)) / (2 * e)))) AS rho FROM polar),
+xy AS (SELECT gi, gj, rho * sin(theta) AS x, rho0 - rho * cos(theta) AS y FROM plane),
+sized AS (SELECT ti, tj, i, j, abs((p2.x - p0.x) * (p3.y - p1.y) - (p3.x - p1.x) * (p2.y - p0.y)) / 2 AS area FROM parts
+  JOIN xy p0 ON p0.gi = i AND p0.gj = j JOIN xy p1 ON p1.gi = i + 1 AND p1.gj = j
+  JOIN xy p2 ON p2.gi = i + 1 AND p2.gj = j + 1 JOIN xy p3 ON p3.gi = i AND p3.gj = j + 1),
+pieces AS (SELECT ti, tj, zi, zj, sum(area) AS inter FROM sized JOIN zips ON zi = i // 2 AND zj = j // 2 GROUP BY 1, 2, 3, 4),
+fractions AS (SELECT ti, tj, zi, zj, inter / whole AS f, inter / whole * pop AS part, estimate, moe FROM pieces JOIN tracts USING (ti, tj)
+  JOIN (SELECT ti, tj, sum(area) AS whole FROM sized GROUP BY 1, 2) USING (ti, tj)),
+weights AS (SELECT *, CASE WHEN sum(part) OVER (PARTITION BY ti, tj) > 0 THEN part / sum(part) OVER (PARTITION BY ti, tj) ELSE f END AS w FROM fractions)"""
+
+
+@query(f"""WITH {CELLS_SQL} SELECT lpad(CAST(zj * 200 + zi AS VARCHAR), 5, '0') AS zip, CAST(round_even(sum(estimate * w), 0) AS BIGINT) AS estimate,
+  CAST(round_even(sqrt(sum((moe * w) ** 2)), 0) AS BIGINT) AS moe FROM weights GROUP BY zi, zj""")
+def estimates_from_shapes(spark, d):
+    """Shapes in degrees, their projection, the overlay, its weights, and the estimates carried over with their margins."""
+    part = table(spark, d, "part")
+    side = part.select(F.ceil(F.sqrt(F.count("*"))).cast("bigint")).scalar()
+    cells = part.select((F.col("p_partkey") % side).alias("i"), F.expr("p_partkey").alias("k"), "p_retailprice", "p_size", side.alias("side"))
+    cells = cells.withColumn("j", F.floor(F.col("k") / F.col("side")).cast("bigint"))
+
+    def corner(gi, gj):
+        return G.point(F.lit(-124.0) + gi * F.lit(56.0) / F.col("side"), F.lit(25.0) + gj * F.lit(24.0) / F.col("side"))
+
+    def shape(i, j, wide: int, high: int):
+        ring = [corner(i + a, j) for a in range(wide)] + [corner(i + wide, j + b) for b in range(high)]
+        ring += [corner(i + wide - a, j + high) for a in range(wide)] + [corner(i, j + high - b) for b in range(high)]
+        return F.array(F.array(F.array(*ring)))
+
+    i, j = F.col("i"), F.col("j")
+    ti = F.floor(i / 3).cast("bigint")
+    tracts = cells.groupBy(ti.alias("ti"), "j", "side").agg(
+        F.sum("p_retailprice").alias("estimate"),
+        F.max("p_size").alias("moe"),
+        F.sum(F.when(ti % 4 == 0, F.lit(0)).otherwise(F.col("p_size"))).alias("tract_pop"),
+    )
+    geoid = zero_pad(F.col("j") * 1000 + F.col("ti"), 11).alias("geoid")
+    sources = tracts.select(geoid, shape(F.col("ti") * 3, j, 3, 1).alias("geom"))
+    zi, zj = F.floor(i / 2).cast("bigint"), F.floor(j / 2).cast("bigint")
+    zips = cells.select(zi.alias("zi"), zj.alias("zj"), "side").distinct()
+    targets = zips.select(
+        zero_pad(F.col("zj") * 200 + F.col("zi"), 5).alias("zip"), shape(F.col("zi") * 2, F.col("zj") * 2, 2, 2).alias("geom")
+    )
+    return Z.estimates_by_zip(
+        tracts.select(geoid, "estimate", "moe"),
+        source_shapes=sources,
+        target_shapes=targets,
+        population=tracts.select(geoid, "tract_pop"),
+    )

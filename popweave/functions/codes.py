@@ -124,15 +124,29 @@ def bin_codes(code: Column, bins: Bins) -> Column:
 
 
 def literal_map(table: dict[str, str]) -> Column:
-    """A constant code list of any length as a map; no join, nothing to broadcast. It is one literal, folded before the run."""
+    """A constant code list as a map; no join, nothing to broadcast. It is one literal, folded before the run."""
     return F.from_json(F.lit(json.dumps(table)), "map<string,string>")
 
 
+SEARCHED = 64  # codes from which on a list is searched by halving instead of from its front
+
+
 def lookup(code: ColumnOrName, table: dict[str, str]) -> Column:
-    """Label of a code, NULL when unknown."""
+    """Label of a code, NULL when unknown. A list of n codes costs about log2(n) comparisons a row."""
     if not table:
         return F.lit(None).cast("string")
-    return F.try_element_at(literal_map(table), as_col(code).cast("string"))
+    code = as_col(code).cast("string")
+    if len(table) < SEARCHED:
+        return F.try_element_at(literal_map(table), code)
+    ordered = sorted(table)  # by code point, which is how Spark orders text
+    literal = lambda values: F.from_json(F.lit(json.dumps(values)), "array<string>")
+    codes, labels = literal(ordered), literal([table[c] for c in ordered])
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(ordered).bit_length()))])
+    below = F.aggregate(
+        steps, F.lit(0), lambda at, s: F.when(F.get(codes, at + s - 1) < code, at + s).otherwise(at)
+    )
+    found = F.struct(F.get(codes, below).alias("code"), F.get(labels, below).alias("label"))
+    return F.get(F.transform(F.array(found), lambda f: F.when(f["code"] == code, f["label"])), F.lit(0))
 
 
 def label(code: ColumnOrName, table: dict[str, str], width: int | None = None) -> Column:

@@ -40,19 +40,29 @@ def load_nested_crosswalk(raw: DataFrame) -> DataFrame:
     return raw.select(first_digits(F.col(f"`{source}`")).alias("tract"), F.col(f"`{code}`").alias("nta"), *extra)
 
 
+def _width(xwalk: DataFrame, source: str) -> DataFrame:
+    """One row: 11 if the median length of the keys is 10 or more, else 6."""
+    median = F.percentile(F.length(source), 0.5)
+    return xwalk.agg(F.when(median >= 10, FULL_KEY).otherwise(SHORT_KEY).alias("width"))
+
+
 def crosswalk_key(xwalk: DataFrame, source: str = "tract") -> int:
     """Key width of a crosswalk, 11 or 6 digits, by the median length of its keys: one small action."""
-    median = xwalk.agg(F.percentile(F.length(source), 0.5).alias("m")).first()["m"]
-    return FULL_KEY if median is not None and median >= 10 else SHORT_KEY
+    return _width(xwalk, source).first()["width"]
 
 
-def _keys(area: Column, source: Column, digits: int) -> tuple[Column, Column]:
-    if digits == FULL_KEY:
-        return area, last_chars(source, FULL_KEY)
-    if digits == SHORT_KEY:
-        warnings.warn("6-digit keys ignore the county: equal keys of several counties are all matched", stacklevel=3)
-        return last_chars(area, SHORT_KEY), source
-    raise ValueError("key_digits is 11 or 6")
+def _keys(area: Column, xwalk: DataFrame, source: str, digits: int | None) -> tuple[Column, Column]:
+    """Keys of the areas and of the crosswalk. Without ``digits`` the plan itself finds the width, as a scalar subquery."""
+    if digits not in (None, FULL_KEY, SHORT_KEY):
+        raise ValueError("key_digits is 11 or 6")
+    if digits != FULL_KEY:
+        found = "" if digits else ", should the crosswalk have them"
+        warnings.warn(f"6-digit keys{found}, ignore the county: equal keys of several counties are all matched", stacklevel=3)
+    full, short = (area, last_chars(source, FULL_KEY)), (last_chars(area, SHORT_KEY), F.col(source))
+    if digits:
+        return full if digits == FULL_KEY else short
+    is_full = _width(xwalk, source).scalar() == FULL_KEY
+    return F.when(is_full, full[0]).otherwise(short[0]), F.when(is_full, full[1]).otherwise(short[1])
 
 
 def _per_key(stats: DataFrame, key: Column) -> DataFrame:
@@ -74,7 +84,7 @@ def apportion(
     rounded: bool = True,
 ) -> DataFrame:
     """Weighted sums of estimates per target, margins as the root of summed squares; rounded half to even."""
-    area_key, xwalk_key = _keys(F.col(area), F.col(source), key_digits or crosswalk_key(xwalk, source))
+    area_key, xwalk_key = _keys(F.col(area), xwalk, source, key_digits)
     w = number(xwalk, weight)
     bridge = xwalk.where(F.col(target).isNotNull()).select(target, xwalk_key.alias("_key"), w.alias("_w"))
     joined = bridge.join(_per_key(stats, area_key), "_key", "inner")
@@ -96,7 +106,7 @@ def rollup_nested(
 ) -> DataFrame:
     """Sums of estimates over the sources nested in each target; grouped by code and, if there is one, name."""
     by = by or [c for c in ("nta", "ntaname") if c in xwalk.columns]
-    area_key, xwalk_key = _keys(F.col(area), F.col(source), key_digits or crosswalk_key(xwalk, source))
+    area_key, xwalk_key = _keys(F.col(area), xwalk, source, key_digits)
     bridge = xwalk.where(keys_present(by)).select(*by, xwalk_key.alias("_key"))
     joined = bridge.join(_per_key(stats, area_key), "_key", "inner")
     out = joined.groupBy(*by).agg(

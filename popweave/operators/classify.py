@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import bisect
+import math
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from popweave.functions.numbers import number
 from popweave.operators.order_statistics import order_statistics, quantile_thresholds
-from popweave.session import cut_lineage
+from popweave.session import scratch_path
 
 
 def map_value(df: DataFrame, col: str, null_as_zero: bool = True) -> Column:
@@ -62,35 +66,124 @@ def class_of(value: Column, breaks: list[Column]) -> Column:
 def natural_breaks(df: DataFrame, col: str, k: int = 6, null_as_zero: bool = True) -> list[float]:
     """Upper bounds of k clusters that are tight around their means.
 
-    Starts from the quantile classes and alternates assignment and means until no value changes its cluster. The sum of
-    squares within the clusters falls in every round, so this ends; should the rounding of sums ever bring an assignment back,
-    that ends it too. Rows are first merged to value and count; a round brings only k sums to the driver.
+    Starts from the quantile classes and alternates assignment and means until no value changes its cluster. Sums are exact, so the
+    sum of squares within the clusters falls in every round and this ends. Rows are merged once to value and count; a round looks
+    k sums up in an index and reads values only where a bound falls between two that the index does not tell apart.
     """
     merged = df.select(map_value(df, col, null_as_zero).alias("x")).where("x is not null").groupBy("x").count()
-    values = cut_lineage(merged)
-    k = min(k, values.count() - 1)
+    index = PrefixSums(merged)
+    k = min(k, index.values - 1)
     if k < 1:
         return []
-    start = counted_quantile_breaks(values, k).first()["breaks"]
-    bounds = [float(b) for b in start[:-1]]
-    seen = set()
+    ranks = [(index.total - 1) * i / k for i in range(1, k)]
+    ends = index.by_rank([r for h in ranks for r in (int(h) + 1, min(int(h) + 2, index.total))])
+    bounds = sorted({lo + (hi - lo) * (h - int(h)) for lo, hi, h in zip(ends[::2], ends[1::2], ranks, strict=True)})
+    tops: list[float] = []
     while True:
-        clusters = _clusters(values, bounds)
-        tops = tuple(c["top"] for c in clusters)
-        if tops in seen:
-            return list(tops)
-        seen.add(tops)
-        means = [c["s"] / c["n"] for c in clusters]
+        upto = [(0, 0, None), *index.upto([*bounds, float("inf")])]
+        clusters = [(n1 - n0, s1 - s0, top) for (n0, s0, _), (n1, s1, top) in zip(upto, upto[1:]) if n1 > n0]
+        if [c[2] for c in clusters] == tops:
+            return tops
+        tops = [c[2] for c in clusters]
+        means = [s / n * index.unit for n, s, _ in clusters]
         bounds = [(a + b) / 2 for a, b in zip(means, means[1:])]
 
 
-def _clusters(values: DataFrame, bounds: list[float]) -> list:
-    """Sum, count and maximum of the non-empty clusters between the bounds: at most one row per class, in order."""
-    cluster = class_of(F.col("x"), [F.lit(b) for b in bounds])
-    sums = values.groupBy(cluster.alias("c")).agg(
-        F.sum(F.col("x") * F.col("count")).alias("s"), F.sum("count").alias("n"), F.max("x").alias("top")
-    )
-    return sorted(sums.collect(), key=lambda r: r["c"])
+class PrefixSums:
+    """Count, sum and largest of the values up to any bound, over ``x`` and ``count`` rows of distinct values.
+
+    The rows lie in a file sorted by value. The driver holds pieces of the range of values with their counts and sums: PIECES of
+    equal width at first. Where a bound falls inside a piece, that piece is split further, or its values and those of the
+    pieces around it are fetched, NEAR in all. Values count in units of 2^-60 of the largest, as whole numbers, so sums are exact
+    and the same on any cluster.
+    """
+
+    PIECES, NEAR, HELD = 1 << 14, 1 << 14, 1 << 20
+
+    def __init__(self, merged: DataFrame):
+        spark = merged.sparkSession
+        path = scratch_path(spark, "values")
+        merged.repartitionByRange("x").sortWithinPartitions("x").write.parquet(path)
+        self.rows = spark.read.parquet(path)
+        self.values, self.total, low, high = self.rows.agg(
+            F.count("*"), F.coalesce(F.sum("count"), F.lit(0)), F.min("x"), F.max("x")
+        ).first()
+        largest = max(abs(low or 0.0), abs(high or 0.0))
+        exponent = math.frexp(largest)[1] if largest else 0
+        self.unit = math.ldexp(1.0, exponent - 60)
+        self.rows = self.rows.withColumn("q", (F.col("x") * F.lit(math.ldexp(1.0, 60 - exponent))).cast("bigint"))
+        self._hold(self._split(low, high) if self.values else [])
+        self.first = self.pieces
+
+    def _hold(self, pieces: list[tuple]) -> None:
+        """Pieces are (least, largest, count, sum, distinct values)."""
+        self.pieces = pieces
+        self.tops = [p[1] for p in pieces]
+        self.counts = list(accumulate((p[2] for p in pieces), initial=0))
+        self.sums = list(accumulate((p[3] for p in pieces), initial=0))
+
+    def _between(self, low: float, high: float) -> DataFrame:
+        return self.rows.where(F.col("x").between(low, high))
+
+    def _split(self, low: float, high: float) -> list[tuple]:
+        first, last = (int(v / self.unit) for v in (low, high))
+        width = -(-(last - first + 1) // self.PIECES)
+        if width == 1 and last == first:
+            return self._fetch(low, high)
+        place = F.floor((F.col("q") - F.lit(first)) / F.lit(width)).cast("bigint")
+        return self._added(self._between(low, high).groupBy(place.alias("i")), ["i"])
+
+    def _fetch(self, low: float, high: float) -> list[tuple]:
+        return self._added(self._between(low, high).groupBy("x"), ["x"])
+
+    def _added(self, groups, key: list[str]) -> list[tuple]:
+        part = F.col("q").cast("decimal(19,0)") * F.col("count").cast("decimal(18,0)")
+        table = groups.agg(F.min("x"), F.max("x"), F.sum("count"), F.sum(part).cast("string"), F.count("*")).drop(*key)
+        return sorted((low, high, n, int(s), values) for low, high, n, s, values in table.collect())
+
+    def _refine(self, at: int) -> None:
+        """Replace the piece by finer ones."""
+        low, high, _, _, values = self.pieces[at]
+        if len(self.pieces) > self.HELD:
+            self._hold(self.first)
+            return
+        if values > self.NEAR:
+            self._hold(self.pieces[:at] + self._split(low, high) + self.pieces[at + 1 :])
+            return
+        first = last = at
+        while values < self.NEAR and (first > 0 or last + 1 < len(self.pieces)):
+            before = self.pieces[first - 1][4] if first > 0 else self.NEAR + 1
+            after = self.pieces[last + 1][4] if last + 1 < len(self.pieces) else self.NEAR + 1
+            if values + min(before, after) > self.NEAR:
+                break
+            values += min(before, after)
+            first, last = (first - 1, last) if before <= after else (first, last + 1)
+        fine = self._fetch(self.pieces[first][0], self.pieces[last][1])
+        self._hold(self.pieces[:first] + fine + self.pieces[last + 1 :])
+
+    def upto(self, bounds: list[float]) -> list[tuple]:
+        """Count, sum in units, and largest, of the values that are no larger than each bound."""
+        found = []
+        for bound in bounds:
+            while True:
+                at = bisect.bisect_right(self.tops, bound)
+                if at == len(self.pieces) or self.pieces[at][0] > bound:
+                    break
+                self._refine(at)
+            found.append((self.counts[at], self.sums[at], self.tops[at - 1] if at else None))
+        return found
+
+    def by_rank(self, ranks: list[int]) -> list[float]:
+        """The values at the given ranks, from 1, each counting as often as it occurs."""
+        found = []
+        for rank in ranks:
+            while True:
+                at = bisect.bisect_left(self.counts, rank) - 1
+                if self.pieces[at][0] == self.pieces[at][1]:
+                    break
+                self._refine(at)
+            found.append(self.tops[at])
+        return found
 
 
 def distinct_values(df: DataFrame, col: str, null_as_zero: bool = True) -> DataFrame:

@@ -12,8 +12,7 @@ from popweave.functions import geometry as G
 from popweave.functions.numbers import number, safe_div
 from popweave.functions.predicates import above_weight
 from popweave.functions.text import zero_pad
-from popweave.operators.ranking import with_group_total
-from popweave.session import cut_lineage, ship_package
+from popweave.session import ship_package
 
 BOX = ["minx", "miny", "maxx", "maxy"]
 MIN_LEVEL = -30
@@ -261,8 +260,8 @@ def crosswalk_weights(
     """Weight of every piece of a source area: its area fraction, or with a population its share of the source's pieces.
 
     The population is the same for all pieces of a source, so it cancels: the weights are the area fractions rescaled to sum
-    to 1. A source whose parts sum to nothing keeps its plain fractions. With a population the parts are read twice, so they
-    are checkpointed: what made them, perhaps the overlay's kernel, runs once.
+    to 1. A source whose parts sum to nothing keeps its plain fractions. With a population the parts are read twice, from one
+    exchange that deals them evenly, so what made them, perhaps the overlay's kernel, runs once.
     """
     fraction = F.coalesce(safe_div(F.col("inter_area"), F.col(source_area)), F.lit(0.0))
     rows = pieces.withColumn("_fraction", fraction)
@@ -270,10 +269,14 @@ def crosswalk_weights(
         rows = rows.withColumn("weight", F.col("_fraction"))
     else:
         rows = rows.withColumn("_part", F.col("_fraction") * F.coalesce(number(pieces, population), F.lit(0.0)))
-        rows = with_group_total(cut_lineage(rows), [source], "_part", "_sum")
-        rows = rows.withColumn(
+        # Both uses read every column and neither filters: so they share one exchange, whose rows lie evenly. A struct is
+        # never NULL, so that the join adds no filter of its own to one side.
+        dealt = rows.withColumn("_source", F.struct(source)).repartition(*pieces.columns)
+        sums = dealt.groupBy("_source").agg(F.sum("_part").alias("_sum"), F.max(F.hash(*dealt.columns)).alias("_read"))
+        rows = dealt.join(sums, "_source", "left").withColumn(
             "weight",
-            F.when(F.col("_sum") > 0, safe_div("_part", "_sum")).otherwise(F.col("_fraction")),
+            F.when((F.col("_sum") > 0) & F.col(source).isNotNull() & F.col("_read").isNotNull(), safe_div("_part", "_sum"))
+            .otherwise(F.col("_fraction")),
         )
     return rows.where(above_weight("weight", eps)).select(*pieces.columns, "weight")
 
