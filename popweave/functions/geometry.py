@@ -25,6 +25,11 @@ def bind(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
+def once(value: Column) -> Column:
+    """A column that is worked out once a row, however many later columns use it: the planner does not copy it into them."""
+    return F.explode(F.array(value))
+
+
 def box_polygon(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     """An axis-parallel rectangle as a geometry."""
     ring = F.array(point(x1, y1), point(x2, y1), point(x2, y2), point(x1, y2), point(x1, y1))

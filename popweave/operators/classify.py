@@ -98,7 +98,7 @@ class PrefixSums:
     and the same on any cluster.
     """
 
-    PIECES, NEAR, HELD = 1 << 14, 1 << 14, 1 << 20
+    PIECES, NEAR, HELD = 1 << 14, 1 << 15, 1 << 20
 
     def __init__(self, merged: DataFrame):
         spark = merged.sparkSession
@@ -131,15 +131,17 @@ class PrefixSums:
         if width == 1 and last == first:
             return self._fetch(low, high)
         place = F.floor((F.col("q") - F.lit(first)) / F.lit(width)).cast("bigint")
-        return self._added(self._between(low, high).groupBy(place.alias("i")), ["i"])
+        part = F.col("q").cast("decimal(19,0)") * F.col("count").cast("decimal(18,0)")
+        of_piece = {"low": F.min("x"), "high": F.max("x"), "n": F.sum("count"), "s": F.sum(part).cast("string"), "values": F.count("*")}
+        groups = self._between(low, high).groupBy(place.alias("i"))
+        table = groups.agg(*[c.alias(name) for name, c in of_piece.items()]).toArrow()
+        low, high, n, s, values = (table.column(name).to_pylist() for name in of_piece)
+        return sorted(zip(low, high, n, map(int, s), values, strict=True))
 
     def _fetch(self, low: float, high: float) -> list[tuple]:
-        return self._added(self._between(low, high).groupBy("x"), ["x"])
-
-    def _added(self, groups, key: list[str]) -> list[tuple]:
-        part = F.col("q").cast("decimal(19,0)") * F.col("count").cast("decimal(18,0)")
-        table = groups.agg(F.min("x"), F.max("x"), F.sum("count"), F.sum(part).cast("string"), F.count("*")).drop(*key)
-        return sorted((low, high, n, int(s), values) for low, high, n, s, values in table.collect())
+        table = self._between(low, high).select("x", "q", "count").toArrow()
+        x, q, n = (table.column(name).to_pylist() for name in ("x", "q", "count"))
+        return sorted((v, v, c, u * c, 1) for v, u, c in zip(x, q, n, strict=True))
 
     def _refine(self, at: int) -> None:
         """Replace the piece by finer ones."""
@@ -150,14 +152,15 @@ class PrefixSums:
         if values > self.NEAR:
             self._hold(self.pieces[:at] + self._split(low, high) + self.pieces[at + 1 :])
             return
+        # the pieces around it that are still to be fetched, as bounds move little from round to round
         first = last = at
-        while values < self.NEAR and (first > 0 or last + 1 < len(self.pieces)):
-            before = self.pieces[first - 1][4] if first > 0 else self.NEAR + 1
-            after = self.pieces[last + 1][4] if last + 1 < len(self.pieces) else self.NEAR + 1
-            if values + min(before, after) > self.NEAR:
+        while values < self.NEAR:
+            around = [i for i in (first - 1, last + 1) if 0 <= i < len(self.pieces) and self.pieces[i][0] < self.pieces[i][1]]
+            nearest = min(around, key=lambda i: self.pieces[i][4], default=None)
+            if nearest is None or values + self.pieces[nearest][4] > self.NEAR:
                 break
-            values += min(before, after)
-            first, last = (first - 1, last) if before <= after else (first, last + 1)
+            values += self.pieces[nearest][4]
+            first, last = min(first, nearest), max(last, nearest)
         fine = self._fetch(self.pieces[first][0], self.pieces[last][1])
         self._hold(self.pieces[:first] + fine + self.pieces[last + 1 :])
 

@@ -19,7 +19,8 @@ MIN_LEVEL = -30
 
 
 def with_bbox(shapes: DataFrame, geom: str = "geom") -> DataFrame:
-    return shapes.withColumns(G.bbox(geom))
+    box = F.struct(*[c.alias(n) for n, c in G.bbox(geom).items()])
+    return shapes.withColumn("_box", G.once(box)).withColumns({n: F.col(f"_box.{n}") for n in BOX}).drop("_box")
 
 
 def _levelled(boxes: DataFrame) -> DataFrame:
@@ -296,8 +297,8 @@ def build_crosswalk(
     ``population`` holds the source id and ``tract_pop``.
     """
     if project:
-        sources = sources.withColumn(geom, G.to_equal_area(geom))
-        targets = targets.withColumn(geom, G.to_equal_area(geom))
+        sources = sources.withColumn(geom, G.once(G.to_equal_area(geom)))
+        targets = targets.withColumn(geom, G.once(G.to_equal_area(geom)))
     pieces = overlay(sources, targets, source_id, target_id, geom)
     pieces = pieces.join(sources.select(source_id, G.area(geom).alias("source_area")), source_id, "left")
     pop = None

@@ -10,7 +10,7 @@ from popweave.session import shared_root
 
 SF_DIR = "/root/testdata/sf0.001"
 PYTHON = {"html_tables", "source_priority", "repeat_header_drop", "snapshot_by_month", "snapshot_schools_by_month",
-          "rows_by_name", "ring_overlay"}
+          "rows_by_name", "ring_overlay", "build_crosswalk", "estimates_from_shapes"}
 
 
 def plan(spark, name):
@@ -69,3 +69,21 @@ def test_whole_groups_are_not_windowed_for_totals(spark):
 def test_shared_root_comes_from_the_session(spark):
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     assert shared_root(spark) == configured.rstrip("/")
+
+
+def test_crosswalk_runs_its_kernel_once_without_a_job_beforehand(spark):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("planning", "planning")
+    df = driver.queries()["build_crosswalk"](spark, SF_DIR)
+    assert not tracker.getJobIdsForGroup("planning")
+    spark.sparkContext.setJobGroup("running", "running")
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert len(re.findall("MapInPandas", final)) == 1
+
+
+def test_apportion_starts_no_job_of_its_own(spark):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("keys", "keys")
+    text = plan(spark, "key_width_join")
+    assert not tracker.getJobIdsForGroup("keys") and "Subquery" in text

@@ -1,6 +1,7 @@
 """Operators against brute force, with buckets forced small so that the many-bucket path runs."""
 
 import math
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -8,7 +9,7 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from helpers import rows
-from popweave.functions import geometry as G
+from popweave.functions import codes as C, geometry as G
 from popweave.operators import apportion as A, classify as K, overlay as V
 from popweave.operators.order_statistics import order_statistics, quantile_thresholds, running_weight
 
@@ -88,6 +89,36 @@ def test_natural_breaks_are_stable_and_no_worse_than_quantiles(spark):
     assert (np.abs(x[:, None] - means).argmin(axis=1) == classes).all()
 
 
+@pytest.mark.parametrize("sizes", [(1 << 14, 1 << 15, 1 << 20), (8, 30, 200)])
+def test_natural_breaks_equal_plain_rounds(spark, monkeypatch, sizes):
+    """Whatever the pieces of the index: the same bounds as rounds over all values with exact sums."""
+    for name, size in zip(("PIECES", "NEAR", "HELD"), sizes):
+        monkeypatch.setattr(K.PrefixSums, name, size)
+    rng = np.random.default_rng(8)
+    for x in (rng.integers(0, 50, 120) / 4, np.r_[rng.normal(0, 1, 60).round(1), 1e6, -1e6, 1e-3], np.array([2.0, 2.0, 5.0])):
+        df = spark.createDataFrame([(float(v),) for v in x], "x double")
+        k = min(4, len(set(x)) - 1)
+        bounds = sorted(set(np.quantile(x, [i / k for i in range(1, k)])))
+        tops = None
+        while True:
+            c = np.searchsorted(bounds, x)
+            found = [max(x[c == i]) for i in sorted(set(c))]
+            if found == tops:
+                break
+            tops = found
+            means = [float(sum(map(Fraction, x[c == i])) / int((c == i).sum())) for i in sorted(set(c))]
+            bounds = [(a + b) / 2 for a, b in zip(means, means[1:])]
+        assert K.natural_breaks(df, "x", 4) == tops
+
+
+def test_long_code_lists_are_searched(spark):
+    codes = {f"k{i * 7 % 10_000}é": f"label {i}" for i in range(10_000)} | {"": "empty", "~": "last"}
+    asked = [("k0é",), ("k9999é",), ("k10000é",), ("",), ("~",), ("~~",), (None,), ("K0é",)]
+    df = spark.createDataFrame(asked, "c string")
+    got = {r.c: r.l for r in df.select("c", C.lookup("c", codes).alias("l")).collect()}
+    assert got == {c: codes.get(c) for (c,) in asked}
+
+
 def test_classes(spark):
     df = spark.createDataFrame([(None,), (float("inf"),), (0.0,), (4.0,), (10.0,)], "v double")
     got = {r["v"]: r["class"] for r in K.classify(df, "v", "equal", 5).collect()}
