@@ -28,10 +28,10 @@ _RUNS = [(re.compile("[A-ZÀ-ÖØ-Þ]+"), "X"), (re.compile(r"[^\W\dX_]+"), "x")
 
 
 def shape_of(word: str) -> str:
-    """The word with runs of capitals, other letters and digits as X, x and 9; the first 16 characters of that tell enough."""
+    """The word with runs of capitals, other letters and digits as X, x and 9, whole."""
     for run, sign in _RUNS:
         word = run.sub(sign, word)
-    return word[:16]
+    return word
 
 
 class _Slots(dict):

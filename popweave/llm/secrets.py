@@ -1,8 +1,10 @@
 """Secret scan: candidates by pattern, false ones removed by a random forest. DataFrame functions only.
 
-A candidate is a run of 12 or more token characters with a digit, with the word and the separator before it and the word after
-it. Features tell its length, how its characters change, how much of it dictionary words cover, whether it looks like part of
-a path, and what its neighbours say.
+A candidate is a run of token characters, with the word and the separator before it and the word after it: one of 12 or more with
+a digit, one of 24 or more without, one of any length from 4 that is assigned to a credential's name, or the password of a URL.
+Features tell its length, how its characters change, how much of its letters dictionary words cover, whether it looks like part of a
+path, and what its neighbours are like. The dictionary is a fixed list and the words that most documents of the corpus share. What
+the labelling rules ask about a finding's neighbours is no feature, so the forest judges the findings they leave open by themselves.
 """
 
 from __future__ import annotations
@@ -15,12 +17,19 @@ from pyspark.sql import Column, DataFrame, functions as F
 from popweave.session import cut_lineage
 
 TOKEN = "A-Za-z0-9_+/-"
+CREDENTIAL_WORDS = "pass|passwd|password|pwd|secret|token|key|apikey|auth|cred|credential|bearer|private|signature"
+_ASSIGNED = rf"(?<=(?i:{CREDENTIAL_WORDS})s?[\"'`]?[ ]?[=:][ ]?[\"'`]?)"
+_IN_URL = r"(?<=://[^\s/:@]{1,64}:)"
 # no run is scanned twice: a candidate starts where a run starts, and its parts give nothing back
-CANDIDATE = rf"(?<![{TOKEN}])(?=[A-Za-z_+/-]*+[0-9])[{TOKEN}]{{12,}}+={{0,2}}+"
+CANDIDATE = (
+    rf"(?<![{TOKEN}])(?:(?=[A-Za-z_+/-]*+[0-9])[{TOKEN}]{{12,}}+|[{TOKEN}]{{24,}}+|{_ASSIGNED}[{TOKEN}]{{4,}}+|{_IN_URL}[{TOKEN}]{{4,}}+(?=@))"
+    "={0,2}+"
+)
 IN_CONTEXT = rf"(?:([A-Za-z][A-Za-z_.]{{0,39}}+)([^{TOKEN}]{{1,6}}))?({CANDIDATE})(?=[^A-Za-z0-9]{{0,4}}([A-Za-z]{{0,20}}))"
 
 SAMPLE_FINDINGS = 20_000  # labelled findings that the forest is fitted on, at most
 TREES, DEPTH = 30, 8
+LEARNT, SHARED = 500, 3  # words of the corpus that join the dictionary, at most; documents that must hold each
 
 # Words whose presence speaks for a name rather than a random value.
 DICTIONARY = (
@@ -38,7 +47,12 @@ DICTIONARY = (
     " tool topic total track type update upload user value version video view web width window word world"
 ).split()
 
-CREDENTIAL_WORDS = "pass|passwd|password|pwd|secret|token|key|apikey|auth|cred|credential|bearer|private|signature"
+
+def corpus_words(docs: DataFrame, text_col: str = "text") -> list[str]:
+    """The words of 4 or more letters that most documents hold, LEARNT at most; parts of longer tokens are no words."""
+    words = F.regexp_extract_all(F.lower(text_col), F.lit(f"(?<![{TOKEN}])[a-z]{{4,}}+(?![{TOKEN}])"), F.lit(0))
+    counts = docs.select(F.explode(F.array_distinct(words)).alias("word")).groupBy("word").count()
+    return [r.word for r in counts.where(F.col("count") >= SHARED).orderBy(F.desc("count"), "word").limit(LEARNT).collect()]
 
 
 def find_candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -55,14 +69,22 @@ def _share(pattern: str) -> Column:
     return F.regexp_count("value", F.lit(pattern)) / F.length("value")
 
 
-def features() -> dict[str, Column]:
+def dictionary_share(words: list[str]) -> Column:
+    """Share of a value's letters that words of the dictionary cover; 0 without letters."""
+    known = sorted({*DICTIONARY, *words}, key=lambda w: (-len(w), w))
+    letters = F.regexp_replace(F.lower("value"), "[^a-z]+", " ")
+    left = F.regexp_replace(letters, "(?:" + "|".join(known) + ")", "")
+    count = lambda text: F.length(F.replace(text, F.lit(" "), F.lit("")))
+    return F.when(count(letters) > 0, 1 - count(left) / count(letters)).otherwise(0.0)
+
+
+def features(words: list[str] = []) -> dict[str, Column]:
     value = F.col("value")
     n = F.length("value")
     letters = F.filter(F.split(value, ""), lambda c: c != "")
     counts = F.transform(F.array_distinct(letters), lambda c: F.size(F.filter(letters, lambda x: x == c)) / n)
-    covered = F.regexp_replace(F.lower("value"), "(?:" + "|".join(sorted(DICTIONARY, key=lambda w: (-len(w), w))) + ")", "")
     return {
-        "length": F.least(n, F.lit(512)).cast("double"),
+        "length": n.cast("double"),
         "entropy": F.aggregate(counts, F.lit(0.0), lambda a, p: a - p * F.log2(p)),
         "digits": _share("[0-9]"),
         "capitals": _share("[A-Z]"),
@@ -71,32 +93,35 @@ def features() -> dict[str, Column]:
         "case_change": _share("(?<=[a-z])[A-Z]|(?<=[A-Z])[a-z]"),
         "repeats": _share(r"(.)(?=\1)"),
         "vowel_pairs": _share("(?<=[b-df-hj-np-tv-xz])[aeiou]|(?<=[aeiou])[b-df-hj-np-tv-xz]"),
-        "dictionary": 1 - F.length(covered) / n,
+        "dictionary": dictionary_share(words),
         "slashes": _share("/"),
         "joiners": _share("[_-]"),
         "padding": value.endswith("=").cast("double"),
-        "assigned": F.regexp_like("gap", F.lit("[=:]")).cast("double"),
         "quoted": F.regexp_like("gap", F.lit("[\"'`]")).cast("double"),
-        "in_path": F.regexp_like("gap", F.lit(r"[/\\@.?&#]")).cast("double"),
-        "credential_before": F.regexp_like("before", F.lit(f"(?:^|[_.])(?:{CREDENTIAL_WORDS})s?$")).cast("double"),
+        "in_path": F.regexp_like("gap", F.lit(r"[/\\?&#]")).cast("double"),
         "word_before": F.length("before").cast("double"),
         "word_after": F.length("after").cast("double"),
     }
 
 
-def by_rule() -> Column:
-    """Label of a finding that a published key format or an assignment to a credential's name settles; others are no secrets."""
+def by_rule(words: list[str] = []) -> Column:
+    """Label of a finding that a rule settles, else NULL.
+
+    1: a published key format, or an assignment to a credential's name. 0: digits alone, or letters that dictionary words make up for
+    the most part.
+    """
     provider = F.regexp_like("value", F.lit("^(?:AKIA|ASIA)[0-9A-Z]{16}$|^(?:ghp|gho|ghs)_[A-Za-z0-9]{36}$|^sk_live_[A-Za-z0-9]{16,}$"))
     named = F.regexp_like("before", F.lit(f"(?:^|[_.])(?:{CREDENTIAL_WORDS})s?$")) & F.regexp_like("gap", F.lit("[=:]"))
-    return (provider | named).cast("int")
+    plain = F.regexp_like("value", F.lit("^[0-9]+$")) | (dictionary_share(words) >= 0.7)
+    return F.when(provider | F.coalesce(named, F.lit(False)), 1).when(plain, 0)
 
 
-def _with_features(findings: DataFrame) -> DataFrame:
-    made = findings.select("*", *[F.coalesce(c, F.lit(0.0)).cast("double").alias(f"f_{n}") for n, c in features().items()])
+def _with_features(findings: DataFrame, words: list[str] = []) -> DataFrame:
+    made = findings.select("*", *[F.coalesce(c, F.lit(0.0)).cast("double").alias(f"f_{n}") for n, c in features(words).items()])
     return VectorAssembler(inputCols=[f"f_{n}" for n in features()], outputCol="f_all").transform(made)
 
 
-def fit(findings: DataFrame, label: Column) -> RandomForestClassificationModel | None:
+def fit(findings: DataFrame, label: Column, words: list[str] = []) -> RandomForestClassificationModel | None:
     """Forest over labelled findings (SAMPLE_FINDINGS at most, by a hash); None unless both labels, 0 and 1, occur."""
     known = findings.withColumn("y", label.cast("double")).where(F.col("y").isin(0.0, 1.0))
     known = known.orderBy(F.xxhash64("value", "before", "id", "place"), "value", "id", "place").limit(SAMPLE_FINDINGS)
@@ -104,7 +129,7 @@ def fit(findings: DataFrame, label: Column) -> RandomForestClassificationModel |
     if known.select("y").distinct().count() < 2:
         return None
     forest = RandomForestClassifier(featuresCol="f_all", labelCol="y", numTrees=TREES, maxDepth=DEPTH, seed=17)
-    return forest.fit(_with_features(known))
+    return forest.fit(_with_features(known, words))
 
 
 def scan(
@@ -117,13 +142,14 @@ def scan(
     candidates. Repeated rows and NULL ids are scanned each for itself; a value that occurs twice in a text is two
     candidates. Other columns are not read. Tables without candidates, or empty ones, give no rows.
     """
-    label = by_rule() if label is None else label
+    words = corpus_words(docs, text_col)
+    label = by_rule(words) if label is None else label
     findings = cut_lineage(find_candidates(docs, id_col, text_col))
-    model = fit(findings, label)
+    model = fit(findings, label, words)
     if model is None:
         scored = findings.withColumn("probability", F.coalesce(label.cast("double"), F.lit(0.0)))
     else:
-        scored = model.transform(_with_features(findings)).withColumn("probability", vector_to_array("probability")[1])
+        scored = model.transform(_with_features(findings, words)).withColumn("probability", vector_to_array("probability")[1])
     return scored.select(F.col("id").alias(id_col), "place", "value", "probability", (F.col("probability") >= threshold).alias("secret"))
 
 

@@ -1,7 +1,8 @@
 """URL verdicts: a list of host and path rules, and association rules for the URLs that the list says nothing about.
 
 Spark's FP-growth mines token combinations of labelled URLs that go with a verdict. Rules below a support or a confidence are
-pruned, and so are rules that a shorter one makes redundant. The rest form an inverted index on the rarest token of each:
+pruned, and so are rules that a shorter one makes redundant. Tokens that the labelled URLs only hold together are mined as one, and
+any of them stands for it, since the rules with either are the same but for the name. The rest form an inverted index on the rarest token of each:
 a URL meets a rule only through that token, and the rule's other tokens are checked there.
 """
 
@@ -55,6 +56,26 @@ def tokens_of(url: Column) -> Column:
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_sort(F.array_distinct(every)))
 
 
+def together(token_sets: DataFrame) -> DataFrame:
+    """``token`` and ``group``, the least of the tokens that are in exactly the same rows; tokens alone in theirs stand for themselves.
+
+    Rows are compared by their number and two sums over hashes of distinct row numbers.
+    """
+    rows = cut_lineage(token_sets.select(F.monotonically_increasing_id().alias("row"), "tokens"))
+    hashed = lambda seed: F.sum(F.xxhash64(F.lit(seed), "row").cast("decimal(38,0)"))
+    seen = rows.select("row", F.explode("tokens").alias("token")).groupBy("token").agg(
+        F.count("*").alias("n"), hashed(1).alias("h1"), hashed(2).alias("h2")
+    )
+    least = seen.groupBy("n", "h1", "h2").agg(F.min("token").alias("group"))
+    return cut_lineage(seen.join(least, ["n", "h1", "h2"]).select("token", "group"))
+
+
+def grouped(token_sets: DataFrame, groups: DataFrame) -> DataFrame:
+    """Distinct ``tokens`` with ``groups``, the sorted groups of their tokens; tokens without a group are left out."""
+    pairs = token_sets.select("tokens").distinct().select("tokens", F.explode("tokens").alias("token")).join(groups, "token")
+    return pairs.groupBy("tokens").agg(F.array_sort(F.collect_set("group")).alias("groups"))
+
+
 def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.9) -> DataFrame:
     """``tokens``, ``verdict``, ``confidence`` and ``support`` of the rules that hold among ``tokens``, ``verdict`` rows.
 
@@ -124,8 +145,11 @@ def judge(
     )
     rows = rows.withColumn("listed", listed)
     taught = rows.select("tokens", (F.col("listed") if labels is None else F.col("label")).alias("verdict"))
-    mined = mine(taught, min_support, min_confidence)
-    sets = rows.where("listed IS NULL").select("tokens").distinct()
-    by_tokens = match(sets, mined).withColumnRenamed("verdict", "mined")
-    judged = rows.join(by_tokens, "tokens", "left")
+    known = taught.where(F.col("verdict").isNotNull() & (F.size("tokens") > 0))
+    groups = together(known)
+    short = known.join(grouped(known, groups), "tokens").select(F.col("groups").alias("tokens"), "verdict")
+    mined = mine(short, min_support, min_confidence)
+    sets = grouped(rows.where("listed IS NULL"), groups)
+    by_groups = match(sets.select(F.col("groups").alias("tokens")).distinct(), mined).withColumnsRenamed({"tokens": "groups", "verdict": "mined"})
+    judged = rows.join(sets.join(by_groups, "groups").select("tokens", "mined"), "tokens", "left")
     return judged.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("listed", "mined", F.lit(default)).alias("verdict"))
