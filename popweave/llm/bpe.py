@@ -234,7 +234,8 @@ def encode(
 
 
 def decode(rows: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFrame:
-    """``rows`` with ``decoded``, the text of the token ids; NULL ids decode to ""."""
+    """``rows`` with ``decoded``, the text of the token ids, in place of a column of that name; NULL ids decode to ""."""
+    rows = rows.drop("decoded")
     sent = _Sent(rows.sparkSession, vocabulary)
     schema = rows.select("*", F.lit("").alias("decoded")).schema
 

@@ -95,7 +95,8 @@ def _items(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> Dat
             yield [w.decode() for w in words], min(window, len(words)), k, hashes
 
     fields = "words array<string>, len int, k int, hs array<bigint>"
-    rows = map_texts(benchmark.withColumn("item", F.monotonically_increasing_id()), {"item": "item", "id": id_col}, text_col, fields, work)
+    own = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.monotonically_increasing_id().alias("item"))
+    rows = map_texts(own, {"item": "item", "id": "id"}, "t", fields, work)
     return cut_lineage(rows.where("len > 0"))
 
 

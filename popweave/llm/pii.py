@@ -33,7 +33,8 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_MARK = re.compile("[0-9@]")
+_MARK = re.compile(r"[0-9@]|[(\[]at[)\]]")  # what a window must hold to be looked at
+_AT = re.compile(r" ?[(\[]at[)\]] ?")  # an "@" spelled out
 _DIGITS = re.compile("[0-9]+")
 
 
@@ -216,7 +217,7 @@ def tags_of(spans: list[Span], start: int, n: int) -> np.ndarray:
 
 
 def windows_of(text: str) -> list[int]:
-    """Starts of the windows that hold an "@" or a digit; together with their neighbours' overlap they cover all of these."""
+    """Starts of the windows that hold an "@", spelled out or not, or a digit; together with their neighbours' overlap they cover all of these."""
     last = max(0, -(-(len(text) - WINDOW) // STRIDE))  # number of the last window
     chosen = set()
     for m in _MARK.finditer(text):
@@ -230,7 +231,7 @@ def _padded(codes: np.ndarray) -> np.ndarray:
 
 
 def variants(text: str, spans: list[Span], rnd: random.Random) -> tuple[str, list[Span]]:
-    """The text with some phone and card numbers written in other ways, and where the spans are then."""
+    """The text with its spans written in other ways, some as they are, and where they are then."""
     out, places, at = [], [], 0
     for a, b, kind in spans:
         if a < at:
@@ -243,6 +244,12 @@ def variants(text: str, spans: list[Span], rnd: random.Random) -> tuple[str, lis
         elif kind == "card":
             digits = _digits(value)
             value = rnd.choice([value, *(sep.join(digits[i : i + 4] for i in range(0, len(digits), 4)) for sep in ". /")])
+        elif kind == "email":
+            name, _, host = value.partition("@")
+            accented = "".join(rnd.choice("äöüéñß") if c in "aeou" and rnd.random() < 0.3 else c for c in name)
+            value = rnd.choice(["{}@{}", "{} [at] {}", "{} (at) {}", "{}[at]{}", "{}(at){}"]).format(rnd.choice([name, accented]), host)
+        else:
+            value = rnd.choice([value, value.replace(".", ","), value.replace(".", "-"), value.replace(".", " . ")])
         out.append(text[at:a])
         start = sum(map(len, out))
         out.append(value)
@@ -304,10 +311,11 @@ def _plausible(value: str, kind: str) -> bool:
     digits = _DIGITS.findall(value)
     count = sum(map(len, digits))
     if kind == "email":
-        name, _, host = value.rpartition("@")
-        return bool(name) and "." in host.strip(".") and not re.search(r"\s", value)
+        name, _, host = _AT.sub("@", value).rpartition("@")
+        return bool(name) and "." in host.strip(".") and not re.search(r"\s", name + host)
     if kind == "ip":
-        return len(digits) == 4 and _is_ip(digits) and len(value) == count + 3
+        gaps = set(re.split("[0-9]+", value)[1:-1])
+        return len(digits) == 4 and _is_ip(digits) and len(gaps) == 1 and gaps <= {".", ",", "-", " . "} and value[0] in "0123456789"
     if not re.fullmatch(r"[0-9+(][0-9 ()./+-]*[0-9]", value):
         return False
     return 12 <= count <= 19 and luhn("".join(digits)) if kind == "card" else 9 <= count <= 15 and len(digits) > 1

@@ -158,10 +158,12 @@ def redact(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col:
 
     Values are replaced longest first. Rows under a NULL id have no findings to go by and stay as they are.
     """
-    secrets = found.where("secret").groupBy(F.col(id_col).alias("_secret_of"))
-    secrets = secrets.agg(F.array_sort(F.collect_set(F.struct((-F.length("value")).alias("n"), "value"))).alias("_secrets"))
-    joined = docs.join(secrets, F.col(id_col) == F.col("_secret_of"), "left")
+    secrets = found.where("secret").groupBy(F.col(id_col).alias("of"))
+    secrets = secrets.agg(F.array_sort(F.collect_set(F.struct((-F.length("value")).alias("n"), "value"))).alias("values"))
+    rows = docs.select(F.struct("*").alias("row"))  # so that no column of theirs can be taken for one of the findings
+    joined = rows.join(secrets, F.col(f"row.{id_col}") == F.col("of"), "left")
     text = F.aggregate(
-        F.coalesce("_secrets", F.array()), F.col(text_col), lambda t, s: F.replace(t, s.getField("value"), F.lit(mark))
+        F.coalesce("values", F.array()), F.col(f"row.{text_col}"), lambda t, s: F.replace(t, s.getField("value"), F.lit(mark))
     )
-    return joined.withColumn(text_col, F.when(F.col("_secrets").isNull(), F.col(text_col)).otherwise(text)).select(*docs.columns)
+    text = F.when(F.col("values").isNull(), F.col(f"row.{text_col}")).otherwise(text)
+    return joined.select(*[text.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -1,6 +1,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from popweave.llm import decontaminate
 
 
@@ -56,3 +58,9 @@ def test_other_window_and_filter_collisions(spark, documents, monkeypatch):
 def test_empty_tables(spark, documents):
     assert run(spark, documents([]), [(1, "a b")]) == []
     assert run(spark, documents([(1, "a b")]), []) == [(1, 2, 0, [])]
+
+
+def test_an_items_own_columns_do_not_clash(spark, documents):
+    items = spark.createDataFrame([("X77", "one two three four")], "item string, text string").withColumn("id", F.lit(5)).withColumn("t", F.lit("z"))
+    got = decontaminate.mark(documents([(1, "zero one two three four five")]), items, window=10, item_id_col="item").collect()
+    assert [r["items"] for r in got] == [["X77"]]

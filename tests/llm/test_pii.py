@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from popweave.llm import pii, queries
 
@@ -82,16 +83,63 @@ def test_decoding_is_the_best_path_and_obeys_the_transitions():
 
 
 @pytest.fixture(scope="module")
-def network(spark):
-    return pii.train(*pii.training_windows(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")))
+def halves(spark):
+    """Texts to learn from and texts held out, no text in both."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    held = F.pmod(F.xxhash64("text"), F.lit(3)) == 1
+    return docs.where(~held), [r.text for r in docs.where(held & F.regexp_like("text", F.lit("[0-9@]"))).limit(600).collect()]
 
 
-def test_network_finds_held_out_spans_by_itself(spark, network):
-    texts = [r.text for r in spark.read.parquet("/root/testdata/check_s/documents.parquet").where("text rlike '[0-9@]'").limit(400).collect()]
-    known = [set(pii.base_spans(t)) for t in texts]
+@pytest.fixture(scope="module")
+def network(halves):
+    return pii.train(*pii.training_windows(halves[0]))
+
+
+def found_of(network, texts, truth):
+    """By kind: spans there are, and how many of them the network finds by itself, to the character; and all that it finds."""
     found = [set(s) for s in pii.added_spans(network, texts, [[] for _ in texts])]
-    hit = sum(len(k & f) for k, f in zip(known, found))
-    assert hit / sum(map(len, known)) > 0.9 and hit / max(1, sum(map(len, found))) > 0.9
+    there = {k: sum(s[2] == k for t in truth for s in t) for k in pii.KINDS}
+    hits = {k: sum(s[2] == k for t, f in zip(truth, found) for s in set(t) & f) for k in pii.KINDS}
+    return there, hits, sum(map(len, found))
+
+
+def test_network_finds_held_out_spans_by_itself(halves, network):
+    there, hits, found = found_of(network, halves[1], [pii.base_spans(t) for t in halves[1]])
+    assert sum(hits.values()) / sum(there.values()) > 0.9 and sum(hits.values()) / max(1, found) > 0.9
+
+
+def test_network_finds_held_out_variants_of_each_kind(halves, network):
+    rnd = random.Random(6)
+    pairs = [pii.variants(t, pii.base_spans(t), rnd) for t in halves[1]]
+    there, hits, found = found_of(network, [t for t, _ in pairs], [s for _, s in pairs])
+    print("variants", there, hits, found)
+    for kind, n in there.items():
+        assert n < 10 or hits[kind] / n > 0.5, (kind, n, hits[kind])
+    assert sum(hits.values()) / max(1, found) > 0.8
+
+
+def test_windows_are_reconciled_as_one_decoding_of_their_mean_scores(halves, network):
+    """Stretches of overlapping windows, against scores averaged character by character over the whole text."""
+    for text in [t for t in halves[1] if len(t) < 1500][:25]:
+        n, starts = len(text), pii.windows_of(text)
+        sums, counts = np.zeros((n, pii.TAGS)), np.zeros(n)
+        for w in starts:
+            codes = pii.codes_of(text[w : w + pii.WINDOW])
+            e, _ = network.emissions(pii._padded(codes)[None])
+            sums[w : w + len(codes)] += e[0, : len(codes)]
+            counts[w : w + len(codes)] += 1
+        expected, at = [], 0
+        while at < n:
+            if not counts[at]:
+                at += 1
+                continue
+            end = at
+            while end < n and counts[end]:
+                end += 1
+            tags = network.decode(sums[at:end] / counts[at:end, None])
+            expected += [(a + at, b + at, k) for a, b, k in pii.spans_of(tags) if pii._plausible(text[a + at : b + at], k)]
+            at = end
+        assert pii.added_spans(network, [text], [[]])[0] == expected
 
 
 def test_rows(spark, documents, network):
