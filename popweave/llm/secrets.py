@@ -18,8 +18,9 @@ from popweave.session import cut_lineage
 
 TOKEN = "A-Za-z0-9_+/-"
 CREDENTIAL_WORDS = "pass|passwd|password|pwd|secret|token|key|apikey|auth|cred|credential|bearer|private|signature"
-_ASSIGNED = rf"(?<=(?i:{CREDENTIAL_WORDS})s?[\"'`]?[ ]?[=:][ ]?[\"'`]?)"
-_IN_URL = r"(?<=://[^\s/:@]{1,64}:)"
+# a look at the nearest characters first, as most runs follow a plain space
+_ASSIGNED = rf"(?<=[=:][ ]?[\"'`]?)(?<=(?i:{CREDENTIAL_WORDS})s?[\"'`]?[ ]?[=:][ ]?[\"'`]?)"
+_IN_URL = r"(?<=:)(?<=://[^\s/:@]{1,64}:)"
 # no run is scanned twice: a candidate starts where a run starts, and its parts give nothing back
 CANDIDATE = (
     rf"(?<![{TOKEN}])(?:(?=[A-Za-z_+/-]*+[0-9])[{TOKEN}]{{12,}}+|[{TOKEN}]{{24,}}+|{_ASSIGNED}[{TOKEN}]{{4,}}+|{_IN_URL}[{TOKEN}]{{4,}}+(?=@))"
