@@ -3,9 +3,11 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
-from popweave.catalog import QUERIES
+from popweave.catalog import QUERIES, areas, shapes
+from popweave.operators import apportion as A, overlay as V
 from popweave.session import shared_root
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -71,19 +73,28 @@ def test_shared_root_comes_from_the_session(spark):
     assert shared_root(spark) == configured.rstrip("/")
 
 
+def jobs_of(spark, name, build):
+    """What ``build`` gives, and the jobs it started; tables are read beforehand, as finding their columns is a job."""
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        made = build()
+        return made, spark.sparkContext.statusTracker().getJobIdsForGroup(name)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_crosswalk_runs_its_kernel_once_without_a_job_beforehand(spark):
-    tracker = spark.sparkContext.statusTracker()
-    spark.sparkContext.setJobGroup("planning", "planning")
-    df = driver.queries()["build_crosswalk"](spark, SF_DIR)
-    assert not tracker.getJobIdsForGroup("planning")
-    spark.sparkContext.setJobGroup("running", "running")
+    a, b = shapes._ring_sides(spark, SF_DIR)
+    people = a.select("a_id", F.col("a_id").alias("tract_pop"))
+    df, jobs = jobs_of(spark, "weights", lambda: V.build_crosswalk(a, b, people, "a_id", "b_id", project=False))
+    assert not jobs
     df.collect()
     final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert len(re.findall("MapInPandas", final)) == 1
 
 
 def test_apportion_starts_no_job_of_its_own(spark):
-    tracker = spark.sparkContext.statusTracker()
-    spark.sparkContext.setJobGroup("keys", "keys")
-    text = plan(spark, "key_width_join")
-    assert not tracker.getJobIdsForGroup("keys") and "Subquery" in text
+    stats, xwalk = areas._stats(spark, SF_DIR), areas._published_crosswalk(spark, SF_DIR)
+    df, jobs = jobs_of(spark, "keys", lambda: A.apportion(stats, xwalk))
+    assert not jobs
+    assert "Subquery" in df._jdf.queryExecution().executedPlan().toString()
