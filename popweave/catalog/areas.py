@@ -192,6 +192,25 @@ def approximate_quantile_bounds(spark, d):
     return breaks.select(F.posexplode("breaks").alias("i", "bound"))
 
 
+@query(f"""WITH {VALUES_SQL} SELECT CAST(i AS INTEGER) AS i, count(*) AS n, TRUE AS close FROM vals, range(1, 11) t(i) GROUP BY i""")
+def approximate_quantile_ranks(spark, d):
+    """Whether each approximate tenth stands at its place among all values, by 1 in 10,000 of them at most."""
+    values = _values(spark, d).select(F.coalesce("v", F.lit(0.0)).alias("v"))
+    breaks = K.approximate_quantile_breaks(values, "v", 10).scalar()
+    tenths = [F.get(breaks, F.lit(i)) for i in range(10)]
+    below = [F.count_if(F.col("v") < b).alias(f"below{i}") for i, b in enumerate(tenths)]
+    upto = [F.count_if(F.col("v") <= b).alias(f"upto{i}") for i, b in enumerate(tenths)]
+    ranks = values.agg(F.count("*").alias("n"), *below, *upto)
+    slack = F.col("n") / 10_000 + 1
+    rows = [
+        F.struct(F.lit(i + 1).alias("i"), "n", F.coalesce(
+            (F.col(f"below{i}") <= F.col("n") * (i + 1) / 10 + slack) & (F.col(f"upto{i}") >= F.col("n") * (i + 1) / 10 - slack), F.lit(False)
+        ).alias("close"))
+        for i in range(10)
+    ]
+    return ranks.select(F.inline(F.array(*rows)))
+
+
 @query(f"WITH {VALUES_SQL} SELECT count(DISTINCT v) AS n_distinct FROM vals")
 def distinct_values(spark, d):
     return K.distinct_values(_values(spark, d), "v")

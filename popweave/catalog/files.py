@@ -201,6 +201,24 @@ def geojson_collections(spark, d):
     )
 
 
+@query("""SELECT CAST(c_custkey AS VARCHAR) AS id, c_mktsegment AS segment, 2.0::DOUBLE AS area FROM customer""")
+def geojson_files(spark, d):
+    """Files of one FeatureCollection each, written over several lines, of five hundred customers at most."""
+    x, y = F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string")
+    right, top = (F.col("c_custkey") + 2).cast("string"), (F.col("c_nationkey") + 1).cast("string")
+    corners = [(x, y), (right, y), (right, top), (x, top), (x, y)]
+    ring = F.concat_ws(",", *[F.concat(F.lit("["), a, F.lit(","), b, F.lit("]")) for a, b in corners])
+    feature = F.concat(F.lit('{"type":"Feature",\n"properties":{"GEOID":"'), x, F.lit('","segment":"'), "c_mktsegment",
+                       F.lit('"},\n"geometry":{"type":"Polygon","coordinates":[['), ring, F.lit("]]}}"))
+    rows = table(spark, d, "customer").select(F.floor(F.col("c_custkey") / 500).alias("part"), feature.alias("feature"))
+    text = F.concat(F.lit('{"type":"FeatureCollection",\n"features":['), F.array_join(F.collect_list("feature"), ",\n"), F.lit("]}"))
+    path = scratch_path(spark, "geojson-files")
+    rows.groupBy("part").agg(text.alias("value")).write.partitionBy("part").text(path)
+    shapes = J.scan_geojson(spark, path)
+    named = [F.try_element_at("properties", F.lit(p)).alias(n) for p, n in (("GEOID", "id"), ("segment", "segment"))]
+    return shapes.select(*named, G.area("geom").alias("area"))
+
+
 @query("""SELECT lpad(CAST(l_suppkey AS VARCHAR), 5, '0') AS zip, count(DISTINCT l_partkey) AS sources FROM lineitem GROUP BY l_suppkey""")
 def crosswalk_artifact(spark, d):
     pairs = table(spark, d, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.sum("l_quantity").alias("weight"))

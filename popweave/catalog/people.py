@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from popweave.catalog.registry import CODE, IN_GROUP, PERSONS, SLOT_HITS, persons, query, sql_values, table
-from popweave.functions import codes as C
+from popweave.functions import codes as C, text as T
 from popweave.functions.predicates import any_slot, parse_filters
 from popweave.functions.numbers import half_even, percent
 from popweave.operators import ranking as R, weighted as W
@@ -233,6 +233,20 @@ def area_dashboard(spark, d):
     return _rounded_profile(M.area_dashboard(persons(spark, d), CODE, states))
 
 
+RACE_AREAS = PERSONS.replace('c_mktsegment AS "PUMA"', 'CAST(NULLIF(l_suppkey % 9 + 1, 5) AS VARCHAR) AS "PUMA"')
+
+
+@query(f"""WITH {RACE_AREAS}, profile AS (WITH """ + _profile_sql("\"ANC1P\" = '7' OR \"ANC2P\" = '7'") + """),
+names AS (SELECT lpad(CAST(n_nationkey AS VARCHAR), 5, '0') AS "PUMA_CODE", n_name AS puma_name FROM nation WHERE n_nationkey <> 3)
+SELECT profile.*, lpad("PUMA", 5, '0') AS "PUMA_CODE", puma_name FROM profile LEFT JOIN names ON lpad("PUMA", 5, '0') = names."PUMA_CODE" """)
+def area_dashboard_named(spark, d):
+    """Codes as text, so that only "7" counts and not "0007"; one area has no name."""
+    people = persons(spark, d).withColumn("PUMA", F.col("RAC1P").cast("string"))
+    nation = table(spark, d, "nation").where("n_nationkey <> 3")
+    names = nation.select(T.zero_pad("n_nationkey", 5).alias("PUMA_CODE"), F.col("n_name").alias("puma_name"))
+    return _rounded_profile(M.area_dashboard(people, CODE, names=names, as_string=True))
+
+
 @query(f"""WITH {PERSONS}
 SELECT CASE WHEN "EDUCD" < 62 THEN '< HS' WHEN "EDUCD" IN (62, 63) THEN 'HS or GED' WHEN "EDUCD" IN (64, 65) THEN 'Some college'
     WHEN "EDUCD" >= 100 AND "EDUCD" < 112 THEN 'Associate' WHEN "EDUCD" = 113 THEN 'Bachelor''s'

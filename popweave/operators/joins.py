@@ -27,6 +27,30 @@ def keep_members(df: DataFrame, key: str, members: DataFrame, member_key: str |
     return df.join(keys, key, "left_semi").select(*df.columns)
 
 
+# bits of the map of ``likely_members``: one megabyte, whatever there is on either side
+MEMBER_BITS = 1 << 23
+
+
+def likely_members(df: DataFrame, key: str, members: DataFrame, member_key: str | None = None, bits: int = MEMBER_BITS) -> DataFrame:
+    """Rows whose key is in the set, and about one in ``bits / members`` of the others; to thin out wide rows before a join.
+
+    The set becomes a bit map of fixed size by hash, one scalar of the plan, so the rows are filtered where they are read. A
+    missing key is in no set.
+    """
+    def place(name: str) -> Column:
+        return F.pmod(F.xxhash64(F.col(name).cast("string")), F.lit(bits)) + 1
+
+    marked = members.where(F.col(member_key or key).isNotNull()).select(place(member_key or key).alias("_h"))
+    parts = marked.groupBy(F.bitmap_bucket_number("_h").alias("part")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("_h")).alias("map")
+    )
+    whole = parts.select(F.map_from_entries(F.collect_list(F.struct("part", "map"))).alias("maps")).scalar()
+    at = F.bitmap_bit_position(place(key))
+    byte = F.substring(F.try_element_at(whole, F.bitmap_bucket_number(place(key))), (at / 8).cast("int") + 1, F.lit(1))
+    is_set = F.getbit(F.conv(F.hex(byte), 16, 10).cast("bigint"), (at % 8).cast("int")) == 1
+    return df.where(F.col(key).isNotNull() & F.coalesce(is_set, F.lit(False)))
+
+
 def join_preferring_right(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """Join on shared keys; a column of both sides is the right one's value, the left one's where that is missing."""
     both = [c for c in left.columns if c in right.columns and c not in on]

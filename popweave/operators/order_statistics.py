@@ -11,40 +11,41 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-MAX_BUCKETS = 1024
+MAX_BUCKETS = 1 << 20
 ROWS_PER_BUCKET = 1 << 17
+SAMPLED = 4  # values sampled for a bucket, of which every fourth is a cut: keeps buckets alike
 
 
-def with_bucket(df: DataFrame, value: str, cuts: Column, max_buckets: int, out: str = "_bucket") -> DataFrame:
-    """Add the bucket of the value, by binary search over the sorted ``cuts.splits``, at ``cuts.shift`` coarseness."""
-    steps = F.array(*[F.lit(1 << i) for i in reversed(range(max_buckets.bit_length() - 1))])
+def with_bucket(df: DataFrame, value: str, cuts: Column, out: str = "_bucket") -> DataFrame:
+    """Add the bucket of the value, the number of ``cuts.splits`` below it, by binary search in ``cuts.steps``."""
     placed = df.withColumn("_cuts", cuts)
     splits = F.col("_cuts.splits")
     found = F.aggregate(
-        steps,
+        F.col("_cuts.steps"),
         F.lit(0),
         lambda at, s: F.when(F.get(splits, at + s - 1) < F.col(value), at + s).otherwise(at),
     )
     # never NULL, which keeps the optimizer from testing the bucket of every unmerged row
-    coarse = F.call_function("shiftright", F.coalesce(found, F.lit(0)), F.coalesce("_cuts.shift", F.lit(0)))
-    return placed.withColumn(out, F.coalesce(coarse, F.lit(0))).drop("_cuts")
+    return placed.withColumn(out, F.coalesce(found, F.lit(0))).drop("_cuts")
 
 
-def value_cuts(merged: DataFrame, value: str, weight: str, max_buckets: int, rows_per_bucket: int) -> Column:
-    """Struct of split points and of how many halvings to undo because the data is small: one row, one subquery.
+def value_cuts(merged: DataFrame, by: list[str], value: str, weight: str, max_buckets: int, rows_per_bucket: int) -> Column:
+    """Struct of sorted split points and of the steps of a search among them: one row, one subquery.
 
-    It reads the weight as well, so that its shuffle is the very one the rest of the plan reads.
+    The splits are values sampled by hash, as many as the merged rows call for, so buckets keep their size as rows grow: no
+    splits for a bucketful of rows, 8 MB of them at most. Both subqueries read the weight as well, so that their shuffle is the very
+    one the rest of the plan reads.
     """
-    # written as one text literal: a thousand literals would be re-analysed with every later step of the plan
-    points = F.split(F.lit(",".join(str(i / max_buckets) for i in range(1, max_buckets))), ",").cast("array<double>")
-    weighed = F.when(F.col(weight).isNotNull(), F.col(value))
-    needed = F.greatest(F.count(F.lit(1)) / F.lit(rows_per_bucket), F.lit(1.0))
-    depth = max_buckets.bit_length() - 1
-    shift = F.greatest(F.lit(depth) - F.ceil(F.log2(needed)), F.lit(0)).cast("int")
-    found = F.struct(
-        F.percentile_approx(weighed, points, 10 * max_buckets).alias("splits"), shift.alias("shift")
-    )
-    return merged.select(found.alias("cuts")).scalar()
+    count = merged.select(F.count(weight)).scalar()
+    buckets = F.least(F.ceil(count / F.lit(rows_per_bucket)), F.lit(max_buckets))
+    chance = F.shiftrightunsigned(F.xxhash64(*by, value), 11) / F.lit(float(1 << 53))
+    # a condition in the aggregate, not a filter: that would move below the merge and make it another shuffle
+    taken = (buckets > 1) & F.col(weight).isNotNull() & (chance * count < buckets * SAMPLED)
+    sampled = merged.select(F.sort_array(F.collect_list(F.when(taken, F.col(value)))).alias("v"))
+    splits = sampled.select(F.filter("v", lambda v, i: i % SAMPLED == SAMPLED - 1).alias("splits"))
+    powers = F.transform(F.sequence(F.floor(F.log2(F.size("splits"))).cast("int"), F.lit(0)), lambda i: F.pow(F.lit(2), i).cast("int"))
+    steps = F.when(F.size("splits") > 0, powers).otherwise(F.array().cast("array<int>"))
+    return splits.select(F.struct("splits", steps.alias("steps")).alias("cuts")).scalar()
 
 
 def _same_keys(left: str, right: str, keys: list[str], null_safe: bool) -> Column:
@@ -77,10 +78,10 @@ def running_weight(
         .groupBy(*by, F.col(value).alias("_value"))
         .agg(F.sum(weight).alias("_weight"))
     )
-    cuts = value_cuts(merged, "_value", "_weight", max_buckets, rows_per_bucket)
-    placed = with_bucket(merged, "_value", cuts, max_buckets)
+    cuts = value_cuts(merged, by, "_value", "_weight", max_buckets, rows_per_bucket)
+    placed = with_bucket(merged, "_value", cuts)
 
-    # at most `max_buckets` rows per group from here to the join
+    # one row per group and bucket from here to the join
     per_group = Window.partitionBy(*by)
     earlier = per_group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = (

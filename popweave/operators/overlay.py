@@ -18,11 +18,6 @@ BOX = ["minx", "miny", "maxx", "maxy"]
 MIN_LEVEL = -30
 
 
-def with_bbox(shapes: DataFrame, geom: str = "geom") -> DataFrame:
-    box = F.struct(*[c.alias(n) for n, c in G.bbox(geom).items()])
-    return shapes.withColumn("_box", G.once(box)).withColumns({n: F.col(f"_box.{n}") for n in BOX}).drop("_box")
-
-
 def _levelled(boxes: DataFrame) -> DataFrame:
     """Grid level whose cell is as large as the box's longer side; boxes without any extent cannot overlap in area."""
     side = F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny"))
@@ -97,6 +92,53 @@ def edge_list(geom: str) -> Column:
     return F.flatten(F.transform(rings, ring_edges))
 
 
+# Edges of a strip: a shape of more is cut along x into strips of about as many, which are dealt over tasks.
+STRIP = 4096
+
+
+def in_strips(shapes: DataFrame, shape_id: str, geom: str = "geom") -> DataFrame:
+    """(shape_id, _strip, minx, miny, maxx, maxy, _edges): each shape's x-ranges of about STRIP edges, one for most shapes.
+
+    A strip holds all edges that reach into its range; the ranges of a shape meet but do not overlap, so the areas within them
+    add up. Edges are sorted by their left ends once a shape; those that reach past a cut are few, and only they are looked
+    at again for later strips.
+    """
+    at = lambda i: F.floor(i / F.lit(STRIP)).cast("int")
+    right = F.transform(
+        edge_list(geom),
+        lambda e: F.when(e["p"]["x"] <= e["q"]["x"], e).otherwise(F.struct(e["q"].alias("p"), e["p"].alias("q"))),
+    )
+
+    def strip(i: Column, lo: Column, hi: Column, edges: Column) -> Column:
+        return F.struct(i.alias("_strip"), lo.alias("minx"), hi.alias("maxx"), edges.alias("_edges"))
+
+    def whole(edges: Column) -> Column:
+        ends = F.array_min(F.transform(edges, lambda e: e["p"]["x"])), F.array_max(F.transform(edges, lambda e: e["q"]["x"]))
+        return F.array(strip(F.lit(0), *ends, edges))
+
+    def cut(edges: Column) -> Column:
+        last = at(F.size(edges) - 1)
+        lefts = F.transform(F.sequence(F.lit(0), last), lambda i: F.get(edges, i * STRIP)["p"]["x"])
+        bounds = F.array_append(lefts, F.array_max(F.transform(edges, lambda e: e["q"]["x"])))
+        return G.bind(bounds, lambda b: with_bounds(edges, b, last))
+
+    def with_bounds(edges: Column, bounds: Column, last: Column) -> Column:
+        numbered = F.transform(edges, lambda e, i: F.struct(at(i).alias("i"), e.alias("e")))
+        passing = F.filter(numbered, lambda n: (n["i"] < last) & (n["e"]["q"]["x"] > F.get(bounds, n["i"] + 1)))
+
+        def one(i: Column, long: Column) -> Column:
+            earlier = F.filter(long, lambda n: (n["i"] < i) & (n["e"]["q"]["x"] > F.get(bounds, i)))
+            own = F.slice(edges, i * STRIP + 1, F.lit(STRIP))
+            return strip(i, F.get(bounds, i), F.get(bounds, i + 1), F.concat(own, F.transform(earlier, lambda n: n["e"])))
+
+        return G.bind(passing, lambda long: F.transform(F.sequence(F.lit(0), last), lambda i: one(i, long)))
+
+    parts = G.bind(right, lambda e: F.when(F.size(e) <= STRIP, whole(e)).otherwise(G.bind(F.array_sort(e), cut)))
+    rows = shapes.select(shape_id, F.inline(parts)).where("minx < maxx")
+    ys = F.transform("_edges", lambda e: F.least(e["p"]["y"], e["q"]["y"])), F.transform("_edges", lambda e: F.greatest(e["p"]["y"], e["q"]["y"]))
+    return rows.select(shape_id, "_strip", "minx", F.array_min(ys[0]).alias("miny"), "maxx", F.array_max(ys[1]).alias("maxy"), "_edges")
+
+
 def edges_between(edges: str, lo: str, hi: str) -> Column:
     """Edges that reach into an x-range, as one flat x1, y1, x2, y2 array: all that matters to areas in that range."""
     reaching = F.filter(
@@ -229,30 +271,38 @@ def intersection_areas(a_edges, b_edges, lo=None, hi=None, block: int = 1_000_00
 
 
 def overlay(a: DataFrame, b: DataFrame, a_id: str, b_id: str, geom: str = "geom") -> DataFrame:
-    """(a_id, b_id, inter_area) of every pair of shapes with a common area. Ids are unique on each side."""
+    """(a_id, b_id, inter_area) of every pair of shapes with a common area. Ids are unique on each side.
+
+    Shapes of many edges take part as strips, whose areas are added up, so no task works on more than a strip of each.
+    """
     ship_package(a.sparkSession)
-    boxes = candidate_pairs(with_bbox(a, geom), with_bbox(b, geom), a_id, b_id)
+    cut_a = in_strips(a, a_id, geom).withColumn("_sa", F.struct(a_id, "_strip"))
+    cut_b = in_strips(b, b_id, geom).withColumn("_sb", F.struct(b_id, "_strip"))
+    boxes = candidate_pairs(cut_a, cut_b, "_sa", "_sb")
     pairs = boxes.select(
-        a_id, b_id, F.greatest("a_minx", "b_minx").alias("_lo"), F.least("a_maxx", "b_maxx").alias("_hi")
+        "_sa", "_sb", F.greatest("a_minx", "b_minx").alias("_lo"), F.least("a_maxx", "b_maxx").alias("_hi")
     )
-    # Each shape's edges are attached once candidates are known, so they do not travel with every grid cell, and are cut to
-    # the pair's common range at once, so only those travel on. A shape of many pairs is split by the joins' skew handling.
-    with_a = pairs.join(a.select(a_id, edge_list(geom).alias("_ea")), a_id)
+    # Each strip's edges are attached once candidates are known, so they do not travel with every grid cell, and are cut to
+    # the pair's common range at once, so only those travel on. A strip of many pairs is split by the joins' skew handling.
+    with_a = pairs.join(cut_a.select("_sa", F.col("_edges").alias("_ea")), "_sa")
     with_a = with_a.withColumn("_ea", edges_between("_ea", "_lo", "_hi"))
-    full = with_a.join(b.select(b_id, edge_list(geom).alias("_eb")), b_id)
-    reaching = full.select(a_id, b_id, "_lo", "_hi", "_ea", edges_between("_eb", "_lo", "_hi").alias("_eb"))
+    full = with_a.join(cut_b.select("_sb", F.col("_edges").alias("_eb")), "_sb")
+    reaching = full.select(
+        F.col("_sa")[a_id].alias(a_id), F.col("_sb")[b_id].alias(b_id), "_lo", "_hi", "_ea", edges_between("_eb", "_lo", "_hi").alias("_eb")
+    )
     # Spread evenly just before the kernel: the work per pair is what costs, not its bytes. The number is that of other
     # shuffles, so that small rows are not put together again.
-    reaching = reaching.repartition(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), a_id, b_id)
+    reaching = reaching.repartition(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), a_id, b_id, "_lo")
 
     def areas(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             inter = intersection_areas(batch["_ea"], batch["_eb"], batch["_lo"], batch["_hi"])
             yield pd.DataFrame({a_id: batch[a_id], b_id: batch[b_id], "inter_area": inter})
 
-    fields = {f.name: f.dataType.simpleString() for f in full.schema.fields}
+    fields = {f.name: f.dataType.simpleString() for f in reaching.schema.fields}
     schema = f"`{a_id}` {fields[a_id]}, `{b_id}` {fields[b_id]}, inter_area double"
-    return reaching.mapInPandas(areas, schema).where("inter_area > 0")
+    parts = reaching.mapInPandas(areas, schema).where("inter_area > 0")
+    return parts.groupBy(a_id, b_id).agg(F.sum("inter_area").alias("inter_area"))
 
 
 def crosswalk_weights(

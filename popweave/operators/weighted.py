@@ -146,10 +146,16 @@ def weighted_median(
 def pivot_sum(
     df: DataFrame, index: list[str], column: str, value: str, values: list | None = None, row_total: str | None = None, prefix: str = ""
 ) -> DataFrame:
-    """One column per value, or per listed value only, missing combinations as 0; optionally a total over these columns."""
-    if values is None:  # as many as the result has columns
+    """One column per value, or per listed value only, missing combinations as 0; optionally a total over these columns.
+
+    Without a list, more values than ``spark.sql.pivotMaxValues`` are an error, and no more than that come to the driver.
+    """
+    if values is None:
+        most = int(df.sparkSession.conf.get("spark.sql.pivotMaxValues"))
         there = df.where(keys_present([*index, column])).select(F.col(column).alias("v")).distinct()
-        values = [r["v"] for r in there.orderBy("v").collect()]
+        values = [r["v"] for r in there.limit(most + 1).orderBy("v").collect()]
+        if len(values) > most:
+            raise ValueError(f"column {column} has more than {most} values (spark.sql.pivotMaxValues); list those to pivot")
     names = [f"{prefix}{v}" for v in values]
     wide = df.where(keys_present([*index, column])).groupBy(*index).pivot(column, values).agg(F.sum(measure(df, value)))
     wide = wide.toDF(*index, *names).fillna(0, subset=names)

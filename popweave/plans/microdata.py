@@ -145,9 +145,13 @@ def area_dashboard(
     state: str = "STATE",
     area: str = "PUMA",
     slots: list[str] = SLOTS,
+    as_string: bool = False,
 ) -> DataFrame:
-    """Profile of the sub-population per state and area; ``states`` limits it, ``names`` (PUMA_CODE, puma_name) labels it."""
-    rows = persons.where(any_slot(slots, code))
+    """Profile of the sub-population per state and area; ``states`` limits it, ``names`` (PUMA_CODE, puma_name) labels it.
+
+    Codes are compared by value, or with ``as_string`` by text. An area without a name keeps its row.
+    """
+    rows = persons.where(any_slot(slots, code, as_string))
     if states is not None:
         rows = keep_members(rows, state, states, states.columns[0])
     rows = rename_alternates(rows, {area: ["public use microdata area"]})

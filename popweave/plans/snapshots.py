@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from popweave.functions.numbers import count_int
 from popweave.functions.predicates import flagged, year_month_between
 from popweave.functions.text import snapshot_slug
+from popweave.operators.joins import likely_members
 from popweave.operators.ranking import Order, sort_rows
 from popweave.plans.education import COUNT_PATTERNS, COUNTRY_PATTERNS, SCHOOL_PATTERNS, STATE_PATTERNS
 from popweave.sources.pages import column_index, drop_repeated_headers, extract_html_tables, main_table
@@ -29,9 +30,11 @@ def select_links(
 def snapshot_tables(links: DataFrame, pages: DataFrame, tag: str = "flagged", page_suffix: str = "") -> DataFrame:
     """Each link's page with its main table: url, year, month, flag, slug, source, header, rows, csv_url.
 
-    A page that landed more than once counts once, with its greatest text, as nothing tells which landing is newer.
+    A page that landed more than once counts once, with its greatest text, as nothing tells which landing is newer. Pages
+    without a link go where they are read, before anything is shuffled.
     """
-    landed = links.join(pages.groupBy("url").agg(F.max("html").alias("html")), "url")
+    linked = likely_members(pages.select("url", "html"), "url", links)
+    landed = links.join(linked.groupBy("url").agg(F.max("html").alias("html")), "url")
     tables = main_table(extract_html_tables(landed), tokens=HEADER_TOKENS).drop("html")
     slug = snapshot_slug(F.col("year"), F.col("month"), F.col("flag"), F.col("url"), tag, page_suffix)
     return tables.withColumn("slug", slug)

@@ -52,7 +52,8 @@ def features(df: DataFrame, text: str, keep: list[str] | None = None) -> DataFra
 def scan_geojson(spark: SparkSession, path: str | list[str], layout: str = "collection_files") -> DataFrame:
     """(properties, geom) rows of FeatureCollections, one to a file or to a line, or of one feature to a line.
 
-    A FeatureCollection is one JSON value, so a file that holds one is parsed by one task; the line layouts split.
+    A FeatureCollection is one JSON value, so a file that holds one is parsed by one task, which holds all its features: meant for
+    files of up to some hundred megabytes, many of which are read side by side. The line layouts split.
     """
     if layout not in ("collection_files", "collection_lines", "feature_lines"):
         raise ValueError(f"unknown layout {layout}")

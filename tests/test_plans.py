@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as driver
 from popweave.catalog import QUERIES, areas, shapes
 from popweave.operators import apportion as A, overlay as V
+from popweave.plans import snapshots as N
 from popweave.session import shared_root
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -30,6 +31,21 @@ def test_pages_are_parsed_once(spark):
     assert len(re.findall("ArrowEvalPython", plan(spark, "snapshot_by_month"))) == 1
 
 
+def test_unlinked_pages_go_before_the_shuffle(spark):
+    pages = spark.range(5000).select(F.concat(F.lit("u"), "id").alias("url"), F.repeat(F.lit("x"), 100).alias("html"))
+    links = spark.createDataFrame([("u7", 2024, 3, False)], "url string, year int, month int, flag boolean")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        tables = N.snapshot_tables(links, pages)
+        tables.collect()
+        final = tables._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    exchanges = [final[m.end() :] for m in re.finditer("Exchange hashpartitioning", final)]
+    carrying = [below for below in exchanges if "partial_max" in below.split("Exchange")[0]]
+    assert carrying and all("getbit" in below.split("Exchange")[0] for below in carrying)
+
+
 def test_overlay_runs_its_kernel_once_and_cuts_edges_before_they_travel(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:

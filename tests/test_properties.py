@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from helpers import rows
 from popweave.functions import codes as C, geometry as G
 from popweave.operators import apportion as A, classify as K, overlay as V
-from popweave.operators.order_statistics import order_statistics, quantile_thresholds, running_weight
+from popweave.operators.joins import likely_members
+from popweave.operators.order_statistics import order_statistics, quantile_thresholds, running_weight, value_cuts, with_bucket
 
 FEW = settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 records = st.lists(
@@ -291,3 +292,63 @@ def test_projection_known_point(spark):
 
     exact = G.SEMI_MAJOR**2 * (1 - e2) / 2 * math.radians(1) * (q(41) - q(40))
     assert area == pytest.approx(exact, rel=1e-6)
+
+
+def star(n, x, y, r, spikes, wave=0.3):
+    t = np.linspace(0, 2 * math.pi, n, endpoint=False)
+    r = r * (1 + wave * np.sin(spikes * t))
+    return np.c_[x + r * np.cos(t), y + r * np.sin(t)]
+
+
+def test_strips_add_up_to_whole_shapes(spark, monkeypatch):
+    rng = np.random.default_rng(17)
+    sides = []
+    for name in ("a", "b"):
+        made = []
+        for i in range(12):
+            x, y = rng.uniform(-2, 2, 2)
+            n = int(rng.integers(40, 400)) if i % 3 else 5
+            poly = [star(n, x, y, 1.5, 7), star(max(n // 2, 3), x, y, 0.5, 3)]  # with a hole
+            made.append((i, [poly, [star(30, x + 5, y, 0.8, 5)]]))
+        sides.append(shapes(spark, name, made))
+    found = []
+    for strip in (1 << 20, 16):
+        monkeypatch.setattr(V, "STRIP", strip)
+        found.append({(r.a, r.b): r.inter_area for r in V.overlay(*sides, "a", "b").collect()})
+    assert len(found[0]) > 50 and found[1] == pytest.approx(found[0], rel=1e-9, abs=1e-12)
+    strips = V.in_strips(sides[0], "a").groupBy("a").agg(F.count("*").alias("n"), F.max(F.size("_edges")).alias("most"))
+    assert {r.n > 1 for r in strips.collect()} == {True} and max(r.most for r in strips.collect()) < 60
+
+
+def test_a_shape_of_very_many_edges(spark):
+    n = 200_000
+    t = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: i * (2 * math.pi / n))
+    ring = F.transform(t, lambda v: G.point((1 + 0.3 * F.sin(v * 9)) * F.cos(v), (1 + 0.3 * F.sin(v * 9)) * F.sin(v)))
+    a = spark.range(1).select(F.col("id").alias("a"), F.array(F.array(ring)).alias("geom"))
+    b = shapes(spark, "b", [(0, [[[(0, -9), (9, -9), (9, 9), (0, 9)]]]), (1, [[[(-9, -9), (0, -9), (0, 9), (-9, 9)]]])])
+    assert V.in_strips(a, "a").agg(F.max(F.size("_edges"))).first()[0] < 2 * V.STRIP
+    found = {r.b: r.inter_area for r in V.overlay(a, b, "a", "b").collect()}
+    whole = star(n, 0, 0, 1, 9)
+    half = [(0, -9), (9, -9), (9, 9), (0, 9)]
+    assert found[0] == pytest.approx(convex_clip(whole, half), rel=1e-9)
+    assert sum(found.values()) == pytest.approx(shoelace(whole), rel=1e-9)
+
+
+@pytest.mark.parametrize("rows_per_bucket, most, expected", [(1 << 17, 1 << 20, 1), (100, 1 << 20, 200), (10, 1 << 20, 2000), (10, 64, 64)])
+def test_buckets_follow_the_merged_rows(spark, rows_per_bucket, most, expected):
+    merged = spark.range(20_000).selectExpr("id % 3 AS g", "CAST(id AS DOUBLE) AS v", "1 AS w").groupBy("g", "v").agg(F.sum("w").alias("w"))
+    cuts = value_cuts(merged, ["g"], "v", "w", most, rows_per_bucket)
+    sizes = [r["count"] for r in with_bucket(merged, "v", cuts).groupBy("_bucket").count().collect()]
+    assert sum(sizes) == 20_000 and 0.8 * expected <= len(sizes) <= 1.2 * expected
+    assert max(sizes) <= 6 * max(20_000 / expected, 1)
+
+
+def test_likely_members(spark):
+    members = spark.createDataFrame([(f"u{i * 37}",) for i in range(300)] + [(None,)], "k string")
+    df = spark.range(20_000).select(F.concat(F.lit("u"), "id").alias("k")).union(members.where("k is null"))
+    kept = likely_members(df, "k", members)
+    assert kept.join(members, "k", "left_semi").count() == 300 and kept.count() < 320
+    assert kept.where("k is null").count() == 0
+    assert likely_members(df, "k", members.limit(0)).count() == 0
+    few = likely_members(df, "k", members, bits=1 << 10)
+    assert few.join(members, "k", "left_semi").count() == 300 and few.count() < 10_000

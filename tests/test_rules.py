@@ -180,6 +180,17 @@ def test_pivot_over_all_values(spark):
     assert rows(wide) == [("a", 5, 1, 0, 6), ("b", 0, 0, 7, 7)]
 
 
+def test_pivot_over_too_many_values_is_an_error(spark):
+    df = spark.range(20).selectExpr("1 AS k", "id AS y", "id AS v")
+    spark.conf.set("spark.sql.pivotMaxValues", "19")
+    try:
+        with pytest.raises(ValueError, match="more than 19 values"):
+            W.pivot_sum(df, ["k"], "y", "v")
+        assert len(W.pivot_sum(df.where("y < 19"), ["k"], "y", "v").columns) == 20
+    finally:
+        spark.conf.unset("spark.sql.pivotMaxValues")
+
+
 def test_top_n_keeps_ties_deterministic_and_drops_null_groups(spark):
     df = spark.createDataFrame([("a", 1, "x"), ("a", 1, "w"), (None, 9, "y"), ("b", None, "z")], "g string, n int, t string")
     assert rows(R.top_n_per_group(df, ["g"], [("n", "desc"), "t"], 1)) == [("a", 1, "w"), ("b", None, "z")]
