@@ -2,10 +2,9 @@
 
 Centroids are the means of parts of a sample that are kept at like sizes, so lists are balanced. Every vector goes to its
 nearest list and, near a border, to others whose centroid is nearly as close. A graph over the centroids, small enough for
-each worker's memory, is walked to find a vector's lists. A query is held against all centroids and reads the lists whose
-distance is within a ratio of the nearest one's: never less than one share of all lists, as distances draw together and the
-ratio alone would read ever less of a growing table, and never more than another. Vectors get one more component that makes
-inner-product order Euclidean order.
+each worker's memory, is walked to find a vector's lists as well as a query's. A query reads the lists whose distance is within
+a ratio of the nearest one's. The ratio is learnt: the one at which sampled vectors, asked against the sample, reach the lists of
+nearly all their nearest. Vectors get one more component that makes inner-product order Euclidean order.
 """
 
 from __future__ import annotations
@@ -23,7 +22,9 @@ SAMPLE = 65_536  # rows that the centroids are fitted on, at most
 CELLS = 1 << 24  # components of those rows together, at most
 LISTS = 16_384  # centroids, at most: what is broadcast does not grow past this
 BLOCK = 4_096  # vectors, or queries, of one list that meet in one task
-BEAM = 128  # centroids that a walk to a vector's lists keeps in view, at least
+BEAM = 128  # centroids that a walk keeps in view, at least
+STEP = 8  # of them, those whose links are followed at a time
+ASKED = 512  # sampled vectors that the ratio is learnt from
 
 
 class CentroidGraph:
@@ -56,44 +57,66 @@ class CentroidGraph:
             d[np.arange(len(d)), np.arange(i, i + len(d))] = np.inf
             yield from np.argsort(d, axis=1, kind="stable")[:, :k]
 
-    def scan(self, x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each row of ``x`` the ``width`` nearest of all centroids, nearest first, and distances."""
-        near, dist = [], []
-        for i in range(0, len(x), 128):
-            d = self._distances(x[i : i + 128])
-            near.append(np.argsort(d, axis=1, kind="stable")[:, :width].astype(np.int32))
-            dist.append(np.sqrt(np.take_along_axis(d, near[-1], axis=1)))
-        return np.concatenate(near), np.concatenate(dist)
+    def walk(self, x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each row of ``x`` up to ``width`` near centroids, nearest first, their distances, and how many were looked at.
 
-    def search(self, x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each row of ``x`` up to ``width`` near centroids, nearest first, and distances; -1 and infinity fill up."""
+        -1 and infinity fill up. The links of the nearest that are still open are followed until none of those in view is.
+        """
         n, m = len(self.points), len(x)
-        if n <= 2 * width:  # the walk would visit them all
-            return self.scan(x, width)
-        rows = np.arange(m)
-        starts = np.linspace(0, n - 1, min(n, 16)).astype(np.int32)
-        beam = np.full((m, width), -1, np.int32)
-        dist = np.full((m, width), np.inf, np.float32)
+        width, rows = min(width, n), np.arange(m)[:, None]
+        beam, dist = np.full((m, width), -1, np.int32), np.full((m, width), np.inf, np.float32)
         open_ = np.zeros((m, width), bool)
-        seen = np.zeros((m, n), bool)
-        fresh = np.tile(starts, (m, 1))
+        seen = np.zeros((m, n + 1), bool)
+        seen[:, n] = True  # stands for no centroid
+        fresh = np.tile(np.unique(np.linspace(0, n - 1, min(n, 16)).astype(np.int32)), (m, 1))
+        squares = (x**2).sum(axis=1)[:, None]
         while True:
-            known = seen[rows[:, None], fresh] | (fresh < 0)
-            seen[rows[:, None], np.maximum(fresh, 0)] |= fresh >= 0
-            d = ((x[:, None, :] - self.points[fresh]) ** 2).sum(axis=2)
+            fresh.sort(axis=1)
+            known = seen[rows, fresh]
+            known[:, 1:] |= fresh[:, 1:] == fresh[:, :-1]
+            seen[rows, fresh] = True
+            at = np.minimum(fresh, n - 1)
+            d = np.maximum(squares - 2 * np.einsum("md,mfd->mf", x, self.points[at]) + self.norms[at], 0)
             d[known] = np.inf
-            all_d = np.concatenate([dist, d], axis=1)
-            all_i = np.concatenate([beam, fresh], axis=1)
-            all_o = np.concatenate([open_, np.ones_like(known)], axis=1)
-            order = np.argsort(all_d, axis=1, kind="stable")[:, :width]
-            dist, beam, open_ = (np.take_along_axis(a, order, axis=1) for a in (all_d, all_i, all_o))
+            every = [np.concatenate(a, axis=1) for a in ((dist, d), (beam, fresh), (open_, ~known))]
+            keep = np.argpartition(every[0], width - 1, axis=1)[:, :width]
+            dist, beam, open_ = (np.take_along_axis(a, keep, axis=1) for a in every)
             open_ &= np.isfinite(dist)
             if not open_.any():
-                return np.where(np.isfinite(dist), beam, -1), np.sqrt(dist)
-            best = open_.argmax(axis=1)
-            has = open_[rows, best]
-            open_[rows, best] = False
-            fresh = np.where(has[:, None], self.links[beam[rows, best]], -1)
+                break
+            nearest = np.where(open_, dist, np.inf)
+            best = np.argpartition(nearest, STEP - 1, axis=1)[:, :STEP] if width > STEP else np.tile(np.arange(width), (m, 1))
+            has = np.take_along_axis(open_, best, axis=1)
+            np.put_along_axis(open_, best, False, axis=1)
+            links = self.links[np.take_along_axis(beam, best, axis=1) % n]
+            fresh = np.where(has[:, :, None] & (links >= 0), links, n).reshape(m, -1)
+        order = np.argsort(dist, axis=1, kind="stable")
+        dist, beam = (np.take_along_axis(a, order, axis=1) for a in (dist, beam))
+        return np.where(np.isfinite(dist), beam, -1), np.sqrt(dist), seen[:, :n].sum(axis=1)
+
+    def search(self, x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """As ``walk``, without the counts."""
+        near, dist, _ = self.walk(x, width)
+        return near, dist
+
+    def within(self, x: np.ndarray, ratio: float) -> list[np.ndarray]:
+        """For each row of ``x`` the centroids up to ``ratio`` times as far as the nearest one, nearest first.
+
+        A walk whose view they fill is done again with a wider one.
+        """
+        found: list[np.ndarray] = [np.zeros(0, np.int32)] * len(x)
+        left, width = np.arange(len(x)), BEAM
+        while len(left):
+            again = []
+            for rows in np.split(left, range(256, len(left), 256)):
+                near, dist = self.search(x[rows], width)
+                inside = (near >= 0) & (dist <= dist[:, :1] * ratio)
+                more = inside.all(axis=1) & (width < len(self.points))
+                for i in np.flatnonzero(~more):
+                    found[rows[i]] = near[i, inside[i]]
+                again.append(rows[more])
+            left, width = np.concatenate(again), 2 * width
+        return found
 
 
 def _halves(x: np.ndarray, rnd: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
@@ -143,6 +166,38 @@ def balanced_centroids(sample: np.ndarray, lists: int, rounds: int = 5) -> np.nd
     return np.unique(np.stack([sample[p].mean(axis=0) for p in parts]), axis=0)
 
 
+def near_lists(graph: CentroidGraph, stored: np.ndarray, replicas: int, border: float) -> list[np.ndarray]:
+    """The lists that each stored vector goes to: the nearest, and up to ``replicas`` in all that are nearly as close."""
+    near, dist = (a[:, :replicas] for a in graph.search(stored, max(BEAM, replicas)))
+    keep = (near >= 0) & (dist <= dist[:, :1] * (1 + border))
+    return [n[k] for n, k in zip(near, keep)]
+
+
+def learnt_reach(
+    graph: CentroidGraph, sample: np.ndarray, stored: np.ndarray, asking: np.ndarray, k: int, replicas: int, border: float, recall: float
+) -> float:
+    """By how much farther than the nearest list those lists are that hold ``recall`` of the ``k`` nearest of the first sampled vectors.
+
+    ``stored`` and ``asking`` are the sample's vectors as they are listed and as they ask. The sample's nearest are farther than the
+    table's, so the table's are found as surely at least.
+    """
+    k = min(k, len(sample) - 1)
+    if k < 1:
+        return 0.0
+    asked = np.arange(min(ASKED, len(sample)))
+    scores = sample[asked] @ sample.T
+    scores[asked, asked] = -np.inf
+    nearest = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+    used, place = np.unique(nearest, return_inverse=True)
+    place = place.reshape(nearest.shape)
+    lists = [part for i in range(0, len(used), 256) for part in near_lists(graph, stored[used[i : i + 256]], replicas, border)]
+    ratios = []
+    for i in asked:
+        far = np.sqrt(graph._distances(asking[[i]])[0])
+        ratios += [far[lists[j]].min() / max(far.min(), 1e-9) for j in place[i]]
+    return max(float(np.quantile(ratios, recall, method="higher")) - 1, 0.0)
+
+
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
@@ -166,9 +221,8 @@ def nearest(
     list_size: int = 256,
     replicas: int = 6,
     border: float = 0.1,
-    share: float = 0.25,
-    reach: float = 0.1,
-    least_share: float = 0.12,
+    recall: float = 0.95,
+    reach: float | None = None,
 ) -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``id_col`` and ``score`` of the ``k`` nearest found for every vector with ``is_query``.
 
@@ -176,10 +230,10 @@ def nearest(
     vectors, zero vectors, those with a NULL, NaN or infinite component, of another length than most, or under a NULL id take
     no part. Equal vectors are searched once and keep their ``k + 1`` least ids, the only ones that can be among the nearest.
     A repeated id counts once for each different vector it has. Fewer than ``k`` found send a query through all lists, so
-    fewer come back only if there are fewer. Every vector is indexed; only the centroids come from a sample (SAMPLE rows at
-    most). A query reads ``least_share`` of the lists, or 32, at least and ``share`` of them, or 32, at most, and between the
-    two those whose distance is up to ``1 + reach`` times the nearest one's. Lists longer than BLOCK are cut into blocks, as
-    are their queries, so no task holds more than one block of each.
+    fewer come back only if there are fewer. Every vector is indexed; only the centroids and the ratio come from a sample (SAMPLE
+    rows at most). A query reads the lists whose distance is up to ``1 + reach`` times the nearest one's; without a ``reach``, it is
+    learnt so that ``recall`` of the sample's nearest are in them. Lists longer than BLOCK are cut into blocks, as are their
+    queries, so no task holds more than one block of each.
     Empty tables give no rows.
     """
     spark = vectors.sparkSession
@@ -207,25 +261,20 @@ def nearest(
         extra = np.sqrt(np.maximum(norm - (x**2).sum(axis=1), 0)) if stored else np.zeros(len(x))
         return np.concatenate([x, extra[:, None]], axis=1).astype(np.float32)
 
-    points = lifted(_matrix(sample, dim), True)
-    centroids = balanced_centroids(points, min(LISTS, max(1, -(-count // list_size)), max(1, len(points) // 4)))
-    sure = max(32, int(least_share * len(centroids)))
-    probes = max(sure, int(share * len(centroids)))
-    sent = spark.sparkContext.broadcast(CentroidGraph(centroids))
+    sampled = _matrix(sample, dim)
+    points = lifted(sampled, True)
+    graph = CentroidGraph(balanced_centroids(points, min(LISTS, max(1, -(-count // list_size)), max(1, len(points) // 4))))
+    if reach is None:
+        reach = learnt_reach(graph, sampled, points, lifted(sampled[:ASKED], False), k, replicas, border, recall)
+    sent = spark.sparkContext.broadcast(graph)
 
     def listed(stored: bool):
         def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             graph = sent.value
-            for part in (whole.slice(i, 1024) for whole in parts for i in range(0, whole.num_rows, 1024)):
+            for part in (whole.slice(i, 256) for whole in parts for i in range(0, whole.num_rows, 256)):
                 x = lifted(_matrix(part.column("x"), dim), stored)
-                if stored:
-                    near, dist = (a[:, :replicas] for a in graph.search(x, max(BEAM, replicas)))
-                    keep = (near >= 0) & (dist <= dist[:, :1] * (1 + border))
-                else:
-                    near, dist = graph.scan(x, probes)
-                    keep = dist <= dist[:, :1] * (1 + reach)
-                    keep[:, :sure] = True
-                lists = [near[i][keep[i]].tolist() for i in range(len(near))]
+                lists = near_lists(graph, x, replicas, border) if stored else graph.within(x, 1 + reach)
+                lists = [near.tolist() for near in lists]
                 yield pa.RecordBatch.from_arrays([part.column("n"), pa.array(lists, pa.list_(pa.int32()))], names=["n", "lists"])
 
         return batches

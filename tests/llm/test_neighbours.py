@@ -24,7 +24,7 @@ def test_small_tables_are_exact(spark, list_size, monkeypatch):
     rows += [(100, None), (105, []), (110, [0.0, 0.0, 0.0]), (115, [1.0, None, 2.0]), (120, [math.nan, 1.0, 1.0]), (125, [math.inf, 1.0, 1.0])]
     rows += [(130, [1.0, 2.0]), (None, [1.0, 1.0, 1.0])] + [(200 + i, [1.0, 2.0, 2.0]) for i in range(40)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 AS n", "2 AS x", "3 AS list", "4 AS q")
-    got = neighbours.nearest(df, lambda i: i % 5 == 0, k=7, list_size=list_size, share=1.0, reach=10.0)
+    got = neighbours.nearest(df, lambda i: i % 5 == 0, k=7, list_size=list_size, reach=1e6)
     found = {(r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in got.collect()}
     assert found == brute(rows, lambda i: i % 5 == 0, 7)
 
@@ -47,6 +47,38 @@ def test_graph_finds_the_nearest_centroids():
     exact = np.argsort(((x[:, None] - centroids) ** 2).sum(axis=2), axis=1)[:, :10]
     assert np.mean([len({*a} & {*b}) / 10 for a, b in zip(near[:, :40].tolist(), exact.tolist())]) > 0.95
     assert all(len({*row}) == 40 for row in near.tolist()) and (np.diff(dist, axis=1) >= 0).all()
+    looked_at = graph.walk(x, 40)[2]
+    assert looked_at.min() >= 40 and looked_at.mean() < 450  # of 600: the walk leaves far ones out
+
+
+def test_all_lists_within_the_ratio_are_walked_to(monkeypatch):
+    monkeypatch.setattr(neighbours, "BEAM", 8)
+    rnd = np.random.default_rng(6)
+    centroids = rnd.standard_normal((500, 4)).astype(np.float32)
+    graph = neighbours.CentroidGraph(centroids)
+    x = rnd.standard_normal((300, 4)).astype(np.float32)
+    d = np.sqrt(((x[:, None] - centroids) ** 2).sum(axis=2))
+    for ratio in (1.0, 1.5, 3.0):
+        exact = [np.flatnonzero(row <= row.min() * ratio) for row in d]
+        found = graph.within(x, ratio)
+        assert sum(map(len, found)) <= sum(map(len, exact)) * 1.01
+        assert np.mean([len({*f.tolist()} & {*e.tolist()}) / len(e) for f, e in zip(found, exact)]) > 0.97
+    assert [len(f) for f in graph.within(x[:3], 1e9)] == [500] * 3
+
+
+def test_ratio_is_learnt_from_the_data():
+    rnd = np.random.default_rng(9)
+    spots = rnd.standard_normal((40, 16)) * 5
+    kinds = {"even": rnd.standard_normal((4000, 16)), "clustered": spots[rnd.integers(0, 40, 4000)] + rnd.standard_normal((4000, 16)) * 0.1}
+    reach = {}
+    for name, x in kinds.items():
+        norm = (x**2).sum(axis=1)
+        stored = np.c_[x, np.sqrt(norm.max() - norm)].astype(np.float32)
+        asking = np.c_[x[:512], np.zeros(512)].astype(np.float32)
+        graph = neighbours.CentroidGraph(neighbours.balanced_centroids(stored, 60))
+        reach[name] = [neighbours.learnt_reach(graph, x, stored, asking, 20, 6, 0.1, r) for r in (0.5, 0.95)]
+        assert 0 <= reach[name][0] <= reach[name][1]
+    assert reach["clustered"][1] < reach["even"][1]
 
 
 def test_lists_are_balanced():
