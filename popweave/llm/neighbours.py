@@ -185,9 +185,11 @@ def learnt_reach(
     if k < 1:
         return 0.0
     asked = np.arange(min(ASKED, len(sample)))
-    scores = sample[asked] @ sample.T
-    scores[asked, asked] = -np.inf
-    nearest = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+    nearest = np.empty((len(asked), k), np.int64)
+    for rows in np.split(asked, range(32, len(asked), 32)):  # few at a time: a row of scores is as long as the sample
+        scores = sample[rows] @ sample.T
+        scores[np.arange(len(rows)), rows] = -np.inf
+        nearest[rows] = np.argpartition(scores, -k, axis=1)[:, -k:]
     used, place = np.unique(nearest, return_inverse=True)
     place = place.reshape(nearest.shape)
     lists = [part for i in range(0, len(used), 256) for part in near_lists(graph, stored[used[i : i + 256]], replicas, border)]
