@@ -286,12 +286,11 @@ def nearest(
     wanted = asked.groupBy("n").agg(F.first("x").alias("x"))
     reads = cut_lineage(wanted.mapInArrow(listed(False), "n bigint, lists array<int>").select("n", F.explode("lists").alias("list")))
     found = _scan(distinct, postings, reads, k + 1, dim)
-    results = _ranked(asked, found, distinct, k, id_col)
+    results = cut_lineage(_ranked(asked, found, distinct, k, id_col))
     total = F.lit(rows.count() - 1)
     # whoever found too few reads everything
     short = results.groupBy("query_id").count().where(F.col("count") >= F.least(F.lit(k), total))
     again = asked.join(short, asked.id == short.query_id, "left_anti")
-    results = cut_lineage(results)
     if again.isEmpty():
         return results
     every = again.select("n").distinct().withColumn("list", F.lit(0))
