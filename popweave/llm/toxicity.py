@@ -21,19 +21,18 @@ WORD_DIM, GRAM_DIM, HIDDEN, ATTENTION = 8, 8, 8, 8
 WINDOW, STRIDE = 48, 36
 SAMPLE_TEXTS = {1: 1_000, 0: 3_000}  # labelled texts of each class that training reads, at most
 SAMPLE_WINDOWS = 30_000  # windows of them, at most: further texts of the sample are left out, whole
-LONG, PIECE = 62, 16  # characters of a run that is cut, more than LONG; and of its pieces, each of which overlaps half of the next
+PIECE = 24  # characters of a word at most; a longer run is read as pieces, each of which overlaps half of the next
 MEMO = 150_000  # words whose input a worker remembers
 EMPTY = 0.0  # score of a text without words
 
 
 def words_of(text: str) -> list[str]:
-    """Runs without white space; a long one, as of a script without spaces, is cut into overlapping pieces, to its end."""
+    """Runs without white space, in overlapping pieces to their end, as of a script without spaces; most runs are one piece."""
     words = text.lower().split()
-    if all(len(w) <= LONG for w in words):
+    if all(len(w) <= PIECE for w in words):
         return words
     half = PIECE // 2
-    cut = lambda w: [w] if len(w) <= LONG else [w[i : i + PIECE] for i in range(0, len(w) - half, half)]
-    return [piece for w in words for piece in cut(w)]
+    return [w[i : i + PIECE] for w in words for i in range(0, max(1, len(w) - half), half)]
 
 
 def slots_of(word: str) -> tuple[int, list[int]]:

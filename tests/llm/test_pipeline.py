@@ -89,3 +89,18 @@ def test_empty_tables(spark, folder, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{sf_dir}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_row_numbers_do_not_follow_the_splits(spark, folder):
+    docs = spark.read.parquet(f"{folder[0]}/documents.parquet")
+    rows = pipeline._numbered(spark, docs)
+    read = lambda: sorted(((r.doc_id, r.text, r[pipeline.ROW]) for r in rows.collect()), key=str)
+    before = read()
+    name = "spark.sql.files.maxPartitionBytes"
+    old = spark.conf.get(name)
+    spark.conf.set(name, "4096")
+    try:
+        assert read() == before
+    finally:
+        spark.conf.set(name, old)
+    assert len({row for _, _, row in before}) == len(before)

@@ -65,12 +65,19 @@ def test_late_word_in_a_long_text_counts(network):
 
 
 def test_every_part_of_a_run_without_spaces_counts():
-    for n in (63, 64, 65, 71, 72, 73, 1000):
+    for n in (25, 35, 36, 37, 48, 49, 62, 63, 64, 1000):
         run = "".join(chr(0x4E00 + i) for i in range(n))
         pieces = toxicity.words_of(f"a {run} b")[1:-1]
         assert {run[i : i + 3] for i in range(n - 2)} <= {p[i : i + 3] for p in pieces for i in range(len(p) - 2)}
         assert max(map(len, pieces)) <= toxicity.PIECE
-    assert toxicity.words_of("x" * 62) == ["x" * 62]
+    assert toxicity.words_of("x" * 24) == ["x" * 24]
+
+
+def test_one_character_more_changes_the_last_piece_alone():
+    run = "".join(chr(0x4E00 + i) for i in range(200))
+    for n in range(1, 199):
+        shorter, longer = toxicity.words_of(run[:n]), toxicity.words_of(run[: n + 1])
+        assert longer[: len(shorter) - 1] == shorter[:-1] and len(longer) - len(shorter) in (0, 1)
 
 
 def test_toxic_passage_late_in_a_run_without_spaces():
