@@ -18,7 +18,7 @@ def wide(tmp_path_factory):
     return str(path)
 
 
-@pytest.mark.parametrize("name", ["build_crosswalk", "map_table"])
+@pytest.mark.parametrize("name", ["build_crosswalk", "map_table", "shapes_with_estimates"])
 def test_ids_wider_than_the_key(spark, wide, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{wide}/embeddings.parquet'")
