@@ -7,6 +7,7 @@ from pyspark.sql import Window, functions as F
 from popweave.catalog.registry import query, table
 from popweave.functions import text as T
 from popweave.plans import snapshots as N
+from popweave.session import even_parts
 from popweave.sources import pages as P
 
 
@@ -110,7 +111,7 @@ def dated_links_catalogue(spark, d):
 # --- pages made from orders: each order is a monthly page whose table has a small decoy table before it -----------
 
 
-def _html(spark, d):
+def _html(spark, d, spread: bool = True):
     """One page per order; some lack a state column, some have their header further down, some only a CSV link."""
     n = F.format_number(F.floor("o_totalprice"), 0)
     key = F.col("o_orderkey")
@@ -133,7 +134,9 @@ def _html(spark, d):
     html = F.concat(F.lit("<html><body><h1>"), F.col("caption"), F.lit("</h1>"), decoy, body, F.lit("</body></html>"))
     dated = F.when(key % 11 != 0, F.col("o_orderdate"))
     # orders may sit in one small file; its narrow rows are spread before they grow into pages that take long to parse
-    captions = _captions(spark, d).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "o_orderkey")
+    captions = _captions(spark, d)
+    if spread:
+        captions = captions.repartition(even_parts(table(spark, d, "orders")), "o_orderkey")
     return captions.select(
         F.concat(F.lit("https://data.example.org/tool/p"), key.cast("string")).alias("url"), key.alias("o_orderkey"),
         html.alias("html"), F.year(dated).alias("year"), F.month(dated).alias("month"), (F.col("o_orderstatus") == "F").alias("flag"),
@@ -195,7 +198,7 @@ SNAPSHOT_SQL = """o AS (SELECT *, CAST(floor(o_totalprice) AS BIGINT) AS n, o_or
 
 def _snapshot_tables(spark, d):
     pages = _html(spark, d)
-    links = N.select_links(pages.select("url", "year", "month", "flag"), start="1996-01")
+    links = N.wanted_links(_html(spark, d, spread=False).select("url", "year", "month", "flag"), start="1996-01")
     return N.snapshot_tables(links, pages)
 
 

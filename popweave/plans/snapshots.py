@@ -9,6 +9,7 @@ from popweave.functions.predicates import flagged, year_month_between
 from popweave.functions.text import snapshot_slug
 from popweave.operators.joins import likely_members
 from popweave.operators.ranking import Order, sort_rows
+from popweave.session import even_parts
 from popweave.plans.education import COUNT_PATTERNS, COUNTRY_PATTERNS, SCHOOL_PATTERNS, STATE_PATTERNS
 from popweave.sources.pages import column_index, drop_repeated_headers, extract_html_tables, main_table
 
@@ -16,13 +17,19 @@ from popweave.sources.pages import column_index, drop_repeated_headers, extract_
 HEADER_TOKENS = r"(StateAbbrv|CoC|Country|Student\s*Education\s*Level|Count\s+of\s+Active|Active\s+Students)"
 
 
-def select_links(
+def wanted_links(
     links: DataFrame, flag: bool | None = None, start: str | None = None, end: str | None = None
 ) -> DataFrame:
-    """Links of the wanted kind and months, undated ones included, oldest first."""
+    """Links of the wanted kind and months, undated ones included."""
     rows = links.where(year_month_between("year", "month", start, end))
-    if flag is not None:
-        rows = rows.where(flagged("flag", flag))
+    return rows if flag is None else rows.where(flagged("flag", flag))
+
+
+def select_links(
+    links: DataFrame, flag: bool | None = None, start: str | None = None, end: str | None = None
+) -> DataFrame:
+    """``wanted_links``, oldest first."""
+    rows = wanted_links(links, flag, start, end)
     order = [F.coalesce("year", F.lit(0)), F.coalesce("month", F.lit(0)), F.col("flag"), F.col("url")]
     return rows.orderBy(*order)
 
@@ -31,9 +38,10 @@ def snapshot_tables(links: DataFrame, pages: DataFrame, tag: str = "flagged", pa
     """Each link's page with its main table: url, year, month, flag, slug, source, header, rows, csv_url.
 
     A page that landed more than once counts once, with its greatest text, as nothing tells which landing is newer. Pages
-    without a link go where they are read, before anything is shuffled.
+    without a link go where they are read, before anything is shuffled. Those left are dealt once, by url, into as many parts
+    as there are links to parse, which the join keeps.
     """
-    linked = likely_members(pages.select("url", "html"), "url", links)
+    linked = likely_members(pages.select("url", "html"), "url", links).repartition(even_parts(links), "url")
     landed = links.join(linked.groupBy("url").agg(F.max("html").alias("html")), "url")
     tables = main_table(extract_html_tables(landed), tokens=HEADER_TOKENS).drop("html")
     slug = snapshot_slug(F.col("year"), F.col("month"), F.col("flag"), F.col("url"), tag, page_suffix)

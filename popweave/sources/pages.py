@@ -10,17 +10,18 @@ import re
 from collections.abc import Iterator
 from html import unescape as unescape_html
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from popweave.functions.geometry import bind
 from popweave.functions.numbers import ColumnOrName, as_col
 from popweave.functions.predicates import link_matches
 from popweave.functions.text import caption_flag, caption_month, resolve_url, site_url, strip_tags, unescape
 from popweave.session import ship_package
 
 TABLES_TYPE = "array<array<array<string>>>"
+TABLES_ARROW = pa.list_(pa.list_(pa.list_(pa.string())))
 
-_SPACES = re.compile(r"\s+")
 _HIDDEN = re.compile(r"""style\s*=\s*["']?[^"'>]*display\s*:\s*none""", re.I)
 _SPAN = re.compile(r"""(col|row)span\s*=\s*["']?\s*(\d+)""", re.I)
 # comments and code are skipped whole; a tag ends at the first > outside quotes
@@ -48,7 +49,7 @@ class _Table:
         if self.cell is None:
             return
         if not self.cell_hidden:
-            text = _SPACES.sub(" ", unescape_html("".join(self.cell))).strip()
+            text = " ".join(unescape_html("".join(self.cell)).split())
             self.row.append((text or None, self.spans.get("col", 1), self.spans.get("row", 1)))
         self.cell = None
 
@@ -165,10 +166,10 @@ def extract_html_tables(pages: DataFrame, html: str = "html", out: str = "tables
     """Add the page's tables, each a list of rows of cell texts. Pages without a table tag never reach Python's parser."""
     ship_package(pages.sparkSession)
 
-    @F.pandas_udf(TABLES_TYPE)
-    def tables_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(TABLES_TYPE)
+    def tables_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield batch.map(_read_tables)
+            yield pa.array([_read_tables(html) for html in batch.to_pylist()], TABLES_ARROW)
 
     # declared nondeterministic only so that filters on what follows cannot parse every page a second time
     tables_of = tables_of.asNondeterministic()
@@ -184,8 +185,9 @@ def table_width(table: Column) -> Column:
 def widest_table(tables: ColumnOrName, min_rows: int) -> Column:
     """Table with the most columns among those with enough rows; the first of equals; NULL when there is none."""
     usable = F.filter(as_col(tables), lambda t: F.size(t) >= min_rows)
-    top = F.array_max(F.transform(usable, table_width))
-    return F.get(F.filter(usable, lambda t: table_width(t) == top), F.lit(0))
+    # one look at each: the place tells equals apart, so tables themselves are never compared
+    ranked = F.transform(usable, lambda t, i: F.struct(table_width(t).alias("width"), (-i).alias("place"), t.alias("table")))
+    return F.array_max(ranked)["table"]
 
 
 def header_row(rows: Column, tokens: str, scan: int = 50) -> Column:
@@ -209,7 +211,8 @@ def main_table(df: DataFrame, tables: str = "tables", html: str = "html", url: s
     picked = df.withColumns(
         {"_headed": widest_table(tables, 2), "_bare": widest_table(tables, 1), "csv_url": first_csv_link(html, url)}
     )
-    found = header_row(F.col("_bare"), tokens) if tokens else F.lit(0)
+    # a header is looked for only where the first row can't be it
+    found = F.when(F.col("_headed").isNull(), header_row(F.col("_bare"), tokens)) if tokens else F.lit(0)
     numbered = F.transform(
         F.sequence(F.lit(0), F.greatest(table_width(F.col("_bare")) - 1, F.lit(0))), lambda i: i.cast("string")
     )
@@ -320,5 +323,10 @@ CSV_LINK = r"""(?i)\bhref\s*+=\s*+(?:"([^"]*?\.csv[^"]*+)"|'([^']*?\.csv[^']*+)'
 def first_csv_link(html: ColumnOrName, url: ColumnOrName) -> Column:
     """First CSV link of a page, resolved against the page; NULL when there is none."""
     html = as_col(html)
-    target = F.coalesce(*[F.nullif(F.regexp_extract(html, CSV_LINK, i), F.lit("")) for i in (1, 2, 3, 4)])
-    return F.when(target.isNotNull(), resolve_url(unescape(target), url))
+    # plain searches first: most pages have no such link, and the pattern is slow to find that out
+    low = F.lower(html)
+    near = F.contains(low, F.lit(".csv")) | F.contains(low, F.lit("data-csv-url"))
+    found = F.regexp_extract(html, CSV_LINK, 0)
+    target = F.when(near, F.nullif(F.regexp_extract(found, r"""(?s)["'](.*)["']$""", 1), F.lit("")))
+    # the target is worked out once, though resolving mentions it often
+    return bind(unescape(target), lambda t: F.when(t.isNotNull(), resolve_url(t, url)))
