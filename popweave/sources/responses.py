@@ -46,8 +46,11 @@ def scan_header_json(
     docs = reader.text(path)
     if columns is None:
         header = F.get(F.from_json("value", ROWS_TYPE), F.lit(0))
-        page = F.struct(F.col("_metadata.file_path"), F.monotonically_increasing_id())
-        names = docs.select(page.alias("page"), F.posexplode(header).alias("place", "name")).where("name is not null")
+        lines = docs.select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("line"), header.alias("header"))
+        # Each file's different headers first, with a number as all they carry, so that a task holds those and no rows.
+        headers = lines.where("header is not null").groupBy("path", "header").agg(F.min("line").alias("line"))
+        page = F.struct("path", "line")
+        names = headers.select(page.alias("page"), F.posexplode("header").alias("place", "name")).where("name is not null")
         first = names.groupBy("name").agg(F.min(F.struct("page", "place")).alias("first"))
         columns = [r["name"] for r in first.orderBy("first").collect()]  # as many as the table has columns
         if not columns:
