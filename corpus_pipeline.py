@@ -43,7 +43,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class stays: the one with the least doc_id, then the first row.
 
-    Documents are linked if the sets of their 5-word shingles have a Jaccard similarity of 0.8 or more.
+    Documents are linked if the sets of their 5-word shingles have a Jaccard similarity of 0.8 or more. Candidates are SimHash
+    fingerprints over those shingles within 3 bits, and pairs of min-hash bands, as at 0.8 fingerprints differ in more bits.
     """
     order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col(ROW).alias("c"))
     rows = _numbered(spark, docs)

@@ -22,7 +22,7 @@ from popweave.llm.texts import map_texts
 BITS = 18  # 2**BITS weights
 SAMPLE_ROWS = 6_000  # rated rows that the fit reads, at most
 SAMPLE_CELLS = 2_500_000  # features of those rows together, at most: further rows are left out, whole
-MEMO = 300_000  # words whose features a worker remembers
+MEMO = 50_000  # words whose features a worker remembers
 
 _RUNS = [(re.compile("[A-ZÀ-ÖØ-Þ]+"), "X"), (re.compile(r"[^\W\dX_]+"), "x"), (re.compile("[0-9]+"), "9")]
 

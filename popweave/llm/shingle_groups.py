@@ -1,9 +1,11 @@
 """Near-duplicate classes by the exact Jaccard similarity of texts' sets of word shingles.
 
-Min-hash bands find candidates: two texts meet if all ROWS minima of one of BANDS bands agree, which a pair at a similarity
-of 0.8 misses once in 190,000. Those that meet are loosely linked if their signatures agree almost often enough; the classes
-of the loose links hold every pair that can matter, so the sets of their texts alone travel, and every pair in them that
-decides anything is compared exactly.
+Two searches find candidates. SimHash fingerprints of the sets link within RADIUS bits, by the covering masks of ``simhash``.
+At a similarity of 0.8 fingerprints differ in some ten bits, which no bounded number of masks covers, so min-hash bands add the
+pairs that are farther apart: two texts meet if all ROWS minima of one of BANDS bands agree, which a pair at 0.8 misses once in
+190,000, and are loosely linked if their signatures agree almost often enough. The classes of the loose links of both searches
+hold every pair that can matter, so the sets of their texts alone travel, and every pair in them that decides anything is
+compared exactly.
 """
 
 from __future__ import annotations
@@ -16,10 +18,11 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from popweave.llm.components import connected_components
-from popweave.llm.simhash import _mixed, _shingle_hashes
+from popweave.llm.simhash import _majority, _mixed, _shingle_hashes, bucket_edges
 from popweave.llm.texts import map_texts
 from popweave.session import cut_lineage
 
+RADIUS = 3
 BANDS, ROWS = 40, 6
 LOOSE = 161  # of BANDS * ROWS minima that agree: five standard deviations below their mean at 0.8
 STEP = 1 << 12  # shingles whose minima are taken at a time
@@ -115,6 +118,19 @@ def _links(rows: DataFrame, group: list[str], limit: int, values: DataFrame, nea
     return held.mapInPandas(work, "u bigint, v bigint").distinct()
 
 
+def fingerprint_links(nodes: DataFrame, radius: int) -> DataFrame:
+    """``u``, ``v`` that join the nodes whose fingerprints reach each other in steps of at most ``radius`` bits.
+
+    ``nodes`` holds ``node`` and ``fingerprint``. Nodes of one fingerprint are linked to the least of them, which stands for all.
+    """
+    heads = nodes.groupBy("fingerprint").agg(F.min("node").alias("head"))
+    same = nodes.join(heads, "fingerprint").where(F.col("node") != F.col("head")).select(F.col("node").alias("u"), F.col("head").alias("v"))
+    near = bucket_edges(heads.select(F.col("fingerprint").alias("node"), "fingerprint"), radius)
+    for end in ("u", "v"):
+        near = near.join(heads.select(F.col("fingerprint").alias(end), F.col("head").alias(f"{end}_head")), end)
+    return same.unionByName(near.select(F.col("u_head").alias("u"), F.col("v_head").alias("v")))
+
+
 def shingle_groups(docs: DataFrame, id_col: str, text_col: str = "text", shingle: int = 5) -> DataFrame:
     """``id_col`` and ``component_id`` (least id that is reachable over links) of every row.
 
@@ -126,20 +142,22 @@ def shingle_groups(docs: DataFrame, id_col: str, text_col: str = "text", shingle
     def signed(texts: Iterator[str]) -> Iterator[tuple]:
         for text in texts:
             hashes = shingle_set(text, shingle)
-            minima = _minima(hashes)
-            bands = [_signed(xxhash.xxh64_intdigest(part.tobytes(), b)) for b, part in enumerate(minima.reshape(BANDS, ROWS))]
-            yield _signed(xxhash.xxh64_intdigest(hashes.tobytes())), bands, _mixed(minima, 1).astype(np.uint8).tobytes()
+            value = _mixed(_minima(hashes), 1).astype(np.uint8).tobytes()
+            yield _signed(xxhash.xxh64_intdigest(hashes.tobytes())), _signed(_majority(hashes)), value
 
     def sets(texts: Iterator[str]) -> Iterator[tuple]:
         return ((shingle_set(text, shingle).tobytes(),) for text in texts)
 
-    fields = "node bigint, bands array<bigint>, value binary"
+    fields = "node bigint, fingerprint bigint, value binary"
     prints = cut_lineage(map_texts(docs, {"id": id_col}, text_col, fields, signed))
-    nodes = prints.groupBy("node").agg(F.min("id").alias("least"), F.first("bands").alias("bands"), F.first("value").alias("value"))
-    nodes = cut_lineage(nodes)
-    buckets = nodes.select("node", F.posexplode("bands").alias("t", "key"))
+    firsts = [F.first(c).alias(c) for c in ("fingerprint", "value")]
+    nodes = cut_lineage(prints.groupBy("node").agg(F.min("id").alias("least"), *firsts))
+    # a band is cut from the signature, whose bytes agree wherever minima do
+    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda t: F.xxhash64(F.substring("value", t * ROWS + 1, F.lit(ROWS)), t))
+    buckets = nodes.select("node", F.explode(bands).alias("key"))
     alike = lambda value: _alike(np.frombuffer(b"".join(value), np.uint8).reshape(len(value), -1))
-    loose = cut_lineage(connected_components(_links(buckets, ["t", "key"], MEMBERS, nodes.select("node", "value"), alike)))
+    banded = _links(buckets, ["key"], MEMBERS, nodes.select("node", "value"), alike)
+    loose = cut_lineage(connected_components(fingerprint_links(nodes.select("node", "fingerprint"), RADIUS).unionByName(banded)))
     heads = loose.join(nodes.select("node", "least"), "node").select("node", "least")
     texts = docs.select(F.col(id_col).alias("least"), F.col(text_col).alias("text")).join(heads, "least")
     similar = lambda value: _similar([np.frombuffer(v, np.uint64) for v in value])

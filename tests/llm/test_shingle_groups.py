@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline as pipeline
-from popweave.llm import shingle_groups
+from popweave.llm import shingle_groups, simhash
 
 
 def shingles(text):
@@ -58,3 +58,51 @@ def test_near_dedup_is_exact(spark, small, monkeypatch):
 def test_similarity_is_exact_at_the_limit():
     sets = [np.arange(a, b, dtype=np.uint64) for a, b in ((0, 90), (10, 100), (11, 101))]
     assert shingle_groups._similar(sets)(0, np.array([1, 2])).tolist() == [True, False]
+
+
+def edited():
+    """Long texts, each with a copy in which one word is new, and one with a copy whose last third is."""
+    rnd = random.Random(4)
+    rows = []
+    for _ in range(40):
+        base = [f"w{rnd.randrange(5000)}" for _ in range(900)]
+        rows += [" ".join(base), " ".join([*base[:-1], "new"])]
+    return list(enumerate([*rows, " ".join([*base[:600], *[f"z{i}" for i in range(300)]])]))
+
+
+def test_near_dedup_searches_fingerprints(spark, monkeypatch):
+    """Without the bands, copies within RADIUS bits are still found, and checked exactly."""
+    rows = edited()
+    links = shingle_groups._links
+
+    def without_bands(held, group, *rest):
+        found = links(held, group, *rest)
+        return found if group == ["component"] else found.where("false")
+
+    monkeypatch.setattr(shingle_groups, "_links", without_bands)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {r.doc_id for r in pipeline.near_dedup(spark, docs, "").collect()}
+    prints = {i: simhash._majority(shingle_groups.shingle_set(t, 5)) for i, t in rows}
+    near = {b for a, b in combinations(prints, 2) if (prints[a] ^ prints[b]).bit_count() <= 3}
+    assert near and left == set(prints) - near
+
+
+def test_fingerprint_links_equal_brute_force(spark):
+    rnd = random.Random(6)
+    prints = [rnd.getrandbits(64) for _ in range(150)]
+    prints += [p ^ sum(1 << i for i in rnd.sample(range(64), n)) for p in prints for n in (0, 2, 3, 4)]
+    nodes = [(i, p - (p >> 63 << 64)) for i, p in enumerate(prints)]
+    df = spark.createDataFrame(nodes, "node long, fingerprint long")
+    least = list(range(len(prints)))
+
+    def joined(a, b):
+        low, high = sorted((least[a], least[b]))
+        least[:] = [low if v == high else v for v in least]
+
+    for u, v in shingle_groups.fingerprint_links(df, 3).collect():
+        joined(u, v)
+    found, least[:] = list(least), range(len(prints))
+    for a, b in combinations(range(len(prints)), 2):
+        if (prints[a] ^ prints[b]).bit_count() <= 3:
+            joined(a, b)
+    assert found == least
