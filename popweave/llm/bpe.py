@@ -12,6 +12,7 @@ import json
 import re
 import sys
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 
 import ahocorasick
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 from popweave.llm.texts import map_texts
 
 END = "</w>"
-MEMO = 300_000  # pieces between white space, words, and token pairs that a worker remembers
+MEMO = 200_000  # pieces between white space, words, and token pairs that a worker remembers
 # Python takes four control characters for white space that Unicode does not
 _CONTROL = re.compile("[\x1c-\x1f]")
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -55,15 +56,19 @@ _WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_WHITE
 
 
 class _Memo(dict):
-    """Computes what it lacks; forgets everything when it is full."""
+    """Computes what it lacks; when it is full, it forgets what was not asked for since it was last full."""
 
     def __init__(self, compute):
-        self.compute = compute
+        self.compute, self.before = compute, {}
 
     def __missing__(self, key):
         if len(self) >= MEMO:
+            self.before = dict(self)
             self.clear()
-        value = self[key] = self.compute(key)
+        value = self.before.get(key)
+        if value is None:
+            value = self.compute(key)
+        self[key] = value
         return value
 
 
@@ -132,10 +137,11 @@ class BpeCodec:
             else:
                 return True
 
-    def _encode_word(self, word: str) -> list[int]:
-        key = word.encode().decode("latin-1").translate(self._shown)
+    def _encode_word(self, word: str) -> tuple[int, ...]:
+        # printable ASCII stands for itself
+        key = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self._shown)
         key = key[:-1] + chr(ord(key[-1]) + self._SHIFT)
-        size, n = self.size, len(key)
+        size, shorter, pairs, n = self.size, self.shorter, self._pairs, len(key)
         longest = [-1] * n
         for end, token in self._automaton.iter(key):
             longest[end - size[token] + 1] = token  # a later end is a longer token
@@ -144,20 +150,24 @@ class BpeCodec:
         at, token = 0, longest[0]
         while at < n:
             after = at + size[token]
-            if after not in dead and (not out or self._pairs[out[-1], token]):
+            if after not in dead and (not out or pairs[out[-1], token]):
                 out.append(token)
                 at = after
                 token = longest[at] if at < n else -1
-            elif self.shorter[token] >= 0:
-                token = self.shorter[token]
+            elif shorter[token] >= 0:
+                token = shorter[token]
             else:
                 dead.add(at)
                 token = out.pop()
                 at -= size[token]
-        return out
+        return tuple(out)
 
     def _encode_piece(self, piece: str) -> tuple[bytes, str]:
         ids: list[int] = []
+        if piece.isascii() and not (self._cut and self._cut.search(piece)):  # composed, and lower case is a step
+            for word in [piece.lower()] if piece.isalpha() else _WORD.findall(piece.lower()):
+                ids += self._words[word]
+            return array("i", ids).tobytes(), self.decode(ids)
         for part in self._cut.split(piece) if self._cut else [piece]:
             if part in self.special:
                 ids.append(self.special[part])

@@ -71,3 +71,13 @@ def test_query_on_a_driver_table(spark, library):
         decoded = library.decode(ids, skip_special_tokens=False)
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256(decoded.encode()).hexdigest()
+
+
+def test_memo_keeps_what_is_asked_for(monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO", 4)
+    asked = []
+    memo = bpe._Memo(lambda key: asked.append(key) or key * 2)
+    for key in range(20):
+        assert (memo["often"], memo[key]) == ("oftenoften", key * 2)
+        assert len(memo) <= 4 and len(memo.before) <= 4
+    assert asked.count("often") == 1
