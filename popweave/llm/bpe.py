@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from popweave.llm.texts import map_texts
+from popweave.llm.texts import map_texts, remembers
 
 END = "</w>"
 MEMO = 200_000  # pieces between white space, words, and token pairs that a worker remembers
@@ -193,6 +193,7 @@ class BpeCodec:
 
 
 _CODECS: dict[int, BpeCodec] = {}
+remembers(__name__, _CODECS)
 
 
 def _codec(sent) -> BpeCodec:

@@ -15,7 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from popweave.llm.texts import map_texts
+from popweave.llm.texts import map_texts, remembers
 from popweave.session import cut_lineage
 
 SHINGLE = 5
@@ -36,6 +36,7 @@ class _WordHash(dict):
 
 
 _HASHES = _WordHash()
+remembers(__name__, _HASHES)
 
 
 def words_of(text: str | None) -> list[bytes]:

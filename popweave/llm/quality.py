@@ -17,7 +17,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from popweave.llm.texts import map_texts
+from popweave.llm.texts import map_texts, remembers
 
 BITS = 18  # 2**BITS weights
 SAMPLE_ROWS = 6_000  # rated rows that the fit reads, at most
@@ -47,6 +47,7 @@ class _Slots(dict):
 
 
 _SLOTS = _Slots()
+remembers(__name__, _SLOTS)
 _PAIRS = np.array([xxhash.xxh32_intdigest(name, 2) >> (32 - BITS) for name in ("same", "other")], np.int64)
 
 
