@@ -3,7 +3,8 @@
 Centroids are the means of parts of a sample that are kept at like sizes, so lists are balanced. Every vector goes to its
 nearest list and, near a border, to others whose centroid is nearly as close. A graph over the centroids, small enough for
 each worker's memory, is walked to find a vector's lists as well as a query's. A query reads the lists whose distance is within
-a ratio of the nearest one's. The ratio is learnt: the one at which sampled vectors, asked against the sample, reach the lists of
+a ratio of the nearest one's, in rounds: the nearest one first, then ROUNDS times as many each time, and of what a list holds
+only vectors that are no farther than the best found so far come back. The ratio is learnt: the one at which sampled vectors, asked against the sample, reach the lists of
 nearly all their nearest. Vectors get one more component that makes inner-product order Euclidean order.
 """
 
@@ -24,6 +25,7 @@ LISTS = 16_384  # centroids, at most: what is broadcast does not grow past this
 BLOCK = 4_096  # vectors, or queries, of one list that meet in one task
 BEAM = 128  # centroids that a walk keeps in view, at least
 STEP = 8  # of them, those whose links are followed at a time
+ROUNDS = 8  # times as many lists as before it are read in a round
 ASKED = 512  # sampled vectors that the ratio is learnt from
 
 
@@ -284,8 +286,9 @@ def nearest(
     postings = distinct.select("n", "x").mapInArrow(listed(True), "n bigint, lists array<int>")
     postings = cut_lineage(postings.select("n", F.explode("lists").alias("list")))
     wanted = asked.groupBy("n").agg(F.first("x").alias("x"))
-    reads = cut_lineage(wanted.mapInArrow(listed(False), "n bigint, lists array<int>").select("n", F.explode("lists").alias("list")))
-    found = _scan(distinct, postings, reads, k + 1, dim)
+    reads = cut_lineage(wanted.mapInArrow(listed(False), "n bigint, lists array<int>").select("n", F.posexplode("lists").alias("place", "list")))
+    slack = float(norm) * dim * 2.0**-50  # more than sums in another order can differ by
+    found = _search(distinct, postings, reads, k + 1, slack)
     results = cut_lineage(_ranked(asked, found, distinct, k, id_col))
     total = F.lit(rows.count() - 1)
     # whoever found too few reads everything
@@ -293,8 +296,10 @@ def nearest(
     again = asked.join(short, asked.id == short.query_id, "left_anti")
     if again.isEmpty():
         return results
-    every = again.select("n").distinct().withColumn("list", F.lit(0))
-    more = _ranked(again, _scan(distinct, distinct.select("n", F.lit(0).alias("list")), every, k + 1, dim), distinct, k, id_col)
+    parts = -(-2 * count // BLOCK)
+    every = again.select("n").distinct().select("n", F.posexplode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("place", "list"))
+    dealt = distinct.select("n", F.pmod(F.xxhash64("n"), F.lit(parts)).cast("int").alias("list"))
+    more = _ranked(again, _search(distinct, dealt, every, k + 1, slack), distinct, k, id_col)
     return results.join(again.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(more)
 
 
@@ -302,15 +307,39 @@ def _blocks(rows: DataFrame, name: str) -> DataFrame:
     return rows.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
 
 
-def _scan(distinct: DataFrame, postings: DataFrame, reads: DataFrame, k: int, dim: int) -> DataFrame:
-    """``query``, ``n`` and ``score`` of the ``k`` best vectors of each block of each list a query reads."""
+def _search(distinct: DataFrame, postings: DataFrame, reads: DataFrame, k: int, slack: float) -> DataFrame:
+    """``query`` and ``n`` of the ``k`` best vectors in all lists a query reads, whose order is ``place``.
+
+    A list gives up to ``k`` rows for a query that has found fewer than ``k`` before, then only those that may be among its ``k``
+    best: nothing else is left out, and rows follow the queries and the number of rounds.
+    """
+    most = reads.agg(F.coalesce(F.max("place"), F.lit(0))).first()[0]
+    found, start, end = None, 0, 1
+    while start <= most:
+        part = reads.where(F.col("place").between(start, end - 1)).select("n", "list")
+        if found is None:
+            part = part.withColumn("bound", F.lit(None).cast("double"))
+        else:
+            bound = F.when(F.count("*") >= k, F.min("score") - slack).alias("bound")
+            part = part.join(found.groupBy(F.col("query").alias("n")).agg(bound), "n", "left")
+        new = _scan(distinct, postings, part, k)
+        near = (new if found is None else found.unionByName(new)).groupBy("query", "n")
+        near = near.agg(F.max("score").alias("score"), F.first("least").alias("least"))
+        first = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "least"))
+        found = cut_lineage(near.withColumn("first", first).where(F.col("first") <= k).drop("first"))
+        start, end = end, end * ROUNDS
+    return found.select("query", "n")
+
+
+def _scan(distinct: DataFrame, postings: DataFrame, reads: DataFrame, k: int) -> DataFrame:
+    """``query``, ``n`` and ``score`` of the ``k`` best vectors of each block of each list a query reads, none below its ``bound``."""
     vectors = distinct.select("n", "x", F.col("ids")[0].alias("least"))
     kind = vectors.schema["least"].dataType.simpleString()
     sizes = _blocks(postings, "vb").join(_blocks(reads, "qb"), "list")
 
     def dealt(rows: DataFrame, own: str, other: str) -> DataFrame:
         at = F.pmod(F.xxhash64("n"), F.col(own)).cast("int").alias(own[0])
-        held = rows.join(sizes, "list").select("n", "list", at, F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other[0]))
+        held = rows.join(sizes, "list").select(*rows.columns, at, F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other[0]))
         held = held.join(vectors, "n")
         return held.select(*[F.col(c).alias(c) for c in held.columns])  # new names for the co-grouping
 
@@ -322,7 +351,7 @@ def _scan(distinct: DataFrame, postings: DataFrame, reads: DataFrame, k: int, di
         for i in range(0, len(asking), 256):
             part = asking.iloc[i : i + 256]
             scores = np.stack(part["x"].to_numpy()) @ x.T
-            row, at = _top(scores, least, k)
+            row, at = _top(scores, least, k, part["bound"].to_numpy(float))
             out.append(pd.DataFrame({"query": part["n"].to_numpy()[row], "n": n[at], "score": scores[row, at], "least": least[at]}))
         return pd.concat(out, ignore_index=True)
 
@@ -331,12 +360,14 @@ def _scan(distinct: DataFrame, postings: DataFrame, reads: DataFrame, k: int, di
     return left.cogroup(right).applyInPandas(best, f"query bigint, n bigint, score double, least {kind}")
 
 
-def _top(scores: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and columns of the ``k`` largest of each row; ties go to the smaller id."""
-    if scores.shape[1] > k:
-        row, at = np.nonzero(scores >= -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k])
-    else:
-        row, at = np.indices(scores.shape).reshape(2, -1)
+def _top(scores: np.ndarray, least: np.ndarray, k: int, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the ``k`` largest of each row that are not below its ``bound`` (NaN: none); ties go to the smaller id."""
+    good = ~(scores < bound[:, None])
+    many = np.flatnonzero(good.sum(axis=1) > k)
+    if len(many):
+        part = np.where(good[many], scores[many], -np.inf)
+        good[many] &= part >= -np.partition(-part, k - 1, axis=1)[:, k - 1 : k]
+    row, at = np.nonzero(good)
     order = np.lexsort((least[at], -scores[row, at], row))
     row, at = row[order], at[order]
     place = np.arange(len(row)) - np.searchsorted(row, row)
@@ -344,12 +375,11 @@ def _top(scores: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.
 
 
 def _ranked(asked: DataFrame, found: DataFrame, distinct: DataFrame, k: int, id_col: str) -> DataFrame:
-    """The best ``k`` ids of every query: the best vectors first, then the ids that each stands for."""
-    near = found.groupBy("query", "n").agg(F.max("score").alias("near"), F.first("least").alias("least"))
-    # a query's own vector and k others hold all that can be among its k nearest, whatever the ties
-    first = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("near"), "least"))
-    near = near.withColumn("first", first).where(F.col("first") <= k + 1).select("query", "n")
-    pairs = near.join(distinct.select("n", "ids", F.col("x").alias("y")), "n")
+    """The best ``k`` ids of every query, from the ids that the vectors found stand for.
+
+    A query's own vector and k others hold all that can be among its k nearest, whatever the ties.
+    """
+    pairs = found.join(distinct.select("n", "ids", F.col("x").alias("y")), "n")
     pairs = pairs.join(asked.withColumnsRenamed({"id": "query_id", "n": "query"}), "query")
     # summed in the order of the components, so that equal pairs have equal scores
     score = F.aggregate(F.zip_with("x", "y", lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)

@@ -115,3 +115,29 @@ def test_recall_does_not_fall_with_the_number_of_lists(spark):
         scores[i] = -np.inf
         recall.append(len({*np.argsort(-scores, kind="stable")[:20].tolist()} & found[i]) / 20)
     assert np.mean(recall) >= 0.9, np.mean(recall)
+
+
+def test_rows_of_the_scan_do_not_follow_the_lists_read(spark, monkeypatch):
+    rnd = np.random.default_rng(12)
+    x = rnd.standard_normal((4000, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    scan, made = neighbours._scan, []
+
+    def counted(*args):
+        out = neighbours.cut_lineage(scan(*args))
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(neighbours, "_scan", counted)
+    got = neighbours.nearest(df, lambda i: i % 100 == 0, k=5, list_size=40, reach=1e6).collect()  # 40 queries read 100 lists
+    assert {(r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in got} == brute3(x, 100, 5)
+    assert sum(made) < 40 * 6 * 100 / 4, made
+
+
+def brute3(x, every, k):
+    out = set()
+    for q in range(0, len(x), every):
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        out |= {(q, r + 1, int(i), round(float(scores[i]), 9)) for r, i in enumerate(np.argsort(-scores, kind="stable")[:k])}
+    return out
