@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from popweave.llm import bpe, decontaminate, quality, secrets, shingle_groups
 from popweave.llm.queries import graded, table
-from popweave.session import scratch_path
+from popweave.operators.joins import without_members
+from popweave.session import cut_lineage, scratch_path
 
 ROW = "_pipeline_row"
 
@@ -26,7 +27,7 @@ def _numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
-    return rows.join(gone, ROW, "left_anti").drop(ROW)
+    return without_members(rows, ROW, cut_lineage(gone)).drop(ROW)
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 from popweave.llm.components import connected_components
 from popweave.llm.simhash import _majority, _mixed, _shingle_hashes, bucket_edges
 from popweave.llm.texts import map_texts
+from popweave.operators.joins import likely_members
 from popweave.session import cut_lineage
 
 RADIUS = 3
@@ -158,8 +159,9 @@ def shingle_groups(docs: DataFrame, id_col: str, text_col: str = "text", shingle
     alike = lambda value: _alike(np.frombuffer(b"".join(value), np.uint8).reshape(len(value), -1))
     banded = _links(buckets, ["key"], MEMBERS, nodes.select("node", "value"), alike)
     loose = cut_lineage(connected_components(fingerprint_links(nodes.select("node", "fingerprint"), RADIUS).unionByName(banded)))
-    heads = loose.join(nodes.select("node", "least"), "node").select("node", "least")
-    texts = docs.select(F.col(id_col).alias("least"), F.col(text_col).alias("text")).join(heads, "least")
+    heads = cut_lineage(loose.join(nodes.select("node", "least"), "node").select("node", "least"))
+    texts = docs.select(F.col(id_col).alias("least"), F.col(text_col).alias("text"))
+    texts = likely_members(texts, "least", heads).join(heads, "least")  # texts without a loose link do not move
     similar = lambda value: _similar([np.frombuffer(v, np.uint64) for v in value])
     exact = _links(loose, ["component"], SETS, map_texts(texts, {"node": "node"}, "text", "value binary", sets), similar)
     classes = connected_components(exact)

@@ -31,11 +31,10 @@ def keep_members(df: DataFrame, key: str, members: DataFrame, member_key: str |
 MEMBER_BITS = 1 << 23
 
 
-def likely_members(df: DataFrame, key: str, members: DataFrame, member_key: str | None = None, bits: int = MEMBER_BITS) -> DataFrame:
-    """Rows whose key is in the set, and about one in ``bits / members`` of the others; to thin out wide rows before a join.
+def likely_member(key: str, members: DataFrame, member_key: str | None = None, bits: int = MEMBER_BITS) -> Column:
+    """Whether a key is in the set; also true of about one in ``bits / members`` of the others, and of no missing key.
 
-    The set becomes a bit map of fixed size by hash, one scalar of the plan, so the rows are filtered where they are read. A
-    missing key is in no set.
+    The set becomes a bit map of fixed size by hash, one scalar of the plan, so rows are told apart where they are read.
     """
     def place(name: str) -> Column:
         return F.pmod(F.xxhash64(F.col(name).cast("string")), F.lit(bits)) + 1
@@ -48,7 +47,21 @@ def likely_members(df: DataFrame, key: str, members: DataFrame, member_key: str
     at = F.bitmap_bit_position(place(key))
     byte = F.substring(F.try_element_at(whole, F.bitmap_bucket_number(place(key))), (at / 8).cast("int") + 1, F.lit(1))
     is_set = F.getbit(F.conv(F.hex(byte), 16, 10).cast("bigint"), (at % 8).cast("int")) == 1
-    return df.where(F.col(key).isNotNull() & F.coalesce(is_set, F.lit(False)))
+    return F.col(key).isNotNull() & F.coalesce(is_set, F.lit(False))
+
+
+def likely_members(df: DataFrame, key: str, members: DataFrame, member_key: str | None = None, bits: int = MEMBER_BITS) -> DataFrame:
+    """Rows whose key is in the set, and the few others of ``likely_member``; to thin out wide rows before a join."""
+    return df.where(likely_member(key, members, member_key, bits))
+
+
+def without_members(df: DataFrame, key: str, members: DataFrame) -> DataFrame:
+    """Rows whose key is not in the set, which is read twice; a missing key is in no set.
+
+    Rows that are surely not in it go where they are read, so the join moves the others alone.
+    """
+    likely = likely_member(key, members)
+    return df.where(~likely).unionByName(df.where(likely).join(members.select(key), key, "left_anti").select(*df.columns))
 
 
 def join_preferring_right(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:

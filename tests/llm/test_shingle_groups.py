@@ -106,3 +106,24 @@ def test_fingerprint_links_equal_brute_force(spark):
         if (prints[a] ^ prints[b]).bit_count() <= 3:
             joined(a, b)
     assert found == least
+
+
+def test_only_texts_with_a_loose_link_are_shuffled(spark, monkeypatch):
+    """Of 400 texts 3 have a near copy; the others' texts go where they are read, and those that stay are not joined."""
+    rnd = random.Random(9)
+    texts = [" ".join(f"w{rnd.randrange(5000)}" for _ in range(60)) for _ in range(400)]
+    rows = list(enumerate(texts + [f"{t} new" for t in texts[:3]]))
+    links, moved = shingle_groups._links, []
+
+    def seen(held, group, limit, values, near):
+        if group == ["component"]:
+            plan = values._jdf.queryExecution().optimizedPlan().toString()
+            moved.append((values.count(), "getbit" in plan[plan.index("Join") :]))
+        return links(held, group, limit, values, near)
+
+    monkeypatch.setattr(shingle_groups, "_links", seen)
+    left = pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(r.doc_id for r in left.collect()) == list(range(400))
+    assert moved == [(6, True)]
+    plan = left._jdf.queryExecution().optimizedPlan().toString()
+    assert "getbit" in plan[: plan.index("Join")] and "getbit" in plan[plan.index("Join") :]

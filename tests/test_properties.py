@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from helpers import rows
 from popweave.functions import codes as C, geometry as G
 from popweave.operators import apportion as A, classify as K, overlay as V
+from popweave.operators import joins
 from popweave.operators.joins import likely_members
 from popweave.operators.order_statistics import order_statistics, quantile_thresholds, running_weight, value_cuts, with_bucket
 
@@ -352,3 +353,14 @@ def test_likely_members(spark):
     assert likely_members(df, "k", members.limit(0)).count() == 0
     few = likely_members(df, "k", members, bits=1 << 10)
     assert few.join(members, "k", "left_semi").count() == 300 and few.count() < 10_000
+
+
+@pytest.mark.parametrize("bits", [1 << 23, 16])
+def test_without_members(spark, monkeypatch, bits):
+    monkeypatch.setattr(joins.likely_member, "__defaults__", (None, bits))
+    df = spark.createDataFrame([(i, i % 50) for i in range(100)] + [(None, 7)], "v int, k int").select("v", F.when(F.col("v").isNotNull(), F.col("k")).alias("k"))
+    kept = joins.without_members(df, "k", spark.createDataFrame([(k,) for k in (3, 3, 9, None, 70)], "k int"))
+    assert kept.columns == ["v", "k"]
+    expected = [(i, i % 50) for i in range(100) if i % 50 not in (3, 9)] + [(None, None)]
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted(expected, key=str)
+    assert joins.without_members(df, "k", spark.createDataFrame([], "k int")).count() == 101
