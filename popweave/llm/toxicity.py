@@ -7,7 +7,6 @@ label of the whole text teaches the window that holds the reason.
 
 from __future__ import annotations
 
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,26 +22,19 @@ SAMPLE_TEXTS = {1: 1_000, 0: 3_000}  # labelled texts of each class that trainin
 SAMPLE_WINDOWS = 30_000  # windows of them, at most: further texts of the sample are left out, whole
 PIECE = 24  # characters of a word at most; a longer run is read as pieces, each of which overlaps half of the next
 MEMO = 150_000  # words whose input a worker remembers
+READ = 1 << 16  # words of whole texts whose inputs are looked up together
 EMPTY = 0.0  # score of a text without words
 
 
 def words_of(text: str) -> list[str]:
     """Runs without white space, in overlapping pieces to their end, as of a script without spaces; most runs are one piece."""
     words = text.lower().split()
-    if all(len(w) <= PIECE for w in words):
+    if max(map(len, words), default=0) <= PIECE:
         return words
     half = PIECE // 2
     return [w[i : i + PIECE] for w in words for i in range(0, max(1, len(w) - half), half)]
 
 
-def slots_of(word: str) -> tuple[int, list[int]]:
-    """Slot of the word without outer punctuation, and of its trigrams between marks of its ends."""
-    bare = word.strip(".,;:!?\"'()[]{}*#$%&|-") or word
-    marked = f"<{bare}>"
-    grams = {marked[i : i + 3] for i in range(max(1, len(marked) - 2))}
-    return xxhash.xxh32_intdigest(bare) % WORD_SLOTS, [xxhash.xxh32_intdigest(g, 1) % GRAM_SLOTS for g in sorted(grams)]
-
-
 def windows_of(n: int) -> np.ndarray:
     """Start of each window over ``n`` words; the last one reaches the end."""
     return np.arange(0, max(1, n - WINDOW + STRIDE), STRIDE) if n > WINDOW else np.zeros(1, np.int64)
@@ -53,7 +45,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Slots:
-    """Slots of a list of words: one of each word, and those of all trigrams in a row."""
+    """Slots of a list of words: one of each word without outer punctuation, and those of its trigrams between marks of its ends."""
 
     def __init__(self, words: np.ndarray, grams: np.ndarray, counts: np.ndarray):
         self.words, self.grams, self.counts = words, grams, counts
@@ -61,11 +53,23 @@ class Slots:
 
     @classmethod
     def of(cls, words: list[str]) -> Slots:
-        own, grams, counts = array("i"), array("i"), array("i")
-        for word in words:
-            slot, parts = slots_of(word)
-            own.append(slot), grams.extend(parts), counts.append(len(parts))
-        return cls(*(np.frombuffer(a, np.int32) if a else np.array([], np.int32) for a in (own, grams, counts)))
+        """Trigrams of all words are cut at once; those of a word count once each, by their code points."""
+        if not words:
+            return cls(*(np.array([], np.int32) for _ in range(3)))
+        bare = [w.strip(".,;:!?\"'()[]{}*#$%&|-") or w for w in words]
+        own = np.fromiter(map(xxhash.xxh32_intdigest, bare), np.int64, len(bare)) % WORD_SLOTS
+        line = np.frombuffer(f"<{'><'.join(bare)}>".encode("utf-32-le"), np.uint32).astype(np.uint64)
+        sizes = np.fromiter(map(len, bare), np.int64, len(bare))  # as many trigrams, repeats included
+        owner = np.repeat(np.arange(len(bare)), sizes)
+        at = np.arange(len(owner)) + 2 * owner
+        whole, place = np.unique(line[at] << np.uint64(42) | line[at + 1] << np.uint64(21) | line[at + 2], return_inverse=True)
+        points = np.stack([whole >> np.uint64(shift) & np.uint64(0x1FFFFF) for shift in (42, 21, 0)], axis=1)
+        text = points.astype("<u4").tobytes().decode("utf-32-le")
+        slots = np.array([xxhash.xxh32_intdigest(text[i : i + 3], 1) % GRAM_SLOTS for i in range(0, len(text), 3)], np.int32)
+        once = np.sort(owner * len(whole) + place)
+        once = once[np.flatnonzero(np.diff(once, prepend=-1))]
+        counts = np.bincount(once // len(whole), minlength=len(bare))
+        return cls(own.astype(np.int32), slots[once % len(whole)], counts.astype(np.int32))
 
     def take(self, at: np.ndarray) -> Slots:
         counts = self.counts[at]
@@ -96,8 +100,8 @@ class Network:
         for t in range(live.shape[1]) if d == "f" else reversed(range(live.shape[1])):
             gate = drive[:, t]
             back = h @ u
-            z = _sigmoid(gate[:, :k] + back[:, :k])
-            r = _sigmoid(gate[:, k : 2 * k] + back[:, k : 2 * k])
+            both = _sigmoid(gate[:, : 2 * k] + back[:, : 2 * k])
+            z, r = both[:, :k], both[:, k:]
             n = np.tanh(gate[:, 2 * k :] + r * back[:, 2 * k :])
             on = live[:, t, None]
             new = np.where(on, (1 - z) * n + z * h, h)
@@ -242,7 +246,7 @@ class Scorer:
 
     def _numbers(self, words: list[str]) -> np.ndarray:
         index = self._index
-        if new := [w for w in {*words} if w not in index]:
+        if new := [*({*words} - index.keys())]:
             drive = _drives(self.net, self.net.inputs(Slots.of(new)))
             at = len(self._index)
             for d in "fb":
@@ -266,16 +270,29 @@ class Scorer:
                 drives = {d: self._drive[d][all_ids[part]] for d in "fb"}
                 np.maximum.at(out, who[part], self.net.forward(drives, all_live[part])[0])
 
+        def read() -> None:
+            nonlocal ids, live, owner, held
+            numbers = self._numbers([w for _, words in waiting for w in words])
+            ends = np.cumsum([len(words) for _, words in waiting])
+            for (j, _), own in zip(waiting, np.split(numbers, ends[:-1]), strict=True):
+                part, on = _cut(own)
+                ids.append(part), live.append(on), owner.append(np.full(len(part), j))
+                held += len(part)
+                if held >= block:
+                    run()
+                    ids, live, owner, held = [], [], [], 0
+            waiting.clear()
+
+        waiting, n = [], 0
         for j, text in enumerate(texts):
-            words = words_of(text)
-            if not words:
-                continue
-            part, on = _cut(self._numbers(words))
-            ids.append(part), live.append(on), owner.append(np.full(len(part), j))
-            held += len(part)
-            if held >= block:
-                run()
-                ids, live, owner, held = [], [], [], 0
+            if words := words_of(text):
+                waiting.append((j, words))
+                n += len(words)
+                if n >= READ:
+                    read()
+                    n = 0
+        if waiting:
+            read()
         if held:
             run()
         return np.where(np.isfinite(out), _sigmoid(out), EMPTY)

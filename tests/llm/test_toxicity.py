@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 
 from popweave.llm import queries, toxicity
 
@@ -111,3 +112,28 @@ def test_query_on_a_driver_table(spark):
     labels = [r for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect() if got[r.doc_id].held_out]
     right = [got[r.doc_id].predicted == r.toxic for r in labels]
     assert sum(right) / len(right) > 0.95
+
+
+def test_slots_are_those_of_each_word_alone():
+    rnd = random.Random(12)
+    words = ["a", "...", "(ab)", "aaaaaa", "\U0001F600", "日本語", "İ", "<>", "x" * 24]
+    words += ["".join(rnd.choice("ab<>é日\U0001F600.,(") for _ in range(rnd.randrange(1, 25))) for _ in range(500)]
+    slots = toxicity.Slots.of(words)
+    for i, word in enumerate(words):
+        bare = word.strip(".,;:!?\"'()[]{}*#$%&|-") or word
+        marked = f"<{bare}>"
+        grams = sorted({marked[k : k + 3] for k in range(len(marked) - 2)})
+        assert slots.words[i] == xxhash.xxh32_intdigest(bare) % toxicity.WORD_SLOTS
+        own = slots.grams[slots.starts[i] : slots.starts[i] + slots.counts[i]]
+        assert own.tolist() == [xxhash.xxh32_intdigest(g, 1) % toxicity.GRAM_SLOTS for g in grams]
+    assert len(toxicity.Slots.of([]).grams) == 0
+
+
+def test_words_of_many_texts_are_looked_up_together(network, monkeypatch):
+    texts = [*sample(60, 4)[0], "", "vile " * 500, "word1"]
+    whole, asked = toxicity.Slots.of, []
+    monkeypatch.setattr(toxicity.Slots, "of", lambda words: asked.append(len(words)) or whole(words))
+    together = toxicity.Scorer(network).scores(texts)
+    assert len(asked) == 1
+    monkeypatch.setattr(toxicity, "READ", 1)
+    assert np.allclose(together, toxicity.Scorer(network).scores(texts, block=3), atol=1e-6)
